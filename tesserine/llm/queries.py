@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, quality_classifier, quality_rules, token_counts, url_filter, warc, word_bpe
+from . import chat_format, decontamination, near_dedup, pii, quality_classifier, quality_rules, token_counts, url_filter, warc, word_bpe
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_warc": warc.op2_warc,
+    "op3_pii": pii.op3_pii,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_decontamination": decontamination.op6_decontamination,
