@@ -1 +1,216 @@
-"""To come."""
+"""Queries on the layers of evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import ranks
+from ..operators import evidence as E
+from ..operators import findings as N
+from ..operators import vulnerabilities as V
+from ..sources.bridge import table, view, with_views
+from . import query
+from .findings import _FP, _RC, deduplicated
+from .vulnerabilities import _STATES, _three
+
+_STATE = "CASE WHEN exported THEN 'EXPORTED' WHEN NOT exported THEN 'INTERNAL' WHEN has_filter AND kind <> 'provider' THEN 'CONDITIONALLY_EXPORTED' WHEN kind = 'provider' THEN 'UNKNOWN' ELSE 'INTERNAL' END"
+_EXPOSED = "CASE WHEN state = 'UNKNOWN' THEN 'UNKNOWN' WHEN state NOT IN ('EXPORTED', 'CONDITIONALLY_EXPORTED') THEN 'INTERNAL' WHEN coalesce(permission, '') <> '' THEN 'PERMISSION_PROTECTED' ELSE 'PUBLIC' END"
+_KIND = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.SURFACE.items()) + " ELSE 'EXPORTED_COMPONENT' END"
+_SURF = f"""
+cp AS (SELECT *, {_EXPOSED} AS exposure FROM (SELECT *, {_STATE} AS state FROM component)),
+sn AS (SELECT analysis_id, 'surface:component:' || name AS node_key, name AS component, {_KIND} AS node_type, exposure, permission FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, name ORDER BY component_id) AS n FROM cp WHERE exposure <> 'INTERNAL') WHERE n = 1)"""
+_EDGES = """
+ec AS (SELECT analysis_id, identifier, cause, unnest(string_split(components, ',')) AS component FROM cause),
+se AS (SELECT n.analysis_id, n.node_key AS src, 'rootcause:' || identifier AS dst, 'LEADS_TO' AS edge_type, cause FROM sn n JOIN ec USING (analysis_id, component))"""
+_WEIGHT = ranks.ranked_sql("name", {**E.RISK, **{k: -v for k, v in E.MITIGATION.items()}}, 0)
+_BAND = "CASE WHEN raw >= 90 THEN 'critical' WHEN raw >= 70 THEN 'high' WHEN raw >= 40 THEN 'medium' WHEN raw >= 20 THEN 'low' ELSE 'info' END"
+
+
+@query("exposure_ladder", with_views(f"WITH {_SURF} SELECT analysis_id, kind, state, exposure, count(*) AS n FROM cp GROUP BY 1, 2, 3, 4", "component"))
+def exposure_ladder(spark, d):
+    own = view(spark, d, "component").withColumn("state", ranks.exposure(F.col("exported"), F.col("has_filter"), F.col("kind")))
+    return own.withColumn("exposure", ranks.surface_exposure(F.col("state"), F.col("permission"))).groupBy("analysis_id", "kind", "state", "exposure").agg(F.count("*").alias("n"))
+
+
+@query("permission_classification", with_views(f"""SELECT name, CASE WHEN NOT starts_with(name, 'android.permission.') THEN 'UNKNOWN' WHEN replace(name, 'android.permission.', '') IN {ranks.DANGEROUS} THEN 'DANGEROUS' WHEN replace(name, 'android.permission.', '') IN {ranks.SIGNATURE} THEN 'SIGNATURE' ELSE 'NORMAL' END AS class, count(*) AS n FROM permission GROUP BY 1, 2""", "permission"))
+def permission_classification(spark, d):
+    return view(spark, d, "permission").groupBy("name", ranks.permission_class(F.col("name")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("attack_surface", with_views(f"WITH {_SURF} SELECT * FROM sn", "component"))
+def attack_surface(spark, d):
+    return E.surface(view(spark, d, "component"))
+
+
+def _edges(spark, d):
+    nodes = attack_surface(spark, d)
+    return nodes, E.surface_edges(nodes, N.root_causes(deduplicated(spark, d)))
+
+
+@query("attack_surface_edges", with_views(f"WITH {_FP}, {_RC}, {_SURF}, {_EDGES} SELECT * FROM se", "component", "finding", "evidence"))
+def attack_surface_edges(spark, d):
+    return _edges(spark, d)[1]
+
+
+@query("risk_entry_points", with_views(f"""WITH {_FP}, {_RC}, {_SURF}, {_EDGES}, f AS (SELECT analysis_id, node_key, 'exported_component' AS name FROM sn UNION ALL SELECT analysis_id, node_key, 'permission_protected' FROM sn WHERE exposure = 'PERMISSION_PROTECTED'
+ UNION ALL SELECT analysis_id, src, {"CASE cause " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.CAUSE_FACTOR.items()) + " ELSE 'sensitive_sink_reachable' END"} FROM se),
+g AS (SELECT analysis_id, node_key, sum({_WEIGHT}) AS raw, string_agg(DISTINCT name, ',' ORDER BY name) AS factors FROM f GROUP BY 1, 2)
+SELECT analysis_id, node_key, CAST(greatest(0, least(100, raw)) AS INTEGER) AS score, {_BAND} AS band, factors FROM g""", "component", "finding", "evidence"))
+def risk_entry_points(spark, d):
+    return E.risk(E.entry_factors(*_edges(spark, d)), "analysis_id", "node_key")
+
+
+_OVERALL = """
+fa AS (SELECT DISTINCT analysis_id, 'exported_component' AS name FROM sn UNION SELECT DISTINCT analysis_id, 'missing_permission_protection' FROM dd WHERE NOT is_duplicate AND rule_id = 'ANDROID-COMPONENT-001'
+ UNION SELECT DISTINCT analysis_id, 'webview_javascript' FROM dd WHERE NOT is_duplicate AND rule_id = 'ANDROID-WEBVIEW-001' UNION SELECT DISTINCT analysis_id, 'javascript_interface' FROM dd WHERE NOT is_duplicate AND rule_id IN ('ANDROID-WEBVIEW-002', 'ANDROID-SEMANTIC-004')
+ UNION SELECT DISTINCT analysis_id, 'native_unsafe_api' FROM dd WHERE NOT is_duplicate AND starts_with(rule_id, 'ASF-NATIVE-') UNION SELECT DISTINCT analysis_id, 'weak_crypto' FROM dd WHERE NOT is_duplicate AND rule_id = 'ANDROID-CRYPTO-001'
+ UNION SELECT DISTINCT analysis_id, 'cleartext_network' FROM dd WHERE NOT is_duplicate AND rule_id = 'ANDROID-MANIFEST-003' UNION SELECT DISTINCT analysis_id, 'unknown_dependency_version' FROM dependency WHERE coalesce(version, '') IN ('', 'UNKNOWN')
+ UNION SELECT analysis_id, 'permission_protected' FROM sn GROUP BY analysis_id HAVING bool_and(exposure = 'PERMISSION_PROTECTED'))"""
+
+
+@query("risk_overall", with_views(f"""WITH {_FP}, {_SURF}, {_OVERALL}, g AS (SELECT analysis_id, sum({_WEIGHT}) AS raw, string_agg(DISTINCT name, ',' ORDER BY name) AS factors FROM fa GROUP BY 1)
+SELECT analysis_id, CAST(greatest(0, least(100, raw)) AS INTEGER) AS score, {_BAND} AS band, factors FROM g""", "component", "finding", "evidence", "dependency"))
+def risk_overall(spark, d):
+    nodes = attack_surface(spark, d)
+    rule = F.col("rule_id")
+    by_rule = F.array(
+        F.when(rule == "ANDROID-COMPONENT-001", "missing_permission_protection"), F.when(rule == "ANDROID-WEBVIEW-001", "webview_javascript"), F.when(rule.isin("ANDROID-WEBVIEW-002", "ANDROID-SEMANTIC-004"), "javascript_interface"),
+        F.when(rule.startswith("ASF-NATIVE-"), "native_unsafe_api"), F.when(rule == "ANDROID-CRYPTO-001", "weak_crypto"), F.when(rule == "ANDROID-MANIFEST-003", "cleartext_network"),
+    )
+    rules = deduplicated(spark, d).where(~F.col("is_duplicate")).select("analysis_id", F.explode(F.filter(by_rule, lambda n: n.isNotNull())).alias("name"))
+    per = nodes.groupBy("analysis_id").agg(F.bool_and(F.col("exposure") == "PERMISSION_PROTECTED").alias("guarded"))
+    exposed = per.select("analysis_id", F.explode(F.filter(F.array(F.lit("exported_component"), F.when(F.col("guarded"), "permission_protected")), lambda n: n.isNotNull())).alias("name"))
+    versions = view(spark, d, "dependency").where(F.coalesce("version", F.lit("")).isin("", "UNKNOWN")).select("analysis_id", F.lit("unknown_dependency_version").alias("name"))
+    return E.risk(rules.unionByName(exposed).unionByName(versions).distinct(), "analysis_id")
+
+
+@query("runtime_taxonomy", with_views(f"SELECT {ranks.observed_kind_sql()} AS kind, adapter, count(*) AS n FROM observation GROUP BY 1, 2", "observation"))
+def runtime_taxonomy(spark, d):
+    kind = ranks.observed_kind(*(F.col(c) for c in ("observation_type", "class_name", "method_name", "symbol")))
+    return view(spark, d, "observation").groupBy(kind.alias("kind"), "adapter").agg(F.count("*").alias("n"))
+
+
+_METHODS = "me AS (SELECT DISTINCT lower(regexp_extract(class_name, '[^.]*$')) AS k_class, lower(method_name) AS k_method, class_name || '#' || method_name AS node_key FROM observation WHERE obs_id % 2 = 0 AND method_name <> 'read')"
+
+
+@query("runtime_correlation", with_views(f"WITH {_METHODS} SELECT obs_id, coalesce(node_key, 'RUNTIME_BEHAVIOR') AS target, node_key IS NOT NULL AS linked FROM observation o LEFT JOIN me ON lower(regexp_extract(o.class_name, '[^.]*$')) = k_class AND lower(o.method_name) = k_method", "observation"))
+def runtime_correlation(spark, d):
+    own = view(spark, d, "observation")
+    methods = own.where("obs_id % 2 = 0 AND method_name <> 'read'").select("class_name", "method_name", F.concat("class_name", F.lit("#"), "method_name").alias("node_key")).distinct()
+    return E.runtime_links(own, methods)
+
+
+@query("runtime_modes", with_views("SELECT session_id, count(*) AS n, CASE WHEN bool_or(adapter <> 'mock') THEN 'LIVE' WHEN bool_or(adapter = 'mock') THEN 'MOCKED' ELSE 'UNAVAILABLE' END AS mode FROM observation GROUP BY 1", "observation"))
+def runtime_modes(spark, d):
+    return E.session_modes(view(spark, d, "observation"))
+
+
+@query("runtime_timeline", with_views("SELECT obs_id, session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, obs_id) AS INTEGER) AS sequence FROM observation", "observation"))
+def runtime_timeline(spark, d):
+    return E.timeline(view(spark, d, "observation")).select("obs_id", "session_id", "sequence")
+
+
+@query("latest_per_session", with_views("SELECT session_id, obs_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, obs_id DESC) AS n FROM observation) WHERE n = 1", "observation"))
+def latest_per_session(spark, d):
+    return V.latest(view(spark, d, "observation"), "session_id", F.desc("ts"), F.desc("obs_id")).select("session_id", "obs_id", "event_type")
+
+
+@query("jni_bindings", """WITH e AS (SELECT DISTINCT 'C' || CAST(p_partkey % 300 AS VARCHAR) AS class_name, 'm' || CAST(p_size % 5 AS VARCHAR) AS method_name, 'lib' || CAST(p_partkey % 3 AS VARCHAR) || '.so' AS library FROM part),
+n AS (SELECT DISTINCT 'C' || CAST(s_suppkey % 400 AS VARCHAR) AS class_name, 'm' || CAST(s_nationkey % 5 AS VARCHAR) AS method_name FROM supplier)
+SELECT coalesce(e.class_name, n.class_name) AS class_name, coalesce(e.method_name, n.method_name) AS method_name, library, CASE WHEN library IS NOT NULL THEN 'ELF_EXPORT' ELSE 'JAVA_NATIVE' END AS source,
+ CASE WHEN library IS NOT NULL AND n.class_name IS NOT NULL THEN 'HIGH' WHEN library IS NOT NULL THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM e FULL OUTER JOIN n ON e.class_name = n.class_name AND e.method_name = n.method_name""")
+def jni_bindings(spark, d):
+    named = lambda c, k, m: (F.concat(F.lit("C"), (F.col(c) % k).cast("string")).alias("class_name"), F.concat(F.lit("m"), (F.col(m) % 5).cast("string")).alias("method_name"))
+    exports = table(spark, d, "part").select(*named("p_partkey", 300, "p_size"), F.concat(F.lit("lib"), (F.col("p_partkey") % 3).cast("string"), F.lit(".so")).alias("library"))
+    return E.jni_bindings(exports, table(spark, d, "supplier").select(*named("s_suppkey", 400, "s_nationkey")))
+
+
+@query("native_reconcile", """WITH f AS (SELECT 'lib' || CAST(p_partkey % 50 AS VARCHAR) AS library, 'fn' || CAST(p_partkey % 700 AS VARCHAR) AS name, p_partkey AS address, 'ELF' AS source FROM part WHERE p_partkey % 2 = 0
+ UNION ALL SELECT 'lib' || CAST(p_partkey % 50 AS VARCHAR), 'fn' || CAST(p_partkey % 350 AS VARCHAR), p_partkey + 7, 'GHIDRA' FROM part WHERE p_partkey % 3 = 0)
+SELECT library, name, string_agg(DISTINCT source, '+' ORDER BY source) AS source, coalesce(min(address) FILTER (WHERE source = 'ELF'), min(address)) AS address FROM f GROUP BY 1, 2""")
+def native_reconcile(spark, d):
+    parts = table(spark, d, "part")
+    rows = lambda df, k, shift: df.select(F.concat(F.lit("lib"), (F.col("p_partkey") % 50).cast("string")).alias("library"), F.concat(F.lit("fn"), (F.col("p_partkey") % k).cast("string")).alias("name"), (F.col("p_partkey") + shift).alias("address"))
+    return E.reconciled(rows(parts.where("p_partkey % 2 = 0"), 700, 0), rows(parts.where("p_partkey % 3 = 0"), 350, 7))
+
+
+@query("obfuscation_identifier_ratio", """WITH c AS (SELECT 'pk' || CAST(p_partkey % 211 AS VARCHAR) AS package, CASE WHEN p_size < 10 + p_partkey % 211 % 40 THEN 'a' || CAST(p_size % 10 AS VARCHAR) ELSE p_name END AS class_name FROM part),
+n AS (SELECT package, count(*) AS n_classes, count(*) FILTER (WHERE length(class_name) <= 2) AS n_short FROM c GROUP BY 1)
+SELECT package, n_classes, n_short, round(n_short / n_classes, 3) AS ratio, CASE WHEN n_classes < 8 THEN 'INSUFFICIENT_CLASSES' WHEN n_short * 2 >= n_classes THEN 'STRONG_INDICATOR' WHEN n_short * 4 >= n_classes THEN 'WEAK_INDICATOR' ELSE 'NO_STRONG_INDICATOR' END AS state FROM n""")
+def obfuscation_identifier_ratio(spark, d):
+    k = F.col("p_partkey") % 211
+    named = F.when(F.col("p_size") < 10 + k % 40, F.concat(F.lit("a"), (F.col("p_size") % 10).cast("string"))).otherwise(F.col("p_name"))
+    return E.short_names(table(spark, d, "part").select(F.concat(F.lit("pk"), k.cast("string")).alias("package"), named.alias("class_name")))
+
+
+_FIXES = "fx AS (SELECT product_id, true AS known FROM version_range WHERE fixed IS NOT NULL OR raw LIKE '%<%' GROUP BY 1)"
+
+
+@query("remediation_plan", with_views(f"""WITH {_STATES}, {_FIXES}, vu AS (SELECT record_id AS product_id, known_exploited, epss FROM vulnerability WHERE record_id < 1000000),
+r AS (SELECT cs.*, coalesce(known, false) AS known, coalesce(known_exploited, false) AS kev, coalesce(epss, 0) AS epss FROM cs LEFT JOIN fx USING (product_id) LEFT JOIN vu USING (product_id) WHERE version_state <> 'NOT_AFFECTED'),
+s AS (SELECT analysis_id, dep_id, cve_id, CASE WHEN version_state = 'AFFECTED' AND known THEN 'RECOMMENDED' WHEN version_state = 'POSSIBLY_AFFECTED' AND known THEN 'CONDITIONALLY_RECOMMENDED' WHEN version_state = 'AFFECTED' THEN 'REVIEW_REQUIRED' WHEN version_state = 'UNKNOWN' THEN 'VERSION_UNVERIFIED' ELSE 'BLOCKED' END AS status,
+ CASE WHEN version_state = 'AFFECTED' AND known THEN 'DIRECT_FIX' WHEN version_state = 'POSSIBLY_AFFECTED' AND known THEN 'CONDITIONAL_FIX' ELSE 'NO_KNOWN_FIX' END AS fixability,
+ CAST(CASE version_state WHEN 'AFFECTED' THEN 25 WHEN 'POSSIBLY_AFFECTED' THEN 12 ELSE 0 END + CASE WHEN known THEN 8 ELSE 0 END + CASE WHEN kev THEN 20 ELSE 0 END + CASE WHEN epss >= 0.5 THEN 10 ELSE 0 END AS INTEGER) AS score FROM r)
+SELECT *, CASE WHEN score >= 70 THEN 'CRITICAL' WHEN score >= 45 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' WHEN score >= 10 THEN 'LOW' WHEN score >= 1 THEN 'INFO' ELSE 'NONE' END AS priority FROM s""", "dependency", "product", "version_range", "vulnerability"))
+def remediation_plan(spark, d):
+    intel = view(spark, d, "vulnerability").where("record_id < 1000000").select(F.col("record_id").alias("product_id"), "known_exploited", "epss")
+    return E.remediation_items(V.correlated(*_three(spark, d)).join(intel, "product_id", "left"), V.fixed_versions(view(spark, d, "version_range"))).drop("fixed_versions")
+
+
+_CLAIMS = """
+ev AS (SELECT 'U' || CAST(user_id AS VARCHAR) || ':' || CAST(event_id % 4 AS VARCHAR) AS claim, CASE event_id % 5 WHEN 0 THEN 'RUNTIME' WHEN 1 THEN 'CODE' WHEN 2 THEN 'MANIFEST' ELSE 'NATIVE' END AS family, user_id % 3 > 0 AS live, event_id % 401 = 0 AS blocked FROM events WHERE value > 20),
+pc AS (SELECT claim, count(DISTINCT CASE WHEN family <> 'RUNTIME' OR live THEN family END) AS n_families, bool_or(family = 'RUNTIME' AND live) AS live, bool_or(blocked) AS blocked, count(*) AS n_evidence FROM ev GROUP BY 1),
+cl AS (SELECT claim, n_families, n_evidence, CASE WHEN blocked THEN 'BLOCKED' WHEN live AND n_families > 1 THEN 'RUNTIME_CONFIRMED' WHEN n_families >= 2 THEN 'MULTI_SOURCE_SUPPORTED' WHEN n_families = 1 AND NOT live THEN 'STATIC_SUPPORTED' WHEN n_families = 1 THEN 'RUNTIME_OBSERVED' ELSE 'UNVERIFIED' END AS state,
+ CAST(least(100, CASE WHEN n_families > 0 THEN 40 + 15 * (n_families - 1) ELSE 0 END + CASE WHEN live THEN 20 ELSE 0 END) AS INTEGER) AS confidence FROM pc)"""
+
+
+def _claims(spark, d):
+    e = F.col("event_id")
+    rows = table(spark, d, "events").where("value > 20").select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit(":"), (e % 4).cast("string")).alias("claim"), F.when(e % 5 == 0, "RUNTIME").when(e % 5 == 1, "CODE").when(e % 5 == 2, "MANIFEST").otherwise("NATIVE").alias("family"),
+        (F.col("user_id") % 3 > 0).alias("live"), (e % 401 == 0).alias("blocked"),
+    )
+    return E.claims(rows)
+
+
+@query("validation_claims", f"WITH {_CLAIMS} SELECT * FROM cl")
+def validation_claims(spark, d):
+    return _claims(spark, d)
+
+
+_ROLL = f"""
+ro AS (SELECT split_part(claim, ':', 1) AS parent, count(*) AS n_claims, arg_max(state, {"CASE state " + " ".join(f"WHEN '{s}' THEN {k}" for k, s in enumerate(E.CLAIM_ORDER)) + " END"}) AS state, max(confidence) AS confidence FROM cl GROUP BY 1)"""
+
+
+@query("validation_rollup", f"WITH {_CLAIMS}, {_ROLL} SELECT * FROM ro")
+def validation_rollup(spark, d):
+    return E.rolled_up(_claims(spark, d), F.split_part("claim", F.lit(":"), F.lit(1)))
+
+
+_DECIDE = f"""
+de AS (SELECT dd.*, ro.state FROM dd LEFT JOIN ro ON ro.parent = 'U' || CAST(CAST(substr(component, 2) AS INTEGER) AS VARCHAR)),
+du AS (SELECT analysis_id, finding_id, category, CASE WHEN is_duplicate THEN 'R-FIND-DUP' WHEN state = 'RUNTIME_CONFIRMED' THEN 'R-FIND-RUNTIME' WHEN status = 'CONFIRMED_BY_STATIC_ANALYSIS' THEN 'R-FIND-STATIC-CONFIRMED' WHEN state = 'MULTI_SOURCE_SUPPORTED' THEN 'R-FIND-MULTI'
+ WHEN state = 'STATIC_SUPPORTED' THEN 'R-FIND-STATIC-SUPPORTED' WHEN state = 'BLOCKED' THEN 'R-FIND-BLOCKED' WHEN status IN ('POTENTIAL', 'NOT_OBSERVED') THEN 'R-FIND-UNVERIFIED' ELSE 'R-FIND-INCONCLUSIVE' END AS rule FROM de),
+dz AS (SELECT *, CASE rule WHEN 'R-FIND-DUP' THEN 'SUPPRESSED_DUPLICATE' WHEN 'R-FIND-RUNTIME' THEN 'CONFIRMED' WHEN 'R-FIND-STATIC-CONFIRMED' THEN 'CONFIRMED' WHEN 'R-FIND-MULTI' THEN 'SUPPORTED' WHEN 'R-FIND-STATIC-SUPPORTED' THEN 'SUPPORTED' WHEN 'R-FIND-BLOCKED' THEN 'BLOCKED' WHEN 'R-FIND-UNVERIFIED' THEN 'UNVERIFIED' ELSE 'INCONCLUSIVE' END AS decision FROM du)"""
+
+
+def _decided(spark, d):
+    rolled = validation_rollup(spark, d).select("parent", "state")
+    own = deduplicated(spark, d).withColumn("parent", F.concat(F.lit("U"), F.substring("component", 2, 9)))
+    return E.decisions(own.join(rolled, "parent", "left"))
+
+
+@query("assessment_decisions", with_views(f"WITH {_FP}, {_CLAIMS}, {_ROLL}, {_DECIDE} SELECT analysis_id, finding_id, rule, decision FROM dz", "finding", "evidence"))
+def assessment_decisions(spark, d):
+    return _decided(spark, d).select("analysis_id", "finding_id", "rule", "decision")
+
+
+@query("assessment_summary", with_views(f"WITH {_FP}, {_CLAIMS}, {_ROLL}, {_DECIDE} SELECT decision, rule, category, count(*) AS n FROM dz GROUP BY GROUPING SETS ((decision), (rule), (category))", "finding", "evidence"))
+def assessment_summary(spark, d):
+    return E.decision_summary(_decided(spark, d))
+
+
+@query("analysis_report")
+def analysis_report(spark, d):
+    own = deduplicated(spark, d)
+    return E.report(own, N.root_causes(own))
