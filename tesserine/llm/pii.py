@@ -209,5 +209,6 @@ def _listed(spans: Column | str) -> Column:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = written(with_candidates(docs).drop("text"), "spans")
-    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in BASE_KINDS}
+    number_of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = {f"n_{k}": number_of(k) for k in BASE_KINDS}
     return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed(all_spans(fit(found))).alias("spans"))
