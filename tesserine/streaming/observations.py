@@ -14,7 +14,7 @@ from ..functions import ranks
 def classified(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     """stream: obs_id, ts, session_id, observation_type, class_name, method_name, symbol. Repeats of obs_id within the watermark go."""
     kind = ranks.observed_kind(*(F.col(c) for c in ("observation_type", "class_name", "method_name", "symbol")))
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["obs_id"]).withColumn("kind", kind)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["obs_id"]).withColumn("kind", kind)
 
 
 def counted(observed: DataFrame, window: str = "1 hour") -> DataFrame:

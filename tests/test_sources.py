@@ -59,5 +59,5 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q = observations.counted(observations.classified(stream)).writeStream.outputMode("append").format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(120)
     streamed = {(r.start, r.kind): r.n for r in spark.table("seen").collect()}
-    batch = {(r.start, r.kind): r.n for r in observations.counted(rows.withColumn("kind", observations.ranks.observed_kind(*(F.col(c) for c in ("observation_type", "class_name", "method_name", "symbol"))))).collect()}
+    batch = {(r.start, r.kind): r.n for r in observations.counted(rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("kind", observations.ranks.observed_kind(*(F.col(c) for c in ("observation_type", "class_name", "method_name", "symbol"))))).collect()}
     assert streamed and all(batch[k] == n for k, n in streamed.items())
