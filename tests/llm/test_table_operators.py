@@ -90,7 +90,9 @@ def test_near_classes_equal_brute_force(spark):
     assert again == got
 
 
-def test_large_buckets_are_gone_through(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [0, 4])
+def test_large_buckets_are_gone_through(spark, monkeypatch, levels):
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
     monkeypatch.setattr(near_dedup, "SMALL", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     rng = random.Random(4)
