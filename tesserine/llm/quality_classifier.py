@@ -92,7 +92,7 @@ def _feature_rows(docs: DataFrame, text: str) -> np.ndarray:
         return pd.Series([features(t) for t in texts])
 
     rows = docs.select(of(text_or_empty(text)).alias("x")).collect()  # bounded by the sample sizes
-    return np.array([r[0] for r in rows], float).reshape(len(rows), -1)
+    return np.array([r[0] for r in rows], float) if rows else np.empty((0, 0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> dict:
