@@ -107,10 +107,10 @@ def filtered(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES,
     """pages with host, path, rule and verdict. listed has canonical URLs, in column canonical."""
     judged = with_rules(pages, url, rules)
     unruled = judged.where(F.col("rule").isNull())
-    hits = listed_hits(unruled, listed, max_blocks=max_blocks).withColumn("hit", F.lit(True))
+    hits = listed_hits(unruled, listed, max_blocks=max_blocks).withColumn("_hit", F.lit(True))
     # Only the URLs that no rule fits meet the hits, so the join moves no row that a rule decides.
     decided = judged.where(F.col("rule").isNotNull()).withColumn("verdict", F.col("rule_verdict"))
-    rest = unruled.join(hits, "canonical", "left").withColumn("verdict", F.when(F.col("hit"), "block").otherwise("allow")).drop("hit")
+    rest = unruled.join(hits, "canonical", "left").withColumn("verdict", F.when(F.col("_hit"), "block").otherwise("allow")).drop("_hit")
     return decided.unionByName(rest).drop("rule_verdict", "canonical")
 
 
