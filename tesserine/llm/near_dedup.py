@@ -14,13 +14,15 @@ each. In a band bucket every member is aligned with the bucket's smallest docume
 keeps pairs in proportion to rows. Components follow. What a bucket may still hide are links
 between different components of it. Buckets of at most SMALL components give the pairs of
 members of different components. A bucket with more is crowded: its key comes from a line or
-passage that many texts share, and it is dealt anew by one further sketch, another for each
-bucket, so that a pair in it must agree on one more; again members meet the smallest first, and
-so on for LEVELS levels, all of whose pairs are aligned together. What is crowded even then is gone through in blocks,
-in which about BLOCK members meet those of other components and leave, until no bucket has
-members of two components. No row is left out, and no group of near copies is spelled out into
-pairs, since its members are one component after their first leader. No pair is aligned twice,
-and none whose lengths differ by more than the allowed edits.
+passage that many texts share. The texts of all crowded buckets are compared by their words
+instead: similar texts of n words or fewer have n - floor(n / 5) words in common at least, so in
+any fixed order of words they share one among the first floor(n / 5) + 1 of each. The order puts
+words of few crowded texts first; repeated words carry their occurrence number. Texts that share
+such a first word make up a bucket. For LEVELS turns, buckets of more than SMALL components are
+gone through in blocks, in which about BLOCK members meet those of other components and leave;
+then all that are left meet at once. So every similar pair of crowded texts is aligned or is one
+component already, whatever sketches it shares. Pairs are left out where their lengths, or bags
+of words kept as bits, need more than the allowed edits, and no pair is aligned twice.
 
 Alignment is exact within a band of diagonals as wide as the allowed edits, tried with narrow
 bands first. It works on integer arrays in tasks and holds two texts at a time.
@@ -49,6 +51,8 @@ STRIDES = (1, 5)  # a band joins a sketch with the one so many places on
 SMALL = 24
 LEVELS = 8
 BLOCK = 64
+COUNTED = 1 << 18  # counters of words, by hash
+BAG_LONGS = 8
 WORDS_AT_ONCE = 200_000
 MATRIX_CELLS = 4_000_000
 LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -65,16 +69,16 @@ def _seeds(n: int) -> np.ndarray:
     return _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def labelled_shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def labelled_shingles(words: np.ndarray, sizes: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the occurrence-labelled shingles of texts laid end to end, and how many each text has."""
-    counts = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+    counts = np.where(sizes >= shingle, sizes - shingle + 1, np.minimum(sizes, 1))
     starts = np.cumsum(sizes) - sizes
     total = int(counts.sum())
     first = np.cumsum(counts) - counts
     at = np.arange(total) - np.repeat(first, counts) + np.repeat(starts, counts)
-    room = np.repeat(np.minimum(sizes, SHINGLE), counts)
+    room = np.repeat(np.minimum(sizes, shingle), counts)
     value = np.zeros(total, np.uint64)
-    for k in range(SHINGLE):
+    for k in range(shingle):
         inside = k < room
         word = words[np.minimum(at + k, len(words) - 1)]
         value = np.where(inside, _mixed(value * np.uint64(31) + word + np.uint64(k + 1)), value)
@@ -111,21 +115,50 @@ def sketches(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch with some WORDS_AT_ONCE words (hashes): the part, its words end to end, how many each row has."""
+    lists = batch.column("words")
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    start = 0
+    while start < len(batch):
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + WORDS_AT_ONCE, "right")) - 1)
+        end = min(end, len(batch))
+        yield batch.slice(start, end - start), flat[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]).astype(np.int64)
+        start = end
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """A list for each row of a matrix."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(values.view(np.int64).ravel()))
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows doc_id, sha, words (hashes) to rows doc_id, sha, n_words, sketches."""
     for batch in batches:
-        lists = batch.column("words")
-        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        start = 0
-        while start < len(batch):
-            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + WORDS_AT_ONCE, "right")) - 1)
-            end = min(end, len(batch))
-            cut = sketches(flat[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]).astype(np.int64)).view(np.int64)
-            part = batch.slice(start, end - start)
-            n_words = pa.array(np.diff(offsets[start : end + 1]).astype(np.int32))
-            values = pa.ListArray.from_arrays(pa.array(np.arange(0, (end - start) * SKETCHES + 1, SKETCHES), pa.int32()), pa.array(cut.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), n_words, values], ["doc_id", "sha", "n_words", "sketches"])
-            start = end
+        for part, words, sizes in _slices(batch):
+            columns = [part.column("doc_id"), part.column("sha"), pa.array(sizes.astype(np.int32)), _lists(sketches(words, sizes))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "n_words", "sketches"])
+
+
+def _edits(n: np.ndarray, least: float) -> np.ndarray:
+    return np.floor((1 - least) * n + 1e-9).astype(np.int64)
+
+
+def first_words(words: np.ndarray, sizes: np.ndarray, texts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words (labelled by occurrence) of which similar texts share one, the text of each, and the texts' bags as bits.
+
+    texts has for each hash the number of texts that have it; words that one text alone has are left out.
+    """
+    value, _ = labelled_shingles(words, sizes, 1)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    bits = np.zeros((len(sizes), BAG_LONGS), np.uint64)
+    np.bitwise_or.at(bits, (text, (value >> np.uint64(6)) % np.uint64(BAG_LONGS)), np.uint64(1) << (value & np.uint64(63)))
+    common = texts[words & np.uint64(COUNTED - 1)]
+    order = np.lexsort((value, common, text))
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = order[(place <= np.repeat(_edits(sizes, least), sizes)) & (common[order] > 1)]
+    return value[kept], text[kept], bits
 
 
 def word_hashes(text: Column) -> Column:
@@ -133,8 +166,8 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The edit distance of two arrays if it is at most most, by furthest points on a band of diagonals."""
+def edits_within(a: np.ndarray, b: np.ndarray, most: int, known: int = 0) -> int | None:
+    """The edit distance of two arrays if it is at most most, by furthest points on a band of diagonals. It is known to be known or more."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -150,7 +183,7 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
         return None
     if n == 0:
         return m
-    limit = min(most, max(4, m - n))
+    limit = min(most, max(4, m - n, known))
     while True:
         found = _banded(a, b, limit) if (2 * limit + 1) * n <= MATRIX_CELLS else _banded_rows(a, b, most)
         if found is not None or limit >= most or (2 * limit + 1) * n > MATRIX_CELLS:
@@ -224,9 +257,8 @@ def similar(left: str, right: str, least: float = SIMILARITY) -> bool:
     number: dict[str, int] = {}
     x, y = (np.fromiter((number.setdefault(w, len(number)) for w in s), np.int32, len(s)) for s in (a, b))
     bags = np.bincount(x, minlength=len(number)), np.bincount(y, minlength=len(number))
-    if np.minimum(*bags).sum() < max(len(a), len(b)) - most:  # fewer words in common than that many edits leave
-        return False
-    return edits_within(x, y, most) is not None
+    known = max(len(a), len(b)) - int(np.minimum(*bags).sum())  # edits that words not in common need
+    return known <= most and edits_within(x, y, most, known) is not None
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -304,25 +336,16 @@ def near_labels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         fresh = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried, labels = tried.unionByName(fresh), _relabelled(labels, links(fresh))
 
-    pairs = _cross_pairs(open_rows.where(F.col("parts") <= SMALL).withColumn("leads", F.lit(True)), least)
-    crowded, level = open_rows.where(F.col("parts") > SMALL), 0
-    while level < LEVELS and not crowded.isEmpty():
-        level += 1
-        dealt = written(_dealt_anew(crowded, single), "bands")
-        led = dealt.where("leader <> doc_id AND leader_component <> component").where(_near_length("leader_words", "n_words", least))
-        open_rows = _open(dealt.select("key", "doc_id", "n_words", "component"))
-        small = open_rows.where(F.col("parts") <= SMALL).withColumn("leads", F.lit(True))
-        pairs = pairs.unionByName(led.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))).unionByName(_cross_pairs(small, least))
-        crowded = open_rows.where(F.col("parts") > SMALL)
-    aligned(pairs)
-    turn = 0
+    aligned(_cross_pairs(open_rows.where(F.col("parts") <= SMALL).withColumn("leads", F.lit(True)), least))
+    crowded, turn = _by_first_words(open_rows.where(F.col("parts") > SMALL).select("doc_id").distinct(), own, least), 0
     while not crowded.isEmpty():
         turn += 1
-        crowded = _open(_named(crowded.select("key", "doc_id", "n_words"), labels))
+        crowded = _open(_named(crowded.select("key", "doc_id", "n_words", "bag"), labels))
         blocks = F.ceil(F.col("size") / BLOCK)
-        members = crowded.withColumn("leads", (F.col("parts") <= SMALL) | (F.pmod(F.xxhash64("doc_id", F.lit(turn)), blocks) == 0))
+        led = F.lit(turn > LEVELS) | (F.col("parts") <= SMALL) | (F.pmod(F.xxhash64("doc_id", F.lit(turn)), blocks) == 0)
+        members = crowded.withColumn("leads", led)
         aligned(_cross_pairs(members, least))
-        crowded = written(members.where("NOT leads").select("key", "doc_id", "n_words"), "open")
+        crowded = written(members.where("NOT leads").select("key", "doc_id", "n_words", "bag"), "open")
     return labels, copies
 
 
@@ -338,11 +361,22 @@ def _relabelled(labels: DataFrame, new: DataFrame) -> DataFrame:
     return written(whole.join(renamed, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "labels")
 
 
-def _dealt_anew(crowded: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The rows of crowded keys by one further sketch, another from key to key: no more rows than before."""
-    own = crowded.select("key", "doc_id", "n_words", "component").join(sketched.select("doc_id", "sketches"), "doc_id")
-    further = F.element_at("sketches", (F.pmod("key", F.lit(SKETCHES)) + 1).cast("int"))
-    return _shared(own.select("doc_id", "n_words", "component", F.xxhash64("key", further).alias("key")))
+def _by_first_words(ids: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """Rows (key, doc_id, n_words, bag) of the texts with these ids, a key for each first word that two of them may share."""
+    texts = written(own.join(ids, "doc_id", "left_semi").select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0), "words")
+    places = F.array_distinct(F.transform("words", lambda w: w.bitwiseAND(F.lit(COUNTED - 1).cast("long"))))
+    found = texts.select(F.explode(places).alias("place")).groupBy("place").agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros(COUNTED, np.int32)
+    counts[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words, sizes in _slices(batch):
+                key, text, bits = first_words(words, sizes, counts, least)
+                columns = [pa.array(key.view(np.int64)), part.column("doc_id").take(pa.array(text)), pa.array(sizes[text].astype(np.int32)), _lists(bits[text])]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "n_words", "bag"])
+
+    return written(texts.mapInArrow(cut, "key long, doc_id long, n_words int, bag array<long>"), "words")
 
 
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -350,18 +384,29 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open(named: DataFrame) -> DataFrame:
-    """Rows (key, doc_id, n_words, component) of keys with several components, with their number (parts) and the key's size."""
+    """Rows (key, doc_id, n_words, component, ...) of keys with several components, with their number (parts) and the key's size."""
     each = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     parts = each.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("size")).where("parts > 1")
     return written(named.join(parts, "key"), "open")
 
 
+def _near_bag(x: str, y: str, nx: str, ny: str, least: float) -> Column:
+    """May texts with such bags be similar? A bit of x that y lacks stands for a word of x, at least, that an edit takes away."""
+    longer = F.greatest(F.col(nx), F.col(ny))
+    spare = F.floor(F.lit(1 - least) * longer + 1e-9) - longer
+    lacks = lambda a, b: sum(F.bit_count(F.element_at(a, k).bitwiseAND(F.bitwise_not(F.element_at(b, k)))) for k in range(1, BAG_LONGS + 1))
+    return (lacks(x, y) <= F.col(nx) + spare) & (lacks(y, x) <= F.col(ny) + spare)
+
+
 def _cross_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of a leading member and one of another component of its key, where their lengths allow it."""
-    left = members.where("leads").select("key", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n_words").alias("nx"))
-    right = members.select("key", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n_words").alias("ny"), F.col("leads").alias("ly"))
-    once = F.col("cx") != F.col("cy")
-    pairs = left.join(right, (left["key"] == right["key"]) & once & (~F.col("ly") | (F.col("x") < F.col("y"))) & _near_length("nx", "ny", least))
+    """Pairs of a leading member and one of another component of its key, where their lengths and bags (if rows have them) allow it."""
+    bag = "bag" in members.columns
+    side = lambda d: [F.col("doc_id").alias(d), F.col("component").alias(f"c{d}"), F.col("n_words").alias(f"n{d}"), *([F.col("bag").alias(f"b{d}")] if bag else [])]
+    left, right = members.where("leads").select("key", *side("x")), members.select("key", *side("y"), F.col("leads").alias("ly"))
+    may = (F.col("cx") != F.col("cy")) & (~F.col("ly") | (F.col("x") < F.col("y"))) & _near_length("nx", "ny", least)
+    if bag:
+        may &= _near_bag("bx", "by", "nx", "ny", least)
+    pairs = left.join(right, (left["key"] == right["key"]) & may)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

@@ -105,6 +105,36 @@ def test_large_buckets_are_gone_through(spark, monkeypatch, levels):
     assert all(got[12 + i] == got[i] for i in range(4))
 
 
+def test_crowded_bucket_loses_no_near_pair(spark):
+    """Near pairs that share no five-word shingle but those of a passage that far more than SMALL texts share."""
+    rng = random.Random(8)
+    shared = prose(rng, 47)
+    own = [[f"w{rng.randrange(10**9)}" for _ in range(13)] for _ in range(60)]
+    changed = [[f"c{i}x{k}" if k % 4 == 0 else w for k, w in enumerate(words)] for i, words in enumerate(own[:30])]
+    docs = spark.createDataFrame([(i, " ".join(shared + words)) for i, words in enumerate(own + changed)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    assert got == {i: i - 60 if i >= 60 else i for i in range(90)}
+
+
+def test_similar_texts_share_a_first_word():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        a = rng.integers(0, 40, rng.integers(1, 60))
+        b = a.copy()
+        for _ in range(rng.integers(0, len(a) // 5 + 1)):
+            k, x = rng.integers(0, len(b)), rng.integers(0, 40)
+            b = [np.delete(b, k) if len(b) > 1 else b, np.insert(b, k, x), np.where(np.arange(len(b)) == k, x, b)][rng.integers(0, 3)]
+        if not near_dedup.similar(" ".join(map(str, a)), " ".join(map(str, b))):
+            continue
+        counts = rng.integers(2, 9, near_dedup.COUNTED)  # any order of words will do
+        value, text, bits = near_dedup.first_words(np.concatenate([a, b]).astype(np.uint64), np.array([len(a), len(b)]), counts, 0.8)
+        assert set(value[text == 0]) & set(value[text == 1])
+        longer = max(len(a), len(b))
+        for x, y, n in ((0, 1, len(a)), (1, 0, len(b))):
+            lacks = sum(int(v).bit_count() for v in bits[x] & ~bits[y])
+            assert lacks <= n - longer + int(0.2 * longer + 1e-9)
+
+
 def test_warc_round_trip(spark):
     html = ["<p>" + "é" * 200, "short", None, "", "<p>" + "é" * 200, "short", "x" * 300000, "WARC/1.1\r\n\r\n" * 40, "<p>" + "é" * 200, "\r\n" * 90]
     pages = spark.createDataFrame([(9 - i, f"http://a/{i}\r\nX: y" if i else None, h, "clash", 1) for i, h in enumerate(html)], "page_id long, url string, html string, digest string, chunk int").repartition(3)
