@@ -1,0 +1,30 @@
+"""Queries over every row of their tables, beside those of the same names without _whole, whose SQL takes a part."""
+
+from __future__ import annotations
+
+from ..operators import graphs as G
+from ..sources.bridge import VIEWS, view
+from . import SQL, graphs, query
+
+GRAPHS = ("dangling_edges_removed", "graph_shortest_target_paths", "graph_simple_paths", "graph_neighbours", "graph_fan_out", "graph_dot_lines")
+
+
+def _whole(name: str, f, parts: tuple[tuple[str, str], ...], **rows) -> None:
+    """Registers f without the conditions that parts replaces in its SQL."""
+    sql = SQL[name]
+    for part, by in parts:
+        if part not in sql:
+            raise ValueError(f"{name} has no {part}")
+        sql = sql.replace(part, by)
+    query(f"{name}_whole", sql)(lambda spark, d: f(spark, d, **rows))
+
+
+for _name in GRAPHS:
+    _whole(_name, getattr(graphs, _name), ((VIEWS["edge"], VIEWS["edge_whole"]),), edge="edge_whole")
+
+
+@query("graph_reachable_set_whole")
+def graph_reachable_set_whole(spark, d):
+    """From all entry points, as far as it goes."""
+    nodes, edges = graphs._graph(spark, d, "edge_whole")
+    return G.reachable(edges, nodes.where("node_type = 'ENTRY_POINT'"))
