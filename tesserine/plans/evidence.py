@@ -94,9 +94,9 @@ _METHODS = "me AS (SELECT DISTINCT lower(regexp_extract(class_name, '[^.]*$')) A
 
 
 @query("runtime_correlation", with_views(f"WITH {_METHODS} SELECT obs_id, coalesce(node_key, 'RUNTIME_BEHAVIOR') AS target, node_key IS NOT NULL AS linked FROM observation o LEFT JOIN me ON lower(regexp_extract(o.class_name, '[^.]*$')) = k_class AND lower(o.method_name) = k_method", "observation"))
-def runtime_correlation(spark, d):
+def runtime_correlation(spark, d, rows="obs_id % 2 = 0 AND method_name <> 'read'"):
     own = view(spark, d, "observation")
-    methods = own.where("obs_id % 2 = 0 AND method_name <> 'read'").select("class_name", "method_name", F.concat("class_name", F.lit("#"), "method_name").alias("node_key")).distinct()
+    methods = own.where(rows).select("class_name", "method_name", F.concat("class_name", F.lit("#"), "method_name").alias("node_key")).distinct()
     return E.runtime_links(own, methods)
 
 
@@ -128,10 +128,10 @@ def jni_bindings(spark, d):
 @query("native_reconcile", """WITH f AS (SELECT 'lib' || CAST(p_partkey % 50 AS VARCHAR) AS library, 'fn' || CAST(p_partkey % 700 AS VARCHAR) AS name, p_partkey AS address, 'ELF' AS source FROM part WHERE p_partkey % 2 = 0
  UNION ALL SELECT 'lib' || CAST(p_partkey % 50 AS VARCHAR), 'fn' || CAST(p_partkey % 350 AS VARCHAR), p_partkey + 7, 'GHIDRA' FROM part WHERE p_partkey % 3 = 0)
 SELECT library, name, string_agg(DISTINCT source, '+' ORDER BY source) AS source, coalesce(min(address) FILTER (WHERE source = 'ELF'), min(address)) AS address FROM f GROUP BY 1, 2""")
-def native_reconcile(spark, d):
+def native_reconcile(spark, d, elf="p_partkey % 2 = 0", ghidra="p_partkey % 3 = 0"):
     parts = table(spark, d, "part")
     rows = lambda df, k, shift: df.select(F.concat(F.lit("lib"), (F.col("p_partkey") % 50).cast("string")).alias("library"), F.concat(F.lit("fn"), (F.col("p_partkey") % k).cast("string")).alias("name"), (F.col("p_partkey") + shift).alias("address"))
-    return E.reconciled(rows(parts.where("p_partkey % 2 = 0"), 700, 0), rows(parts.where("p_partkey % 3 = 0"), 350, 7))
+    return E.reconciled(rows(parts.where(elf), 700, 0), rows(parts.where(ghidra), 350, 7))
 
 
 @query("obfuscation_identifier_ratio", """WITH c AS (SELECT 'pk' || CAST(p_partkey % 211 AS VARCHAR) AS package, CASE WHEN p_size < 10 + p_partkey % 211 % 40 THEN 'a' || CAST(p_size % 10 AS VARCHAR) ELSE p_name END AS class_name FROM part),
@@ -164,18 +164,18 @@ cl AS (SELECT claim, n_families, n_evidence, CASE WHEN blocked THEN 'BLOCKED' WH
  CAST(least(100, CASE WHEN n_families > 0 THEN 40 + 15 * (n_families - 1) ELSE 0 END + CASE WHEN live THEN 20 ELSE 0 END) AS INTEGER) AS confidence FROM pc)"""
 
 
-def _claims(spark, d):
+def _claims(spark, d, rows="value > 20"):
     e = F.col("event_id")
-    rows = table(spark, d, "events").where("value > 20").select(
+    made = table(spark, d, "events").where(rows).select(
         F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit(":"), (e % 4).cast("string")).alias("claim"), F.when(e % 5 == 0, "RUNTIME").when(e % 5 == 1, "CODE").when(e % 5 == 2, "MANIFEST").otherwise("NATIVE").alias("family"),
         (F.col("user_id") % 3 > 0).alias("live"), (e % 401 == 0).alias("blocked"),
     )
-    return E.claims(rows)
+    return E.claims(made)
 
 
 @query("validation_claims", f"WITH {_CLAIMS} SELECT * FROM cl")
-def validation_claims(spark, d):
-    return _claims(spark, d)
+def validation_claims(spark, d, **rows):
+    return _claims(spark, d, **rows)
 
 
 _ROLL = f"""
@@ -183,8 +183,8 @@ ro AS (SELECT split_part(claim, ':', 1) AS parent, count(*) AS n_claims, arg_max
 
 
 @query("validation_rollup", f"WITH {_CLAIMS}, {_ROLL} SELECT * FROM ro")
-def validation_rollup(spark, d):
-    return E.rolled_up(_claims(spark, d), F.split_part("claim", F.lit(":"), F.lit(1)))
+def validation_rollup(spark, d, **rows):
+    return E.rolled_up(_claims(spark, d, **rows), F.split_part("claim", F.lit(":"), F.lit(1)))
 
 
 _DECIDE = f"""
@@ -194,20 +194,20 @@ du AS (SELECT analysis_id, finding_id, category, CASE WHEN is_duplicate THEN 'R-
 dz AS (SELECT *, CASE rule WHEN 'R-FIND-DUP' THEN 'SUPPRESSED_DUPLICATE' WHEN 'R-FIND-RUNTIME' THEN 'CONFIRMED' WHEN 'R-FIND-STATIC-CONFIRMED' THEN 'CONFIRMED' WHEN 'R-FIND-MULTI' THEN 'SUPPORTED' WHEN 'R-FIND-STATIC-SUPPORTED' THEN 'SUPPORTED' WHEN 'R-FIND-BLOCKED' THEN 'BLOCKED' WHEN 'R-FIND-UNVERIFIED' THEN 'UNVERIFIED' ELSE 'INCONCLUSIVE' END AS decision FROM du)"""
 
 
-def _decided(spark, d):
-    rolled = validation_rollup(spark, d).select("parent", "state")
+def _decided(spark, d, **rows):
+    rolled = validation_rollup(spark, d, **rows).select("parent", "state")
     own = deduplicated(spark, d).withColumn("parent", F.concat(F.lit("U"), F.substring("component", 2, 9)))
     return E.decisions(own.join(rolled, "parent", "left"))
 
 
 @query("assessment_decisions", with_views(f"WITH {_FP}, {_CLAIMS}, {_ROLL}, {_DECIDE} SELECT analysis_id, finding_id, rule, decision FROM dz", "finding", "evidence"))
-def assessment_decisions(spark, d):
-    return _decided(spark, d).select("analysis_id", "finding_id", "rule", "decision")
+def assessment_decisions(spark, d, **rows):
+    return _decided(spark, d, **rows).select("analysis_id", "finding_id", "rule", "decision")
 
 
 @query("assessment_summary", with_views(f"WITH {_FP}, {_CLAIMS}, {_ROLL}, {_DECIDE} SELECT decision, rule, category, count(*) AS n FROM dz GROUP BY GROUPING SETS ((decision), (rule), (category))", "finding", "evidence"))
-def assessment_summary(spark, d):
-    return E.decision_summary(_decided(spark, d))
+def assessment_summary(spark, d, **rows):
+    return E.decision_summary(_decided(spark, d, **rows))
 
 
 @query("analysis_report")

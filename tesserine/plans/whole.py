@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from ..operators import graphs as G
 from ..sources.bridge import VIEWS, view
-from . import SQL, graphs, query
+from . import SQL, evidence, graphs, query, reach
 
 GRAPHS = ("dangling_edges_removed", "graph_shortest_target_paths", "graph_simple_paths", "graph_neighbours", "graph_fan_out", "graph_dot_lines")
+CLAIMS = ("validation_claims", "validation_rollup", "assessment_decisions", "assessment_summary")
 
 
 def _whole(name: str, f, parts: tuple[tuple[str, str], ...], **rows) -> None:
@@ -21,6 +22,12 @@ def _whole(name: str, f, parts: tuple[tuple[str, str], ...], **rows) -> None:
 
 for _name in GRAPHS:
     _whole(_name, getattr(graphs, _name), ((VIEWS["edge"], VIEWS["edge_whole"]),), edge="edge_whole")
+for _name in CLAIMS:
+    _whole(_name, getattr(evidence, _name), ((" WHERE value > 20", ""),), rows="true")
+_whole("runtime_correlation", evidence.runtime_correlation, ((" WHERE obs_id % 2 = 0 AND method_name <> 'read'", ""),), rows="true")
+_whole("native_reconcile", evidence.native_reconcile, ((" WHERE p_partkey % 2 = 0", ""), (" WHERE p_partkey % 3 = 0", "")), elf="true", ghidra="true")
+_whole("signature_states", reach.signature_states, ((" WHERE product_id % 4 > 0", ""),), rows="true")
+_whole("observed_findings", reach.observed_findings, ((" WHERE obs_id % 2 = 0", ""),), rows="true")
 
 
 @query("graph_reachable_set_whole")

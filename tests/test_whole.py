@@ -27,3 +27,10 @@ def test_graphs_have_every_edge(spark, sf_dir):
             steps[m] = steps[n] + 1
             todo.append(m)
     assert {r.node_key: r.steps for r in QUERIES["graph_reachable_set_whole"](spark, sf_dir).collect()} == steps
+
+
+def test_evidence_has_every_row(spark, sf_dir):
+    events, parts = table(spark, sf_dir, "events").count(), table(spark, sf_dir, "part").count()
+    assert QUERIES["validation_claims_whole"](spark, sf_dir).agg(F.sum("n_evidence")).first()[0] == events
+    assert QUERIES["native_reconcile_whole"](spark, sf_dir).agg(F.count("*")).first()[0] >= min(parts, 700)
+    assert QUERIES["runtime_correlation_whole"](spark, sf_dir).where("NOT linked").count() == 0
