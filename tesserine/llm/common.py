@@ -40,5 +40,43 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables of one operator's run, in a folder that drop() deletes when the result is written elsewhere."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder, self.made = spark, new_path(spark, tag), 0
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}-{tag}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Most bytes of one Arrow batch that a Python task gets, so that rows of long texts don't add up.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, or less where the session asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = spark.conf.get(name, None)
+    if not (set_to or "").isdigit() or not 0 < int(set_to) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df has not, for a column that goes again."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -7,8 +7,10 @@ trie node the last token of the encoding of its prefix: the one vocabulary entry
 there and whose pair with the last token before it is left as it is by the merges. A prefix
 that many words share is so worked out once, and a word's encoding is read off backwards.
 
-Encodings of words are kept in a bounded cache in each Python worker; a batch of any size and a
-text of any length go through it whole.
+Encodings of words are kept in a cache of bounded size in each Python worker (CACHED_WORDS words of
+CACHED_LENGTH characters at most; longer ones live as long as their step); a batch of any size and
+a text of any length go through it whole. Ids and decoded texts are made in steps of STEP_CHARS
+characters, and decoded texts only where they are asked for.
 
 Defined results: null is taken as the empty text, which has no ids and decodes to the empty
 text. Special strings inside a text become their special ids, as the library does by default.
@@ -20,19 +22,19 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import bounded_batches, free_name, read_table, text_or_empty
 
-CACHED_WORDS = 250_000
-CACHED_PAIRS = 500_000
+CACHED_WORDS = 60_000
+CACHED_LENGTH = 64
+CACHED_PAIRS = 200_000
 INNER, END = 0, 1
-ENCODED = "ids string, n_tokens long, decoded string"
 #: The split pattern of the vocabulary file, and what it takes as white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -191,7 +193,11 @@ class WordEncoder:
         self.words.update((w, str(self.special[w])) for w in new.intersection(self.special))
         self.learn(new.difference(self.words))
         get = self.words.__getitem__
-        return [" ".join(map(get, words)) for words in cut]
+        out = [" ".join(map(get, words)) for words in cut]
+        for w in new:
+            if len(w) > CACHED_LENGTH:
+                del self.words[w]
+        return out
 
     def decode(self, ids: str) -> str:
         """Tokens joined by a space: the file names no decoder, and the library then does that."""
@@ -203,20 +209,33 @@ def _encoder(vocabulary_file: str) -> WordEncoder:
     return WordEncoder(vocabulary_file)
 
 
-#: Texts whose new words share one trie; also bounds what a step holds besides the batch.
-TEXTS_AT_ONCE = 1024
+#: Characters of texts whose new words share one trie; also bounds what a step holds besides the batch.
+STEP_CHARS = 1 << 20
+
+
+def _steps(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of some STEP_CHARS characters."""
+    step, size = [], 0
+    for t in texts:
+        step.append(t)
+        size += len(t)
+        if size >= STEP_CHARS:
+            yield step
+            step, size = [], 0
+    if step:
+        yield step
 
 
-def encoded(text: Column, vocabulary_file: str) -> Column:
-    """ids (joined by a space), n_tokens and the decoded text of a string column."""
+def encoded(text: Column, vocabulary_file: str, decoded: bool = True) -> Column:
+    """ids (joined by a space), n_tokens and, if asked for, the decoded text of a string column."""
+    kinds = "ids string, n_tokens long" + ", decoded string" * decoded
 
-    @F.pandas_udf(ENCODED)
+    @F.pandas_udf(kinds)
     def encode(texts: pd.Series) -> pd.DataFrame:
-        encoder, rows = _encoder(vocabulary_file), [t or "" for t in texts]
-        ids: list[str] = []
-        for k in range(0, len(rows), TEXTS_AT_ONCE):
-            ids += encoder.encode(rows[k : k + TEXTS_AT_ONCE])
-        return pd.DataFrame({"ids": ids, "n_tokens": [i.count(" ") + bool(i) for i in ids], "decoded": [encoder.decode(i) for i in ids]})
+        encoder = _encoder(vocabulary_file)
+        ids = [i for step in _steps([t or "" for t in texts]) for i in encoder.encode(step)]
+        made = {"ids": ids, "n_tokens": [i.count(" ") + bool(i) for i in ids]}
+        return pd.DataFrame({**made, "decoded": [encoder.decode(i) for i in ids]} if decoded else made)
 
     return encode(text)
 
@@ -226,21 +245,23 @@ def encoded_digests(text: Column, vocabulary_file: str) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
-        encoder, rows = _encoder(vocabulary_file), [t or "" for t in texts]
+        encoder = _encoder(vocabulary_file)
         out = []
-        for k in range(0, len(rows), TEXTS_AT_ONCE):
-            for ids in encoder.encode(rows[k : k + TEXTS_AT_ONCE]):
+        for step in _steps([t or "" for t in texts]):
+            for ids in encoder.encode(step):
                 out.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode()).hexdigest()))
         return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest(text)
 
 
-def with_encoding(docs: DataFrame, vocabulary_file: str, text: str = "text", digests: bool = False) -> DataFrame:
-    """docs with ids, n_tokens and decoded, or with n_tokens and the two digests."""
-    made = (encoded_digests if digests else encoded)(text_or_empty(text), vocabulary_file)
-    names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "n_tokens", "decoded")
-    return docs.withColumn("_made", made).withColumns({n: F.col(f"_made.{n}") for n in names}).drop("_made")
+def with_encoding(docs: DataFrame, vocabulary_file: str, text: str = "text", digests: bool = False, decoded: bool = True) -> DataFrame:
+    """docs with ids, n_tokens and (unless decoded is False) decoded, or with n_tokens and the two digests; such columns are replaced."""
+    bounded_batches(docs.sparkSession)
+    made = encoded_digests(text_or_empty(text), vocabulary_file) if digests else encoded(text_or_empty(text), vocabulary_file, decoded)
+    names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "n_tokens", "decoded")[: 2 + decoded]
+    own = free_name(docs, "made")
+    return docs.withColumn(own, made).withColumns({n: F.col(f"{own}.{n}") for n in names}).drop(own)
 
 
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
