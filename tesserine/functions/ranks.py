@@ -12,8 +12,31 @@ SEVERITY_SCORE = {"info": 10, "low": 30, "medium": 55, "high": 80, "critical": 9
 CONFIDENCE_SCORE = {"low": 30, "medium": 60, "high": 85, "confirmed": 95}
 PROVIDERS = ("nvd", "ghsa", "osv", "import", "test", "local", "bundle")
 SEVERITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "MODERATE": 2, "LOW": 1, "NONE": 0}
-DANGEROUS = ("CAMERA", "READ_SMS", "ACCESS_FINE_LOCATION", "RECORD_AUDIO", "READ_CONTACTS")
-SIGNATURE = ("INSTALL_PACKAGES", "DELETE_PACKAGES", "BIND_DEVICE_ADMIN")
+#: The platform's runtime permissions, by group.
+DANGEROUS_GROUPS = {
+    "CALENDAR": ("READ_CALENDAR", "WRITE_CALENDAR"),
+    "CALL_LOG": ("READ_CALL_LOG", "WRITE_CALL_LOG", "PROCESS_OUTGOING_CALLS"),
+    "CAMERA": ("CAMERA",),
+    "CONTACTS": ("READ_CONTACTS", "WRITE_CONTACTS", "GET_ACCOUNTS"),
+    "LOCATION": ("ACCESS_FINE_LOCATION", "ACCESS_COARSE_LOCATION", "ACCESS_BACKGROUND_LOCATION"),
+    "MICROPHONE": ("RECORD_AUDIO",),
+    "PHONE": ("READ_PHONE_STATE", "READ_PHONE_NUMBERS", "CALL_PHONE", "ANSWER_PHONE_CALLS", "ADD_VOICEMAIL", "USE_SIP", "ACCEPT_HANDOVER"),
+    "SENSORS": ("BODY_SENSORS", "BODY_SENSORS_BACKGROUND"),
+    "SMS": ("SEND_SMS", "RECEIVE_SMS", "READ_SMS", "RECEIVE_WAP_PUSH", "RECEIVE_MMS"),
+    "STORAGE": ("READ_EXTERNAL_STORAGE", "WRITE_EXTERNAL_STORAGE", "ACCESS_MEDIA_LOCATION"),
+    "ACTIVITY_RECOGNITION": ("ACTIVITY_RECOGNITION",),
+    "NEARBY_DEVICES": ("BLUETOOTH_SCAN", "BLUETOOTH_ADVERTISE", "BLUETOOTH_CONNECT", "NEARBY_WIFI_DEVICES", "UWB_RANGING"),
+    "NOTIFICATIONS": ("POST_NOTIFICATIONS",),
+    "MEDIA": ("READ_MEDIA_IMAGES", "READ_MEDIA_VIDEO", "READ_MEDIA_AUDIO", "READ_MEDIA_VISUAL_USER_SELECTED"),
+}
+#: The platform's signature permissions.
+SIGNATURE = (
+    "INSTALL_PACKAGES", "DELETE_PACKAGES", "WRITE_SECURE_SETTINGS", "MOUNT_UNMOUNT_FILESYSTEMS", "READ_LOGS", "SET_TIME", "REBOOT", "MANAGE_DEVICE_ADMINS",
+    "BIND_DEVICE_ADMIN", "BIND_ACCESSIBILITY_SERVICE", "BIND_NOTIFICATION_LISTENER_SERVICE", "CAPTURE_AUDIO_OUTPUT", "CONTROL_LOCATION_UPDATES",
+    "FACTORY_TEST", "MANAGE_EXTERNAL_STORAGE", "MODIFY_PHONE_STATE",
+)
+DANGEROUS = tuple(name for names in DANGEROUS_GROUPS.values() for name in names)
+PERMISSION_GROUP = {name: group for group, names in DANGEROUS_GROUPS.items() for name in names}
 
 
 def ranked(c: Column, table: dict[str, int], other: int) -> Column:
@@ -46,6 +69,12 @@ def permission_class(name: Column) -> Column:
     return F.when(~name.startswith("android.permission."), "UNKNOWN").when(short.isin(*DANGEROUS), "DANGEROUS").when(short.isin(*SIGNATURE), "SIGNATURE").otherwise("NORMAL")
 
 
+def permission_group(name: Column) -> Column:
+    """The group of a runtime permission, else null."""
+    groups = F.create_map(*(F.lit(x) for pair in PERMISSION_GROUP.items() for x in pair))
+    return F.when(permission_class(name) == "DANGEROUS", groups[F.regexp_replace(name, r"^android\.permission\.", "")])
+
+
 def cvss_band(score: Column) -> Column:
     """P14."""
     return F.when(score >= 9, "CRITICAL").when(score >= 7, "HIGH").when(score >= 4, "MEDIUM").when(score > 0, "LOW").when(score == 0, "NONE")
