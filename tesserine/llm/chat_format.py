@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running_ends
 from .common import read_table, text_or_empty
 
 #: Fixed values of the template.
@@ -74,25 +75,18 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         )
     )
     cut = blocks.select("conv_id", pieces.alias("pieces"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p["s"])).alias("at"), F.when(p["trained"], F.concat(acc["mask"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p["s"])).alias("end"))))).otherwise(acc["mask"]).alias("mask"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
-    return cut.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), F.aggregate("pieces", zero, step)["mask"].alias("loss_mask"))
+    ends = running_ends(F.transform("pieces", lambda p: F.length(p["s"])))
+    range_of = lambda p, end: F.when(p["trained"], F.struct((end - F.length(p["s"])).alias("start"), end.alias("end")))
+    mask = F.filter(F.zip_with("pieces", ends, range_of), lambda m: m.isNotNull())
+    return cut.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), mask.alias("loss_mask"))
 
 
 def parsed(text: Column) -> Column:
-    """The turns (role, text) of a formatted text, as an array; the role of a turn without header is that before it."""
-    parts = F.filter(F.split(text, END, -1), lambda p, i: i < F.size(F.split(text, END, -1)) - 1)
-    headed = lambda p: p.startswith(HEAD)
-    own = F.transform(
-        parts,
-        lambda p: F.struct(
-            F.when(headed(p), unescaped(F.substring_index(F.substr(p, F.lit(len(HEAD) + 1)), COLON, 1), ROLE_PAIRS)).alias("role"),
-            unescaped(F.when(headed(p), F.substr(p, F.locate(COLON, p) + len(COLON))).otherwise(p)).alias("text"),
-        ),
-    )
-    zero = F.struct(F.lit("").alias("role"), F.array().cast("array<struct<role:string,text:string>>").alias("turns"))
-    fill = lambda acc, t: F.struct(F.coalesce(t["role"], acc["role"]).alias("role"), F.concat(acc["turns"], F.array(F.struct(F.coalesce(t["role"], acc["role"]).alias("role"), t["text"].alias("text")))).alias("turns"))
-    return F.aggregate(own, zero, fill)["turns"]
+    """The turns (role, text) of a formatted text, as an array. Each block begins with the one HEAD in it, and each turn ends with an END."""
+    turn_texts = lambda block: F.split(F.substr(block, F.locate(COLON, block) + len(COLON)), END, -1)
+    turns = lambda role, texts: F.transform(F.slice(texts, 1, F.size(texts) - 1), lambda s: F.struct(role.alias("role"), unescaped(s).alias("text")))
+    block = lambda b: let(unescaped(F.substring_index(b, COLON, 1), ROLE_PAIRS), lambda role: let(turn_texts(b), lambda texts: turns(role, texts)))
+    return let(F.split(text, HEAD, -1), lambda blocks: F.flatten(F.transform(F.slice(blocks, 2, F.size(blocks)), block)))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

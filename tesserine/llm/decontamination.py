@@ -7,9 +7,9 @@ whole of a shorter item), the words of that match are hit and the items behind t
 state are recorded. Documents lose their hit spans, or go altogether when hits cover more than
 a share of them.
 
-The automaton goes to every task, so its size is held: items are dealt into shards of at most
-SHARD_WORDS words by running totals, and a document passes all shards one after the other
-within its task. One item longer than that makes a shard of its own, since an item is one value
+A worker builds the automaton of a shard once. Its size is held: items are dealt into shards of at
+most SHARD_WORDS words by running totals (some 60 bytes a word in a worker), and a document passes
+all shards one after the other within its task. One item longer than that makes a shard of its own, since an item is one value
 of its table. Items are read shard by shard through the driver, never all at once.
 
 Defined results: null and wordless texts have no words and no hits; wordless items match
@@ -18,18 +18,18 @@ nothing; items with equal words are each reported. Repeated rows are judged one
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import read_table, text_or_empty
+from .common import bounded_batches, free_name, read_table, text_or_empty
 
 WINDOW = 10
 COVERAGE = 0.5
@@ -44,56 +44,80 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class ItemAutomaton:
-    """The suffix automaton of many items' words, with the items behind each window."""
+    """The suffix automaton of many items' words, with the items behind each window.
+
+    Most states have one way on, so that is kept in two flat arrays; only states with more have a dict.
+    """
 
     def __init__(self, items: Iterable[tuple[int, str | None]], window: int = WINDOW):
         self.window = window
         self.ids: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        cut = [(item, [self.ids.setdefault(w, len(self.ids)) for w in words]) for item, text in items if (words := words_of(text))]
+        self.word, self.next = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        cut = [(item, array("i", [self.ids.setdefault(w, len(self.ids)) for w in words])) for item, text in items if (words := words_of(text))]
         for _, ids in cut:
             last = 0
             for i in ids:
                 last = self._add(last, i)
         self.shortest = min((min(len(ids), window) for _, ids in cut), default=0)
-        #: Of the state that holds a window (the one where link is shorter): its items; and by length, of shorter items.
-        self.items: list[dict[int, set[int]]] = [{} for _ in self.next]
-        for item, ids in cut:
+        #: Of the state that holds a window (the one where link is shorter): its first item; further ones, and shorter items by length.
+        self.names = [item for item, _ in cut]
+        self.owner = array("i", [-1]) * len(self.link)
+        self.others: dict[int, dict[int, set[int]]] = {}
+        for number, (_, ids) in enumerate(cut):
+            n = min(len(ids), window)
             for state, _, end in self._walk(ids):
-                n = min(len(ids), window)
                 if end + 1 >= n:
                     state = self._holding(state, n)
-                    self.items[state].setdefault(n, set()).add(item)
-        self.above = [self._marked(s) for s in range(len(self.next))]
+                    if n == window and self.owner[state] < 0:
+                        self.owner[state] = number
+                    elif n < window or self.owner[state] != number:
+                        self.others.setdefault(state, {}).setdefault(n, set()).add(number)
+        self.above = array("i", [0]) * len(self.link)  # the nearest state from here up the links that holds windows, or 0
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            self.above[state] = state if self.owner[state] >= 0 or state in self.others else self.above[self.link[state]]
+
+    def _to(self, state: int, word: int) -> int:
+        """The state after word, or 0 (no way leads to the root)."""
+        if self.word[state] == word:
+            return self.next[state]
+        return self.more[state].get(word, 0) if state in self.more else 0
+
+    def _set(self, state: int, word: int, there: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.next[state] = word, there
+        else:
+            self.more.setdefault(state, {})[word] = there
+
+    def _state(self, link: int, length: int) -> int:
+        for values, value in ((self.word, -1), (self.next, 0), (self.link, link), (self.length, length)):
+            values.append(value)
+        return len(self.link) - 1
 
     def _add(self, last: int, word: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if word in nxt[last]:
-            there = nxt[last][word]
+        link, length = self.link, self.length
+        if there := self._to(last, word):
             return there if length[there] == length[last] + 1 else self._clone(last, word, there)
-        new = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        new = self._state(0, length[last] + 1)
         at = last
-        while at >= 0 and word not in nxt[at]:
-            nxt[at][word] = new
+        while at >= 0 and not self._to(at, word):
+            self._set(at, word, new)
             at = link[at]
         if at >= 0:
-            there = nxt[at][word]
+            there = self._to(at, word)
             link[new] = there if length[there] == length[at] + 1 else self._clone(at, word, there)
         return new
 
     def _clone(self, at: int, word: int, there: int) -> int:
         """Splits there at the strings that come by way of at, and gives the new state."""
-        new = len(self.next)
-        self.next.append(dict(self.next[there]))
-        self.link.append(self.link[there])
-        self.length.append(self.length[at] + 1)
+        new = self._state(self.link[there], self.length[at] + 1)
+        self.word[new], self.next[new] = self.word[there], self.next[there]
+        if there in self.more:
+            self.more[new] = dict(self.more[there])
         self.link[there] = new
-        while at >= 0 and self.next[at].get(word) == there:
-            self.next[at][word] = new
+        while at >= 0 and self._to(at, word) == there:
+            self._set(at, word, new)
             at = self.link[at]
         return new
 
@@ -102,22 +126,21 @@ class ItemAutomaton:
             state = self.link[state]
         return state
 
-    def _marked(self, state: int) -> int:
-        """The nearest state from here up the links that holds windows, or 0."""
-        while state > 0 and not self.items[state]:
-            state = self.link[state]
-        return max(state, 0)
-
-    def _walk(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
+    def _walk(self, ids: Iterable[int]) -> Iterator[tuple[int, int, int]]:
         """State, matched length and position, word by word."""
-        nxt, link, length = self.next, self.link, self.length
+        word, nxt, more, link, length = self.word, self.next, self.more, self.link, self.length
         state = matched = 0
         for k, i in enumerate(ids):
-            while state and i not in nxt[state]:
-                state = link[state]
-                matched = length[state]
-            if i in nxt[state]:
-                state, matched = nxt[state][i], matched + 1
+            while True:
+                if word[state] == i:
+                    state, matched = nxt[state], matched + 1
+                elif state in more and (there := more[state].get(i)):
+                    state, matched = there, matched + 1
+                elif state:
+                    state = link[state]
+                    matched = length[state]
+                    continue
+                break
             yield state, matched, k
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
@@ -137,9 +160,12 @@ class ItemAutomaton:
                 at = self.above[state]
                 longest = 0
                 while at:
-                    for n, items in self.items[at].items():
+                    if self.owner[at] >= 0 and self.window <= matched:
+                        found.add(self.names[self.owner[at]])
+                        longest = self.window
+                    for n, numbers in self.others.get(at, {}).items():
                         if n <= matched:
-                            found |= items
+                            found.update(map(self.names.__getitem__, numbers))
                             longest = max(longest, n)
                     at = self.above[self.link[at]]
                 if longest:
@@ -166,30 +192,57 @@ def _shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> list
     return [dealt.where(F.col("shard") == n) for n in numbers]
 
 
-def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs with n_words, hit_spans (of words, end exclusive) and found (item ids as strings); such columns are replaced."""
-    spark = docs.sparkSession
-    out = docs.drop("n_words", "hit_spans", "found")
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<struct<start:long,end:long>>"), "found": F.array().cast("array<string>")})
-    schema = T.StructType(out.schema.fields)
+#: Automata of the shards that this worker met last.
+_built: dict[tuple[str, int], ItemAutomaton] = {}
+
+
+def _automaton(shard: str, rows, window: int) -> ItemAutomaton:
+    """The automaton of a shard's rows, built once in each Python worker."""
+    if (shard, window) not in _built:
+        while len(_built) >= 2:
+            _built.pop(next(iter(_built)))
+        _built[shard, window] = ItemAutomaton(rows.value, window)
+    return _built[shard, window]
+
+
+def _scan(rows, window: int):
+    """A column function that adds the hits of a shard (a broadcast of its rows) to those found before."""
+    shard = uuid.uuid4().hex
+
+    @F.pandas_udf("n_words long, edges array<long>, found array<string>")
+    def scan(texts: pd.Series, edges: pd.Series, items_found: pd.Series) -> pd.DataFrame:
+        automaton, out = _automaton(shard, rows, window), []
+        for body, old_edges, old_found in zip(texts, edges, items_found):
+            words = words_of(body)
+            new_spans, new_found = automaton.scan(words)
+            spans = merged([*zip(old_edges[::2], old_edges[1::2]), *new_spans])
+            out.append((len(words), [e for span in spans for e in span], sorted({*old_found, *map(str, new_found)})))
+        return pd.DataFrame(out, columns=["n_words", "edges", "found"])
+
+    return scan
+
+
+def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Column:
+    """A column of docs: n_words, edges (starts and ends of the spans of words that are hit, in turn) and found (item ids as strings)."""
+    bounded_batches(docs.sparkSession)
+    made = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("edges"), F.array().cast("array<string>").alias("found"))
     for shard in _shards(items, item_id, item_text, shard_words):
-        rows = [(r[0], r[1]) for r in shard.select("item", "text").toLocalIterator()]
-        sent = spark.sparkContext.broadcast(rows)
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            automaton = ItemAutomaton(sent.value, window)
-            for batch in batches:
-                n_words, spans, found = [], [], []
-                for body, old_spans, old_found in zip(batch[text], batch["hit_spans"], batch["found"]):
-                    words = words_of(body)
-                    new_spans, new_found = automaton.scan(words)
-                    n_words.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in merged([*((s["start"], s["end"]) for s in old_spans), *new_spans])])
-                    found.append(sorted({*old_found, *map(str, new_found)}))
-                yield batch.assign(n_words=n_words, hit_spans=spans, found=found)
-
-        out = out.mapInPandas(scan, schema)
-    return out
+        rows = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in shard.select("item", "text").toLocalIterator()])
+        made = _scan(rows, window)(F.col(text).cast("string"), made["edges"], made["found"])
+    return made
+
+
+def spans_of(edges: Column) -> Column:
+    """Starts and ends in turn as an array of structs."""
+    spans = F.transform(F.sequence(F.lit(1), F.size(edges) - 1, F.lit(2)), lambda k: F.struct(F.element_at(edges, k).alias("start"), F.element_at(edges, k + 1).alias("end")))
+    return F.when(F.size(edges) > 0, spans).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
+
+
+def with_hits(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """docs with n_words, hit_spans (of words, end exclusive) and found (item ids as strings); such columns are replaced."""
+    own = free_name(docs, "made")
+    made = {"n_words": F.col(f"{own}.n_words"), "hit_spans": spans_of(F.col(f"{own}.edges")), "found": F.col(f"{own}.found")}
+    return docs.withColumn(own, hits(docs, items, **options)).withColumns(made).drop(own)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -202,31 +255,33 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hit_count() -> F.Column:
-    return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+def hit_count(spans: str = "hit_spans") -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", coverage: float = COVERAGE, **options) -> DataFrame:
-    """docs without hit spans; those covered beyond coverage go. The columns of docs stay as they are."""
-    names = docs.columns
-    judged = with_hits(docs, items, text=text, **options)
+    """docs without hit spans; those covered beyond coverage go. All other columns of docs stay as they are, whatever their names."""
+    own = free_name(docs, "made")
+    judged = docs.withColumn(own, hits(docs, items, text=text, **options))
 
     @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def without(texts: pd.Series, edges: pd.Series) -> pd.Series:
         out = []
-        for body, cut in zip(texts, spans):
-            if len(cut):
+        for body, cut in zip(texts, edges):
+            if body is not None and len(cut):
                 raw, kept, at = body.encode(), [], 0
                 places = [m.span() for m in WORD.finditer(raw.lower())]
-                for s in cut:
-                    kept.append(raw[at : places[s["start"]][0]])
-                    at = places[s["end"] - 1][1]
+                for start, end in zip(cut[::2], cut[1::2]):
+                    kept.append(raw[at : places[start][0]])
+                    at = places[end - 1][1]
                 body = b"".join([*kept, raw[at:]]).decode()
             out.append(body)
         return pd.Series(out, dtype=object)
 
-    kept = judged.where((F.size("hit_spans") == 0) | (hit_count() <= F.lit(coverage) * F.col("n_words")))
-    return kept.withColumn(text, F.when(F.size("hit_spans") == 0, F.col(text)).otherwise(without(F.col(text), F.col("hit_spans")))).select(*names)
+    edges = F.col(f"{own}.edges")
+    n_hit = F.aggregate(F.transform(edges, lambda e, k: F.when(k % 2 == 1, e).otherwise(-e)), F.lit(0).cast("long"), lambda n, e: n + e)
+    kept = judged.where(n_hit <= F.lit(coverage) * F.col(f"{own}.n_words"))
+    return kept.withColumn(text, F.when(F.size(edges) == 0, F.col(text)).otherwise(without(F.col(text), edges))).drop(own)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,20 +10,23 @@ similarity of their labelled shingles, and only when the two stand in the same o
 two sketches; texts that share a band are candidates.
 
 Links. Equal texts (by SHA-256) are one text from the start, so groups of copies take one row
-each. In a band bucket every text is aligned with the bucket's first text only, which keeps
-pairs in proportion to rows; components follow. What a bucket may still hide are links between
-different components of it, so the texts of all buckets with several components are compared
-once more, whatever sketches they share and however many there are. An edit changes two pairs of
-neighbouring words at most, so similar texts of n words have about 0.6 n such pairs in common,
-and in any fixed order of pairs they share one among the first of each (first_grams). The order
-puts pairs of few texts first, which moves passages that many texts share to the end. Texts that
-share such a first pair are compared, again with the first text of the pair's bucket first, then
-in blocks with all of other components; pairs are left out where their lengths, or bags of words
-kept as bits, need more than the allowed edits. So every similar pair of these texts is aligned
-or is in one class already.
-
-Alignment is exact within a band of diagonals as wide as the allowed edits, tried with narrow
-bands first. It works on arrays of 64-bit word hashes, two texts at a time.
+each. In a band bucket every text is a candidate of the bucket's first text only, which keeps
+pairs in proportion to rows: each text is aligned with the first text that it meets in most
+buckets, then, where that leaves it in another component, with the others. What a bucket may still
+hide are links between different components of it, so the texts of all buckets with several
+components are compared once more, whatever sketches they share and however many there are. An
+edit changes two pairs of neighbouring words at most, so similar texts of n words have about
+0.6 n such pairs (grams) in common, and in any fixed order of grams they share one among the first
+of each (first_grams). The order puts grams of few texts first, which moves passages that many
+texts share to the end. A gram whose texts all have one other gram in common is left out, as that
+brings them together. The texts of a gram make up a cell; a gram of many texts makes a cell of each
+two blocks of them. A task compares the texts of a cell, those of one component never, those that
+lengths or bags of words (kept as bits) rule out never, and a few of each two components at a
+time, since one link is enough; it gives links, not pairs. So every similar pair of these texts is
+aligned or is in one class already.
+
+Alignment is exact within a band of diagonals as wide as the allowed edits, tried with a narrow
+band first; many pairs of like length are worked through at once, and very wide bands one by one.
 
 What is missed: similar texts that share no band. With shingle similarity J about the share
 (1 - J**4) ** 64 of such pairs is missed: none at 0.6 or more, 2 in 100 at 0.5, 19 in 100 at 0.4.
@@ -46,16 +49,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.skew import join_spread
-from .common import Scratch, bounded_batches, read_table, written
+from .common import Scratch, bounded_batches, free_name, read_table, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 32
 STRIDES = (1, 5)  # a band joins a sketch with the one so many places on
-BLOCK = 512  # rows of a bucket that meet all others in one task
+BLOCK = 250  # texts of a block; a cell has one or two blocks
 COUNTED = 1 << 18  # counters of grams, by hash
-BAG_LONGS = 8
+MOST_BITS = 1 << 17  # of a bag of words
 WORDS_AT_ONCE = 200_000
+NARROW = 32  # edits that the first band allows
+CELLS_AT_ONCE = 1 << 19  # table entries that pairs aligned together have in a row of their bands
+WIDE = 1024  # half width from which a band is worked through for a pair alone
+FAR = 16_000
 LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -135,10 +142,14 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows doc_id, sha, words (hashes) to rows doc_id, sha, n_words, sketches."""
+    """Rows doc_id, sha, words (hashes) to rows doc_id, sha, n_words, sketches (null without words)."""
     for batch in batches:
         for part, words, sizes in _slices(batch):
-            columns = [part.column("doc_id"), part.column("sha"), pa.array(sizes.astype(np.int32)), _lists(sketches(words, sizes))]
+            has = np.flatnonzero(sizes)
+            found = _lists(sketches(words, sizes[has])) if len(has) else pa.array([], pa.list_(pa.int64()))
+            place = np.full(len(sizes), -1)
+            place[has] = np.arange(len(has))
+            columns = [part.column("doc_id"), part.column("sha"), pa.array(sizes.astype(np.int32)), found.take(pa.array(place, mask=place < 0))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "n_words", "sketches"])
 
 
@@ -197,17 +208,70 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return distance if distance <= most else None
 
 
+def _most(n: np.ndarray, least: float) -> np.ndarray:
+    """The edits that similar texts may differ by, the longer having n words."""
+    return np.floor((1 - least) * n + 1e-9).astype(np.int64)
+
+
+def _distances(a: list[np.ndarray], b: list[np.ndarray], most: int) -> np.ndarray:
+    """The edit distance of each a and b where it is at most most, else a larger number. Bands of all pairs are filled side by side."""
+    rows, columns = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    height, width = int(rows.max()), 2 * most + 1
+    kind = np.int16 if height < FAR else np.int32
+    first, second = np.full((len(a), height), -1, np.int32), np.full((len(b), height + width), -2, np.int32)  # second has room for the band on both sides
+    for k, (x, y) in enumerate(zip(a, b)):
+        first[k, : len(x)] = x
+        second[k, most : most + len(y)] = y
+    first, second = np.ascontiguousarray(first.T), np.ascontiguousarray(second.T)
+    steps = np.arange(width, dtype=kind)[:, None]
+    row = np.repeat(np.where(steps >= most, steps - most, kind(FAR)), len(a), 1)  # place d stands for column i + d - most
+    out = np.full(len(a), FAR, np.int64)
+    ends = {int(i): np.flatnonzero(rows == i) for i in np.unique(rows)}
+    for i in range(height + 1):
+        if i:
+            fresh = row + (second[i - 1 : i - 1 + width] != first[i - 1])
+            np.minimum(fresh[:-1], row[1:] + kind(1), out=fresh[:-1])
+            if i <= most:
+                fresh[: most - i] = FAR
+                fresh[most - i] = i
+            fresh -= steps
+            np.minimum.accumulate(fresh, axis=0, out=fresh)
+            fresh += steps
+            row = fresh
+        if i in ends:
+            k = ends[i]
+            out[k] = row[columns[k] - rows[k] + most, k]
+    return out
+
+
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """Is the edit similarity of each two arrays of words (numbers) at least least?"""
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    most = _most(np.maximum(n, m), least)
+    good = np.zeros(len(left), bool)
+    todo = np.flatnonzero(np.abs(n - m) <= most)
+    for band in (NARROW, None):
+        width = np.minimum(most, band) if band else most
+        here = todo[(np.abs(n - m)[todo] <= width[todo]) & (band is None or n[todo] < FAR)]
+        here = here[np.lexsort((n[here], width[here]))]
+        while len(here):
+            if width[here[-1]] >= WIDE:  # the widest bands, one by one
+                k, here = here[-1], here[:-1]
+                good[k] = edits_within(left[k], right[k], int(most[k])) is not None
+                continue
+            # From the longest on, pairs of at least half the length and band.
+            last = here[-1]
+            alike = (2 * n[here] >= n[last] - 8) & (2 * width[here] >= width[last] - 8)
+            batch = here[alike][-max(1, CELLS_AT_ONCE // (2 * int(width[last]) + 1)) :]
+            here = np.setdiff1d(here, batch, assume_unique=True)
+            here = here[np.lexsort((n[here], width[here]))]
+            good[batch] = _distances([left[k] for k in batch], [right[k] for k in batch], int(width[batch].max())) <= most[batch]
+        todo = todo[~good[todo] & (most[todo] > NARROW)]
+    return good
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Is the edit similarity of two arrays of words (hashes) at least least?"""
-    longer = max(len(a), len(b))
-    most = int(np.floor((1 - least) * longer + 1e-9))
-    if longer - min(len(a), len(b)) > most:
-        return False
-    _, code = np.unique(np.concatenate([a, b]), return_inverse=True)
-    kinds = int(code.max()) + 1 if longer else 0
-    x, y = code[: len(a)].astype(np.int32), code[len(a) :].astype(np.int32)
-    known = longer - int(np.minimum(np.bincount(x, minlength=kinds), np.bincount(y, minlength=kinds)).sum())  # edits that words not in common need
-    return known <= most and edits_within(x, y, most, known) is not None
+    return bool(similar_pairs([a], [b], least)[0])
 
 
 def gram_places(n: np.ndarray, least: float) -> np.ndarray:
@@ -236,54 +300,85 @@ def first_grams(words: np.ndarray, sizes: np.ndarray, texts: np.ndarray, least:
 
 
 def bags(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The words of each text (labelled by occurrence) as bits."""
+    """The words of each text (labelled by occurrence) as bits, eight or more times as many as the longest has words (up to MOST_BITS)."""
     value, _ = labelled_shingles(words, sizes, 1)
+    longs = 1 << int(np.ceil(np.log2(min(MOST_BITS, 8 * max(8, int(sizes.max()))) / 64)))
     text = np.repeat(np.arange(len(sizes)), sizes)
-    bits = np.zeros((len(sizes), BAG_LONGS), np.uint64)
-    np.bitwise_or.at(bits, (text, (value >> np.uint64(6)) % np.uint64(BAG_LONGS)), np.uint64(1) << (value & np.uint64(63)))
+    bits = np.zeros((len(sizes), longs), np.uint64)
+    np.bitwise_or.at(bits, (text, (value >> np.uint64(6)) % np.uint64(longs)), np.uint64(1) << (value & np.uint64(63)))
     return bits
 
 
+def lacking(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits of each x its y lacks. A bit stands for a word, at least, that an edit takes away."""
+    step = max(1, (1 << 20) // bits.shape[1])
+    return np.concatenate([np.bitwise_count(bits[x[k : k + step]] & ~bits[y[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(x), step)] or [np.zeros(0, np.int64)])
+
+
+def words_of(text: Column) -> Column:
+    """Words: lower case, cut at white space of any kind."""
+    return F.filter(F.split(F.lower(text), r"[\s\p{Z}\x85]+"), lambda w: w != "")
+
+
 def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), r"[\s\p{Z}\x85]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
+def _numbered(bodies: list[str]) -> list[np.ndarray]:
+    """The words of texts (joined by a space) as numbers."""
+    number: dict[str, int] = {}
+    return [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)) for words in (t.split(" ") for t in bodies)]
 
 
-def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of a written table whose texts (id, words) are similar. A text may be in any number of pairs."""
+def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of a written table whose texts (id, body) are similar. A text may be a in any number of pairs, and b in few."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("left"), batch.column("right"))]
-            good = [similar(*(flat[at[i] : at[i + 1]] for at, flat in sides), least) for i in range(len(batch))]
+            numbers = _numbered([*batch.column("left").to_pylist(), *batch.column("right").to_pylist()])
+            good = similar_pairs(numbers[: len(batch)], numbers[len(batch) :], least)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    total, joined = pairs.count(), pairs
-    for end, other, side in (("a", "b", "left"), ("b", "a", "right")):
-        degrees = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        joined = join_spread(joined, degrees.join(words.select(F.col("id").alias(end), F.col("words").alias(side)), end), end, other, total)
+    side = lambda end, name: bodies.select(F.col("id").alias(end), F.col("body").alias(name))
+    total = pairs.count()
+    left = join_spread(pairs, pairs.groupBy("a").agg(F.count("*").alias("n")).join(side("a", "left"), "a"), "a", "b", total)
     # Aligning costs far more than its bytes show, so few tasks would be made of them.
     spark = pairs.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return joined.select("a", "b", "left", "right").repartition(min(tasks, 1 + total // 16)).mapInArrow(check, "a long, b long")
+    return left.repartition(min(tasks, 1 + total // 16), "b").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """id and component (its smallest id) of each end of edges (a, b). Labels shrink by neighbours and by pointers."""
-    both = scratch.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    total = both.count()
-    labels = scratch.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component"), F.count("*").alias("n")), "labels")
+    """id and component (its smallest id) of each end of edges (a, b).
+
+    Each end points to its smallest neighbour, pointers are followed to their ends, and edges are
+    drawn between these ends, which at least halves the number of vertices each time.
+    """
+    left = scratch.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    whole = None
     while True:
-        near = join_spread(both.withColumnRenamed("b", "id"), labels, "id", "a", total).groupBy("a").agg(F.min("component").alias("near"))
-        stepped = labels.join(near, labels["id"] == near["a"]).select("id", "n", "component", F.least("component", "near").alias("next"))
-        stepped = scratch.written(stepped, "stepped")
-        roots = stepped.groupBy("next").agg(F.count("*").alias("size")).join(stepped.select(F.col("id").alias("next"), F.col("next").alias("root")), "next")
-        fresh = join_spread(stepped, roots, "next", "id", total, n="size")
-        fresh = scratch.written(fresh.select("id", "n", F.col("component").alias("old"), F.least("next", "root").alias("component")), "labels")
-        done = fresh.where("old <> component").isEmpty()
-        labels = fresh.select("id", "component", "n")
-        if done:
-            return labels.select("id", "component")
+        both = left.select(F.col("a").alias("id"), "b").unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("b")))
+        to = scratch.written(both.groupBy("id").agg(F.least(F.min("b"), F.col("id")).alias("to"), F.count("*").alias("degree")), "to")
+        total = to.count()
+        while True:
+            ends = to.groupBy("to").agg(F.count("*").alias("n")).join(to.select(F.col("id").alias("to"), F.col("to").alias("next")), "to")
+            fresh = scratch.written(join_spread(to, ends, "to", "id", total).select("id", "degree", F.col("to").alias("old"), F.col("next").alias("to")), "to")
+            to = fresh.drop("old")
+            if fresh.where('old <> "to"'.replace('"', "`")).isEmpty():
+                break
+        whole = to.select("id", F.col("to").alias("component")) if whole is None else scratch.written(_renamed(whole, to.select("id", "to")), "labels")
+        n_edges = 2 * left.count()
+        for end in ("a", "b"):
+            left = join_spread(left, to.select(F.col("id").alias(end), F.col("to").alias(f"c_{end}"), F.col("degree").alias("n")), end, "b" if end == "a" else "a", n_edges)
+        left = scratch.written(left.where("c_a <> c_b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct(), "edges")
+        if left.isEmpty():
+            return whole
+
+
+def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """labels (id, component) with components renamed as names (id, to) says."""
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n")).join(names.select(F.col("id").alias("component"), "to"), "component", "left")
+    return join_spread(labels, sizes, "component", "id", labels.count()).select("id", F.coalesce("to", "component").alias("component"))
 
 
 def _bands(texts: DataFrame) -> DataFrame:
@@ -298,23 +393,13 @@ def _near_length(a: str, b: str, least: float) -> Column:
     return longer - F.least(F.col(a), F.col(b)) <= F.floor(F.lit(1 - least) * longer + 1e-9)
 
 
-def _near_bag(x: str, y: str, nx: str, ny: str, least: float) -> Column:
-    """May texts with such bags be similar? A bit of x that y lacks stands for a word of x, at least, that an edit takes away."""
-    longer = F.greatest(F.col(nx), F.col(ny))
-    spare = F.floor(F.lit(1 - least) * longer + 1e-9) - longer
-    lacks = lambda a, b: sum(F.bit_count(F.element_at(a, k).bitwiseAND(F.bitwise_not(F.element_at(b, k)))) for k in range(1, BAG_LONGS + 1))
-    return (lacks(x, y) <= F.col(nx) + spare) & (lacks(y, x) <= F.col(ny) + spare)
-
-
 def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def _open_keys(named: DataFrame) -> DataFrame:
-    """Keys with several components: key, n, and the first text (leader) with its n_words and component."""
-    of_first = lambda c: F.min_by(c, "id").alias(f"leader_{c}")
-    groups = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min("id").alias("leader"), of_first("n_words"), of_first("component"))
-    return groups.where("low < high").drop("low", "high")
+    """Keys with texts of several components: key, n."""
+    return named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
 
 
 def _relabelled(labels: DataFrame, new: DataFrame, scratch: Scratch) -> DataFrame:
@@ -324,17 +409,13 @@ def _relabelled(labels: DataFrame, new: DataFrame, scratch: Scratch) -> DataFram
     ends = new.select(F.col("a").alias("id")).unionByName(new.select(F.col("b").alias("id"))).distinct()
     whole = scratch.written(labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))), "labels")
     of = lambda end: whole.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
-    joins = scratch.written(new.join(of("a"), "a").join(of("b"), "b").where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), "joins")
-    if joins.isEmpty():
-        return whole
-    sizes = whole.groupBy("component").agg(F.count("*").alias("n"))
-    renamed = sizes.join(components(joins, scratch).select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
-    return scratch.written(join_spread(whole, renamed, "component", "id", whole.count()).select("id", F.coalesce("now", "component").alias("component")), "labels")
+    joins = new.join(of("a"), "a").join(of("b"), "b").where("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    joins = scratch.written(joins.distinct(), "joins")
+    return whole if joins.isEmpty() else scratch.written(_renamed(whole, components(joins, scratch).withColumnRenamed("component", "to")), "labels")
 
 
-def _by_first_grams(words: DataFrame, ids: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """id, n_words, keys (first grams) and bag of the texts with these ids."""
-    texts = words.join(ids, "id", "left_semi")
+def _by_first_grams(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """id and keys (first grams) of texts (id, words)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTED, np.int64)
@@ -347,7 +428,7 @@ def _by_first_grams(words: DataFrame, ids: DataFrame, least: float, scratch: Scr
     found = texts.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTED rows
     counts = np.zeros(COUNTED, np.int64)
     counts[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    sent = words.sparkSession.sparkContext.broadcast(counts)
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,29 +436,121 @@ def _by_first_grams(words: DataFrame, ids: DataFrame, least: float, scratch: Scr
                 key, text = first_grams(flat, sizes, sent.value, least)
                 ends = np.searchsorted(text, np.arange(len(sizes) + 1))
                 keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes.astype(np.int32)), keys, _lists(bags(flat, sizes))], ["id", "n_words", "keys", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), keys], ["id", "keys"])
+
+    return scratch.written(texts.mapInArrow(cut, "id long, keys array<long>"), "grams")
+
+
+def _without_covered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (key, id, n: the key's number of ids) without keys all of whose ids have one other key in common that stays.
+
+    An id's largest key, and of those left its second largest, is looked at: where it is the same
+    for all ids of a key, that key brings them together already.
+    """
+    for place in (1, 2):
+        top = rows.groupBy("id").agg(F.max_by("key", F.struct("n", "key")).alias("top"))
+        if place == 2:
+            below = rows.join(top, "id").where("key <> top")
+            top = below.groupBy("id").agg(F.max_by("key", F.struct("n", "key")).alias("top"))
+        seen = rows.join(top, "id", "left")
+        spared = seen.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high"), F.count("top").alias("known"), F.count("*").alias("n"))
+        kept = spared.where("known < n OR low < high OR low = key").select("key", "n")
+        rows = scratch.written(join_spread(rows.drop("n"), kept.withColumn("size", F.col("n")), "key", "id", rows.count()).withColumnRenamed("size", "n"), "keys")
+    return rows
+
+
+def _cell_links(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join different components, found among the texts (id, component, body) of each key of rows (key, id, n).
+
+    Keys of few texts share cells. Two texts with several keys in common are compared in one cell only, that of the least.
+    """
+    total = rows.count()
+    many = F.col("n") > BLOCK
+    blocks = F.when(many, F.ceil(F.col("n") / BLOCK)).otherwise(1)
+    own = F.pmod(F.xxhash64("id"), blocks)
+    cell = F.when(many, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(1 + total // (2 * BLOCK))))
+    placed = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)), "cell": cell, "many": many})
+    placed = placed.select("id", "key", "cell", "many", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+    where = ["cell", "many", "i", "j"]
+    met = placed.groupBy("id", *where).agg(F.collect_list("key").alias("here"), F.max("second").alias("second"))
+    keys = rows.groupBy("id").agg(F.collect_list("key").alias("keys"))
+
+    def check(table: pa.Table) -> pa.Table:
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        second = table.column("second").to_numpy() if table.column("i")[0] != table.column("j")[0] else None
+        numbers = _numbered(table.column("body").to_pylist())
+        x, y = _candidates(numbers, component, table.column("here").to_pylist(), [frozenset(k) for k in table.column("keys").to_pylist()], second, least)
+        found = _spanning(numbers, component, x, y, least)
+        return pa.table({"a": ids[[i for i, _ in found]], "b": ids[[j for _, j in found]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    full = met.join(texts.join(keys, "id"), "id").repartition(tasks, *where)
+    return full.groupBy(*where).applyInArrow(check, "a long, b long")
 
-    return scratch.written(texts.mapInArrow(cut, "id long, n_words int, keys array<long>, bag array<long>"), "grams")
 
+def _candidates(numbers: list[np.ndarray], component: np.ndarray, here: list[list[int]], keys: list[frozenset], second: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of different components that have a key of this cell as their least one in common, and whose lengths and bags allow similarity.
 
-def _block_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of rows (key, n, id, n_words, component, bag) of one key and different components that may be similar, a block of a key with all its rows in a task."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    side = lambda d: [F.col("id").alias(d), F.col("component").alias(f"c{d}"), F.col("n_words").alias(f"n{d}"), F.col("bag").alias(f"b{d}")]
-    left = rows.select("key", F.pmod(F.xxhash64("id"), blocks).alias("block"), *side("x"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), *side("y"))
-    may = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & _near_length("nx", "ny", least) & _near_bag("bx", "by", "nx", "ny", least)
-    return left.join(right, ["key", "block"]).where(may).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    With second, only pairs of a text of the first block and one of the second.
+    """
+    sizes = np.array([len(x) for x in numbers], np.int64)
+    bits = bags(np.concatenate(numbers).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), sizes)
+    members: dict[int, list[int]] = {}
+    for place, mine in enumerate(here):
+        for k in mine:
+            members.setdefault(k, []).append(place)
+    xs, ys = [], []
+    for k, places in members.items():
+        at = np.array(places)
+        if second is None:
+            i, j = np.triu_indices(len(at), 1)
+        else:
+            i, j = (v.ravel() for v in np.meshgrid(np.flatnonzero(~second[at]), np.flatnonzero(second[at])))
+        x, y = at[i], at[j]
+        longer = np.maximum(sizes[x], sizes[y])
+        spare = _most(longer, least)
+        may = (component[x] != component[y]) & (longer - np.minimum(sizes[x], sizes[y]) <= spare)
+        x, y, longer, spare = x[may], y[may], longer[may], spare[may]
+        may = lacking(bits, x, y) <= sizes[x] - longer + spare
+        x, y, longer, spare = x[may], y[may], longer[may], spare[may]
+        may = lacking(bits, y, x) <= sizes[y] - longer + spare
+        pairs = [(i, j) for i, j in zip(x[may].tolist(), y[may].tolist()) if min(keys[i] & keys[j]) == k]
+        xs += [i for i, _ in pairs]
+        ys += [j for _, j in pairs]
+    return np.array(xs, np.int64), np.array(ys, np.int64)
+
+
+def _spanning(numbers: list[np.ndarray], component: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Similar pairs of (x, y) that join all components which any of these pairs joins. Pairs of components already joined aren't aligned."""
+    _, group = np.unique(component, return_inverse=True)
+    out, share = [], 1
+    while len(x):
+        low, high = np.minimum(group[x], group[y]), np.maximum(group[x], group[y])
+        order = np.lexsort((high, low))
+        x, y, low, high = x[order], y[order], low[order], high[order]
+        new = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        turn = place < share  # so many of each two components
+        good = similar_pairs([numbers[i] for i in x[turn]], [numbers[j] for j in y[turn]], least)
+        for i, j in zip(x[turn][good], y[turn][good]):
+            if group[i] != group[j]:
+                out.append((i, j))
+                group[group == max(group[i], group[j])] = min(group[i], group[j])
+        x, y = x[~turn], y[~turn]
+        apart = group[x] != group[y]
+        x, y, share = x[apart], y[apart], share * 4
+    return out
 
 
 def near_labels(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: the rows with words (doc_id, sha), the texts (id, sha, doc_id, n) and the components (id, component) that verified links make."""
+    """Written tables: the rows (doc_id, sha, n_words), the texts with words (id, sha, doc_id, n) and the components (id, component) that verified links make."""
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("sha", F.sha2("text", 256))
-    hashed = own.select("doc_id", "sha", word_hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
+    hashed = own.select("doc_id", "sha", word_hashes(F.col("text")).alias("words"))
     made = T.StructType([*hashed.drop("words").schema.fields, T.StructField("n_words", T.IntegerType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
     rows = scratch.written(hashed.mapInArrow(_sketched, made), "sketches")
-    texts = rows.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+    texts = rows.where("n_words > 0").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
     texts = scratch.written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
 
     # Band rows of keys that two texts have, with the key's first text.
@@ -385,43 +558,34 @@ def near_labels(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
     keys = bands.groupBy("key").agg(F.min("id").alias("leader"), F.min_by("n_words", "id").alias("leader_words"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.written(join_spread(bands, scratch.written(keys, "keys"), "key", "id", texts.count() * len(STRIDES) * SKETCHES), "bands")
     wanted = scratch.written(texts.join(shared.select("id").distinct(), "id", "left_semi").select("id", "n", F.col("doc_id").alias("own"), F.col("sha").alias("own_sha")), "wanted")
-    read = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("sha") == F.col("own_sha"))).select("id", "n", word_hashes(F.col("text")).alias("words"))
-    read = scratch.written(read, "words")
-    repeated = scratch.written(read.where("n > 1").dropDuplicates(["id"]), "words")  # rows may repeat whole
-    words = read.where("n = 1").unionByName(repeated).select("id", "words")
+    read = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("sha") == F.col("own_sha"))).select("id", "n", F.array_join(words_of(F.col("text")), " ").alias("body"))
+    read = scratch.written(read, "bodies")
+    repeated = scratch.written(read.where("n > 1").dropDuplicates(["id"]), "bodies")  # rows may repeat whole
+    bodies = read.where("n = 1").unionByName(repeated).select("id", "body")
 
     led = shared.where((F.col("leader") < F.col("id")) & _near_length("leader_words", "n_words", least))
-    tried = scratch.written(led.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    labels = components(scratch.written(_verified(tried, words, least), "links"), scratch)
-    named = scratch.written(_named(shared.select("key", "id", "n_words"), labels), "named")
-    open_keys = scratch.written(_open_keys(named).select("key", "n"), "open")
+    led = scratch.written(led.groupBy("leader", "id").agg(F.count("*").alias("n")), "led")
+    best = scratch.written(led.groupBy(F.col("id").alias("b")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")).select("a", "b"), "pairs")
+    labels = components(scratch.written(_verified(best, bodies, least), "links"), scratch)
+    others = led.select(F.col("leader").alias("a"), F.col("id").alias("b")).join(best, ["a", "b"], "left_anti")
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+    apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").where("c_a IS NULL OR c_b IS NULL OR c_a <> c_b").select("a", "b")
+    labels = _relabelled(labels, scratch.written(_verified(scratch.written(apart, "pairs"), bodies, least), "links"), scratch)
+
+    named = scratch.written(_named(shared.select("key", "id"), labels), "named")
+    open_keys = scratch.written(_open_keys(named), "open")
     if open_keys.isEmpty():
         return rows, texts, labels
     ids = scratch.written(join_spread(named, open_keys, "key", "id", named.count()).select("id").distinct(), "ids")
-    grams = _by_first_grams(words, ids, least, scratch)
-
-    def open_rows() -> tuple[DataFrame, DataFrame]:
-        each = _named(grams, labels).select("id", "n_words", "component", "bag", F.explode("keys").alias("key"))
-        return each, scratch.written(_open_keys(each), "open")
-
-    def aligned(pairs: DataFrame) -> None:
-        nonlocal labels, tried
-        fresh = scratch.written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried, labels = tried.unionByName(fresh), _relabelled(labels, scratch.written(_verified(fresh, words, least), "links"), scratch)
-
-    each, firsts = open_rows()
-    total = each.count()
-    bag = grams.select(F.col("id").alias("leader"), F.col("bag").alias("leader_bag"))
-    near = (F.col("component") != F.col("leader_component")) & _near_length("leader_n_words", "n_words", least) & _near_bag("leader_bag", "bag", "leader_n_words", "n_words", least)
-    aligned(join_spread(each, firsts.join(bag, "leader"), "key", "id", total).where(near).select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    each, firsts = open_rows()
-    rest = join_spread(each, firsts.select("key", "n", F.col("n").alias("rows")), "key", "id", total).withColumnRenamed("rows", "n")
-    aligned(_block_pairs(scratch.written(rest, "rest"), least))
-    return rows, texts, labels
+    few = scratch.written(_named(bodies.join(ids, "id", "left_semi"), labels), "bodies")
+    grams = _by_first_grams(few.select("id", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("words")), least, scratch)
+    each = scratch.written(_named(grams.select("id", F.explode("keys").alias("key")), labels), "grams")
+    met = scratch.written(join_spread(each, _open_keys(each).withColumn("size", F.col("n")), "key", "id", each.count()).select("key", "id", F.col("size").alias("n")), "met")
+    return rows, texts, _relabelled(labels, scratch.written(_cell_links(_without_covered(met, scratch), few, least), "links"), scratch)
 
 
 def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """A written table, a row per row with words: doc_id, sha (of its text), class_id, n_copies, and first (the SHA-256 of the class's text that stands for it)."""
+    """A written table, a row per row: doc_id, sha (of its text), n_words, class_id, n_copies, and first (the SHA-256 of the class's text that stands for it)."""
     scratch = Scratch(docs.sparkSession, "near")
     rows, texts, labels = near_labels(docs, scratch, doc_id, text, least)
     of_class = texts.select("id", "sha", "doc_id").join(labels, "id")
@@ -429,16 +593,16 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     linked = join_spread(labels, classes, "component", "id", labels.count()).select("id", "class_id", "first")
     named = texts.select("id", "sha", "n", F.col("doc_id").alias("own")).join(linked, "id", "left")
     named = named.select("sha", "n", F.col("n").alias("n_copies"), F.when(F.col("first").isNull(), F.col("own")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("first", "sha").alias("first"))
-    out = written(join_spread(rows.select("doc_id", "sha"), named, "sha", "doc_id", rows.count()), "near")
+    with_words = join_spread(rows.where("n_words > 0").select("doc_id", "sha", "n_words"), named, "sha", "doc_id", rows.count())
+    alone = rows.where("n_words = 0").select("doc_id", "sha", "n_words", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.col("sha").alias("first"))
+    out = written(with_words.unionByName(alone), "near")
     scratch.drop()
     return out
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_copies (rows with the very same text) for each row."""
-    found = near_rows(docs, doc_id, text, least).select("doc_id", "class_id", "n_copies")
-    alone = docs.where(F.coalesce(F.size(word_hashes(F.col(text).cast("string"))), F.lit(0)) <= 0).select(F.col(doc_id).alias("doc_id"))
-    return found.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies")))
+    return near_rows(docs, doc_id, text, least).select("doc_id", "class_id", "n_copies")
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -447,14 +611,14 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Columns must be of types that Spark can order.
     """
     found = near_rows(docs, doc_id, text, least)
-    own, sha = "__doc_id", "__sha"
-    kept = found.where("sha = first").groupBy("sha").agg(F.min("doc_id").alias(own), F.count("*").alias("__n")).withColumnRenamed("sha", sha)
-    wordless = F.coalesce(F.size(word_hashes(F.col(text).cast("string"))), F.lit(0)) <= 0
-    keyed = docs.withColumn("__key", F.sha2(F.col(text).cast("string"), 256))
-    single = keyed.join(kept, F.col("__key") == F.col(sha)).where(F.col(doc_id).eqNullSafe(F.col(own)))
-    once = single.where("__n = 1").select(*docs.columns)
-    repeated = single.where("__n > 1").groupBy("__key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row")).select("__row.*")
-    return once.unionByName(repeated).unionByName(docs.where(wordless))
+    key, own, sha, n, row = (free_name(docs, name) for name in ("key", "own", "sha", "n_rows", "row"))
+    kept = found.where("n_words > 0 AND sha = first").groupBy(F.col("sha").alias(sha)).agg(F.min("doc_id").alias(own), F.count("*").alias(n))
+    keyed = docs.withColumn(key, F.sha2(F.col(text).cast("string"), 256))
+    single = keyed.join(kept, F.col(key) == F.col(sha)).where(F.col(doc_id).eqNullSafe(F.col(own)))
+    once = single.where(F.col(n) == 1).select(*docs.columns)
+    repeated = single.where(F.col(n) > 1).groupBy(key).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row)).select(f"{row}.*")
+    wordless = docs.where(F.col(text).isNull() | ~F.col(text).cast("string").rlike(r"[^\s\p{Z}\x85]"))
+    return once.unionByName(repeated).unionByName(wordless)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 r"""Operator 3: personal data by weak supervision, in Spark expressions only.
 
 Four kinds have fixed patterns (email, ip, card, phone); their spans are found as written and
-always stay. Further candidates (opaque tokens that may be secrets) are judged by labelers: a
-regular expression for their shape, a gazetteer of words that announce them, their context
-(assignment or quotes) and their mix of characters. Votes of all candidates, base spans with
-them, are counted by pattern; expectation-maximisation over those counts estimates each
-labeler's reliability, and the posterior of each pattern trains a logistic span classifier on
-votes and shape features. Candidates it accepts become spans of kind secret unless they overlap
-a base span.
+always stay. Spans of further kinds (EXTRA_KINDS) start as candidates of a loose pattern and are
+judged by labelers, which look at different things: a regular expression for the strict layout of
+the kind, a gazetteer of words that announce it nearby, its immediate context (assignment, colon,
+quotes, postal code) and the make-up of its characters. Votes of all candidates are counted by
+pattern; expectation-maximisation over those counts estimates each labeler's reliability, and the
+posterior of each pattern trains a logistic span classifier on votes, kind and shape features.
+Candidates it accepts become spans, unless a base span covers them.
 
 The pattern table has at most PATTERNS rows whatever the input, so the driver may hold it; all
 else is columns. Positions come from the lengths of what lies between matches, in code points.
+Labelers look at NEAR_BEFORE characters before a candidate and NEAR_AFTER after it (parameters).
 
 Texts are cut with patterns that no long run can slow down or overflow: a joining character
 (. within a domain, one space or hyphen between digits) is first turned, in place, into U+0003,
@@ -18,7 +19,7 @@ after any U+0003 of the text became U+0004. Then every repetition is of a single
 match is tried only where a run begins or where the last match ended.
 
 Defined results: null is the empty text, which has no spans. Repeated rows are judged each. No
-candidates, or none that the labelers tell apart, leave the base spans.
+candidates leave the base spans. A candidate of any length is judged whole.
 """
 
 from __future__ import annotations
@@ -28,17 +29,43 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty, written
+from ..functions.arrays import let, running_ends, running_max
+from .common import free_name, read_table, text_or_empty, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-EXTRA_KIND = "secret"
-LABELERS = ("shape", "gazetteer", "context", "mix")
-FEATURES = (*LABELERS, "long", "hex", "cased", "base")
-PATTERNS = 2 ** len(FEATURES)
+EXTRA_KINDS = ("secret", "account", "national_id", "name", "address")
+LABELERS = ("layout", "gazetteer", "context", "mix")
+FEATURES = (*LABELERS, "long", *EXTRA_KINDS)
+PATTERNS = 2 ** len(LABELERS) * 2 * len(EXTRA_KINDS)
 #: Characters looked at before and after a candidate.
-NEAR_BEFORE, NEAR_AFTER = 24, 1
-#: Words that announce secrets.
-GAZETTEER = ("token", "secret", "passwd", "password", "pwd", "api", "key", "auth", "bearer", "credential", "private", "session")
+NEAR_BEFORE, NEAR_AFTER = 48, 16
+#: Loose patterns of the further kinds. Names need a title, addresses a number and a word for a way.
+CANDIDATES = {
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
+    "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{L}{1,30}+(?: \p{Lu}\p{L}{1,30}+)?",
+    "address": r"(?<!\p{L})(?:[0-9]{1,5} \p{Lu}\p{L}{1,30}+ (?:Street|Avenue|Road|Lane|Boulevard|Drive)|\p{Lu}\p{L}{2,30}(?:straße|gasse|weg) [0-9]{1,4}+|[0-9]{1,5},? (?:rue|avenue|calle) \p{L}{2,30}+)",
+}
+#: A strict layout of each kind: common key lengths and prefixes, lengths of account numbers, number areas in use, two-part names, capitals or a comma after the way.
+LAYOUTS = {
+    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{20,})",
+    "account": r"^(?:DE[0-9]{20}|FR[0-9]{12}[A-Z0-9]{11}[0-9]{2}|ES[0-9]{22}|GB[0-9]{2}[A-Z]{4}[0-9]{14}|NL[0-9]{2}[A-Z]{4}[0-9]{10}|IT[0-9]{2}[A-Z][0-9]{22})$",
+    "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
+    "name": r" \p{Lu}\p{L}+ \p{Lu}\p{L}+$",
+    "address": r"^(?:[0-9]{1,5} \p{Lu}\p{L}+ (?:Street|Avenue|Road|Lane|Boulevard|Drive)|\p{Lu}\p{L}+(?:straße|gasse|weg) [0-9]+)$",
+}
+#: Words that announce each kind, in lower case.
+GAZETTEER = {
+    "secret": ("token", "secret", "passwd", "password", "pwd", "api", "key", "auth", "bearer", "credential", "private", "session"),
+    "account": ("iban", "account", "bank", "konto", "compte", "cuenta", "transfer", "pay"),
+    "national_id": ("ssn", "social", "security", "national", "insurance", "tax", "identity"),
+    "name": ("dear", "signed", "contact", "patient", "employee", "regards", "tenant", "sehr geehrte", "cher", "estimad"),
+    "address": ("address", "lives", "residence", "ship", "deliver", "anschrift", "wohnt", "adresse", "dirección"),
+}
+#: What stands right before or after each kind.
+CONTEXT_BEFORE = {"secret": r"""[=:]\s*["']?$""", "account": r"[:#]\s*$", "national_id": r"[:#]\s*$", "name": r"(?:[:,]\s*|^\s*)$", "address": r"[:,]\s*$"}
+CONTEXT_AFTER = {"secret": r"""^["'](?:\W|$)""", "account": r"^\s*(?:BIC|\()", "national_id": r"^\s*(?:[,;.]|$)", "name": r"^(?:,|'s|\s+(?:born|lives|called|said))", "address": r"^,?\s*(?:[0-9]{4,5}|\p{Lu})"}
 SPAN = "struct<kind:string,start:int,end:int>"
 JOIN = "\x03"
 
@@ -46,16 +73,9 @@ JOIN = "\x03"
 def _spans(kind: str, text: Column, pattern: str) -> Column:
     """Spans of all matches, leftmost and apart."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(between, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        end = start + s["size"]
-        one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")))
-        return F.when(s["size"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["spans"], one).alias("spans")))
-
-    return F.aggregate(sizes, zero, step)["spans"]
+    sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
+    one = lambda s, end: F.struct(F.lit(kind).alias("kind"), (end - s["size"]).alias("start"), end.alias("end"))
+    return let(sizes, lambda all_sizes: F.zip_with(all_sizes, running_ends(F.transform(all_sizes, lambda s: s["gap"] + s["size"])), one))
 
 
 def _inside(text: Column, span: Column) -> Column:
@@ -94,43 +114,55 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,256}(?![A-Za-z0-9_+/=-])"
-
-
-def _features(text: Column, span: Column) -> Column:
-    """Bits of a span, in the order of FEATURES, as one number."""
+def _pattern(text: Column, kind: str, span: Column, near_before: int, near_after: int) -> Column:
+    """Votes (a bit each, in the order of LABELERS), a bit for length, and the kind's number, as one number."""
     body = _inside(text, span)
-    before = F.lower(F.substr(text, F.greatest(F.lit(1), span["start"] + 1 - NEAR_BEFORE), F.least(F.lit(NEAR_BEFORE), span["start"])))
-    after = F.substr(text, span["end"] + 1, F.lit(NEAR_AFTER))
-    is_hex = body.rlike("^[0-9a-fA-F]+$")
-    bits = (
-        (is_hex & F.length(body).isin(32, 40, 48, 64, 128)) | body.rlike("^(?=[A-Za-z0-9_+/=-]*[0-9])(?=[A-Za-z0-9_+/=-]*[a-z])(?=[A-Za-z0-9_+/=-]*[A-Z])") | (span["kind"] != EXTRA_KIND),
-        before.rlike("|".join(GAZETTEER)),
-        before.rlike(r"""[=:]\s*["']?$""") | (before.rlike("""["']$""") & after.isin('"', "'")),
-        body.rlike("[0-9]") & body.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(body, ""))) >= 9),
+    before = F.substr(text, F.greatest(F.lit(1), span["start"] + 1 - near_before), F.least(F.lit(near_before), span["start"]))
+    after = F.substr(text, span["end"] + 1, F.lit(near_after))
+    kinds_of_characters = sum((body.rlike(c).cast("int") for c in ("[0-9]", "[a-z]", "[A-Z]")), F.lit(0))
+    mixed = {
+        "secret": (kinds_of_characters >= 2) & body.rlike("[0-9]") & (F.length(F.regexp_replace(body, "[^0-9]", "")) * 8 >= F.length(body)),
+        "account": F.length(_digits(body)) * 2 >= F.length(body),
+        "national_id": F.size(F.array_distinct(F.split(_digits(body), ""))) >= 4,
+        "name": F.length(body).between(8, 40),
+        "address": F.length(body).between(8, 60),
+    }[kind]
+    votes = (
+        body.rlike(LAYOUTS[kind]),
+        F.lower(before).rlike("|".join(GAZETTEER[kind])),
+        before.rlike(CONTEXT_BEFORE[kind]) | after.rlike(CONTEXT_AFTER[kind]),
+        mixed,
         F.length(body) >= 32,
-        is_hex,
-        body.rlike("[a-z]") & body.rlike("[A-Z]"),
-        span["kind"] != EXTRA_KIND,
     )
-    return sum((F.when(b, 1 << k).otherwise(0) for k, b in enumerate(bits)), F.lit(0))
+    bits = sum((F.when(v, 1 << k).otherwise(0) for k, v in enumerate(votes)), F.lit(0))
+    return bits + F.lit(EXTRA_KINDS.index(kind) << len(votes))
+
+
+def bits_of(pattern: int) -> list[int]:
+    """The features of a pattern, in the order of FEATURES."""
+    votes = [pattern >> k & 1 for k in range(len(LABELERS) + 1)]
+    return votes + [int(k == pattern >> len(votes)) for k in range(len(EXTRA_KINDS))]
 
 
-def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base (spans), extra (span and pattern of each candidate apart from base) and voted (patterns of all)."""
+def with_candidates(docs: DataFrame, text: str = "text", base: str = "base", extra: str = "extra", near_before: int = NEAR_BEFORE, near_after: int = NEAR_AFTER) -> DataFrame:
+    """docs with two columns: base (spans of the fixed kinds) and extra (span and pattern of each candidate that no base span covers)."""
     body = text_or_empty(text)
-    found = docs.withColumns({f"_{k}": spans for k, spans in base_spans(body).items()})
-    found = found.withColumn("base", F.concat(*(f"_{k}" for k in BASE_KINDS))).drop(*(f"_{k}" for k in BASE_KINDS))
-    opaque = F.when(body.rlike("[A-Za-z0-9_+/=-]{16}"), _spans(EXTRA_KIND, body, CANDIDATE)).otherwise(F.array().cast(f"array<{SPAN}>"))
-    apart = F.filter("_opaque", lambda e: ~F.exists("base", lambda b: (e["start"] < b["end"]) & (b["start"] < e["end"])))
-    judged = F.transform(apart, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), _features(body, e).alias("pattern")))
-    found = found.withColumn("_opaque", opaque).withColumn("extra", judged).drop("_opaque")
-    return found.withColumn("voted", F.concat(F.transform("extra", lambda e: e["pattern"]), F.transform("base", lambda b: _features(body, b))))
+    found = docs.withColumn(base, F.concat(*base_spans(body).values()))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,pattern:int>>")
+    #: Cheap tests that a text must pass before a kind's pattern goes through it.
+    first = {"secret": body.rlike("[A-Za-z0-9_+/=-]{16}"), "account": body.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), "national_id": body.rlike("[0-9]-[0-9]{2}-[0-9]"), "name": body.rlike(r"[rsfeañ]\.? \p{Lu}") & body.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor)"), "address": body.rlike(r"[0-9]") & body.rlike(r"Street|Avenue|Road|Lane|Boulevard|Drive|straße|gasse|weg|rue|avenue|calle")}
+
+    def judged(kind: str) -> Column:
+        covered = lambda e: F.exists(base, lambda b: (e["start"] >= b["start"]) & (e["end"] <= b["end"]))
+        row = lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"), _pattern(body, kind, e, near_before, near_after).alias("pattern"))
+        return F.when(first[kind], F.transform(F.filter(_spans(kind, body, CANDIDATES[kind]), lambda e: ~covered(e)), row)).otherwise(none)
+
+    return found.withColumn(extra, F.concat(*map(judged, EXTRA_KINDS)))
 
 
 def reliabilities(counts: dict[int, int], rounds: int = 60) -> tuple[dict[int, float], list[tuple[float, float]]]:
     """By expectation-maximisation: the chance that a pattern is private, and each labeler's (hit rate, false rate)."""
-    votes = {p: [p >> k & 1 for k in range(len(LABELERS))] for p in counts}
+    votes = {p: bits_of(p)[: len(LABELERS)] for p in counts}
     total = sum(counts.values())
     share, rates = 0.5, [(0.8, 0.2)] * len(LABELERS)
     chance = dict.fromkeys(counts, 0.5)
@@ -154,7 +186,7 @@ def reliabilities(counts: dict[int, int], rounds: int = 60) -> tuple[dict[int, f
 def trained(counts: dict[int, int], steps: int = 400) -> list[float]:
     """Weights of the span classifier (the last is the offset), from the patterns' posteriors."""
     chance, _ = reliabilities(counts)
-    rows = [([p >> k & 1 for k in range(len(FEATURES))] + [1], n, chance[p]) for p, n in sorted(counts.items())]
+    rows = [(bits_of(p) + [1], n, chance[p]) for p, n in sorted(counts.items())]
     total = sum(n for _, n, _ in rows)
     weights = [0.0] * (len(FEATURES) + 1)
     for _ in range(steps):
@@ -167,39 +199,47 @@ def trained(counts: dict[int, int], steps: int = 400) -> list[float]:
     return weights
 
 
-def fit(candidates: DataFrame) -> list[float]:
+def fit(candidates: DataFrame, extra: str = "extra") -> list[float]:
     """The classifier for what with_candidates() gave. At most PATTERNS counts come to the driver."""
-    rows = candidates.select(F.explode("voted").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).collect()
+    rows = candidates.select(F.explode(F.col(f"{extra}.pattern")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).collect()
     counts = {r["pattern"]: r["n"] for r in rows}
     return trained(counts) if counts else [0.0] * len(FEATURES) + [-1.0]
 
 
-def all_spans(weights: list[float]) -> Column:
+def accepted(weights: list[float]) -> list[int]:
+    """The patterns that the classifier takes for private."""
+    return [p for p in range(PATTERNS) if weights[-1] + sum(w for w, v in zip(weights, bits_of(p)) if v) >= 0]
+
+
+def all_spans(weights: list[float], base: str = "base", extra: str = "extra") -> Column:
     """Base spans and accepted candidates of with_candidates(), by kind and then start."""
-    accepted = [p for p in range(PATTERNS) if weights[-1] + sum(w for k, w in enumerate(weights[:-1]) if p >> k & 1) >= 0]
-    kept = F.filter("extra", lambda e: F.array_contains(F.array(*map(F.lit, accepted)) if accepted else F.array(F.lit(-1)), e["pattern"]))
-    return F.concat("base", F.transform(kept, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"))))
+    right = F.array(*map(F.lit, accepted(weights) or [-1]))
+    kept = F.filter(extra, lambda e: F.array_contains(right, e["pattern"]))
+    return F.concat(base, F.transform(kept, lambda e: F.struct(e["kind"].alias("kind"), e["start"].alias("start"), e["end"].alias("end"))))
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones as one) replaced by its kind in brackets."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with each span (overlapping ones as one, of the first's kind) replaced by its kind in brackets."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    # A span's piece is the gap since the furthest end before it, and its mark unless it begins before that end.
+    furthest = lambda all_spans: F.concat(F.array(F.lit(0)), running_max(F.transform(all_spans, lambda s: s["end"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap, mark = F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        put = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(gap, mark)).alias("parts"))
-        over = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))
-        return F.when((s["start"] < acc["at"]) & (F.size(acc["parts"]) > 0), over).otherwise(put)
+    def pieces(all_spans: Column, ends: Column) -> Column:
+        mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        piece = lambda s, k: let(F.get(ends, k), lambda at: F.when((s["start"] < at), "").otherwise(F.concat(F.substr(text, at + 1, s["start"] - at), mark(s))))
+        rest = F.substr(text, F.element_at(ends, -1) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(all_spans, piece), ""), rest)
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    end = lambda acc: F.array_join(F.concat(acc["parts"], F.array(F.substr(text, acc["at"] + 1, F.length(text) - acc["at"]))), "")
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, zero, step, end))
+    made = let(ordered, lambda all_spans: let(furthest(all_spans), lambda ends: pieces(all_spans, ends)))
+    return F.when(F.size(spans) == 0, text).otherwise(made)
 
 
 def without_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs, same columns, with spans redacted. Texts are gone through twice: to count votes, and to redact."""
-    weights = fit(with_candidates(docs.select(text), text))
-    return with_candidates(docs, text).withColumn(text, F.when(F.col(text).isNotNull(), redacted(text_or_empty(text), all_spans(weights)))).drop("base", "extra", "voted")
+    weights = fit(with_candidates(docs.select(F.col(text).alias("text"))))
+    base, extra = free_name(docs, "base"), free_name(docs, "extra")
+    found = with_candidates(docs, text, base, extra)
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), redacted(text_or_empty(text), all_spans(weights, base, extra)))).drop(base, extra)
 
 
 def _listed(spans: Column | str) -> Column:
@@ -208,7 +248,7 @@ def _listed(spans: Column | str) -> Column:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = written(with_candidates(docs).drop("text"), "spans")
+    found = written(with_candidates(docs).drop("text"), "spans")  # so that texts are gone through once
     number_of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = {f"n_{k}": number_of(k) for k in BASE_KINDS}
     return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed(all_spans(fit(found))).alias("spans"))

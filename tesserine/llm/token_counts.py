@@ -23,10 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty
+from .common import bounded_batches, read_table, text_or_empty
 
 MARK = "▁"
-CACHED_SEGMENTS = 250_000
+#: A worker caches at most 4 * CACHED_SEGMENTS counts of segments of CACHED_LENGTH characters, some 40 MB.
+CACHED_SEGMENTS = 60_000
 CACHED_LENGTH = 48
 TOKEN_LIMIT = 4096
 
@@ -145,6 +146,7 @@ def token_count(text: Column, model_file: str) -> Column:
 
 def with_token_counts(docs: DataFrame, model_file: str, text: str = "text", limit: int = TOKEN_LIMIT) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit; columns of those names are replaced."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumns({"n_bytes": F.octet_length(text_or_empty(text)).cast("long"), "n_tokens": token_count(text_or_empty(text), model_file)}).withColumn("over_limit", F.col("n_tokens") > limit)
 
 

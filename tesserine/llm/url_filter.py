@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import free_name, read_table
 
 MAX_BLOCKS = 1 << 17
 KEYS_PER_BLOCK = 5
@@ -96,22 +96,24 @@ def listed_hits(urls: DataFrame, listed: DataFrame, url: str = "canonical", max_
     return maybe.join(own, url, "left_semi")
 
 
-def with_rules(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
-    """pages with host, path, rule, rule_verdict and canonical; such columns are replaced."""
+def with_rules(pages: DataFrame, url: str = "url", rules=RULES, verdict: str = "rule_verdict", key: str = "canonical") -> DataFrame:
+    """pages with host, path and rule, and with columns for the rule's verdict and the canonical URL; such columns are replaced."""
     out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    return out.withColumns({"rule": rule, "rule_verdict": verdict, "canonical": canonical(F.col("host"), F.col("path"))})
+    rule, said = rule_for(F.col("host"), F.col("path"), rules)
+    return out.withColumns({"rule": rule, verdict: said, key: canonical(F.col("host"), F.col("path"))})
 
 
 def filtered(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """pages with host, path, rule and verdict. listed has canonical URLs, in column canonical."""
-    judged = with_rules(pages, url, rules)
-    unruled = judged.where(F.col("rule").isNull())
-    hits = listed_hits(unruled, listed, max_blocks=max_blocks).withColumn("_hit", F.lit(True))
-    # Only the URLs that no rule fits meet the hits, so the join moves no row that a rule decides.
-    decided = judged.where(F.col("rule").isNotNull()).withColumn("verdict", F.col("rule_verdict"))
-    rest = unruled.join(hits, "canonical", "left").withColumn("verdict", F.when(F.col("_hit"), "block").otherwise("allow")).drop("_hit")
-    return decided.unionByName(rest).drop("rule_verdict", "canonical")
+    """pages with host, path, rule and verdict; such columns are replaced, others stay. listed has canonical URLs, in column canonical."""
+    said, key, hit = (free_name(pages, n) for n in ("rule_verdict", "canonical", "hit"))
+    judged = with_rules(pages, url, rules, said, key)
+    open_url = F.col("rule").isNull() & F.col(key).isNotNull()
+    unruled = judged.where(open_url)
+    found = listed_hits(unruled.select(F.col(key).alias("canonical")), listed, max_blocks=max_blocks).select(F.col("canonical").alias(key), F.lit(True).alias(hit))
+    # Only URLs that no rule fits, and that have a host, meet the hits; no other row is moved.
+    decided = judged.where(~open_url).withColumn("verdict", F.coalesce(said, F.lit("allow")))
+    rest = unruled.join(found, key, "left").withColumn("verdict", F.when(F.col(hit), "block").otherwise("allow")).drop(hit)
+    return decided.unionByName(rest).drop(said, key)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ are opened by pyarrow's file systems, so the folder can be any that they know.
 
 Defined results: a null payload is empty. Rows with equal page identifier and payload are
 written each; when they are the smallest, each is a response. A null page identifier is the
-empty target and comes back as null. Extra columns aren't kept.
+empty target, comes back as null, and is always a response.
+White space and controls of URLs are percent-encoded. Extra columns aren't kept.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.skew import join_spread
 from .common import new_path, read_table, written
 
 MIN_REVISIT = 100
@@ -47,9 +49,12 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     raw = F.coalesce(F.encode(F.col(payload).cast("string"), "UTF-8"), F.lit(b""))
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), raw.alias("raw"))
     own = own.withColumns({"digest": F.sha2("raw", 256), "n_bytes": F.octet_length("raw").cast("long")})
-    firsts = own.where(F.col("n_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    out = own.join(firsts, "digest", "left")
-    return out.withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
+    may = F.col("n_bytes") >= min_revisit
+    groups = own.where(may).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Short payloads are not moved at all; the rows of a frequent digest are dealt over many tasks.
+    long = join_spread(own.where(may), groups, "digest", "page_id", pages.count(), how="left")
+    out = long.unionByName(own.where(~may).withColumn("first", F.lit(None).cast("long")))
+    return out.withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).select("page_id", "url", "raw", "digest", "n_bytes", "refers_to")
 
 
 def write_archives(rows: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -100,7 +105,7 @@ def _head(page, url: str | None, digest: str, n_bytes: int, first) -> bytes:
     revisit = not pd.isna(first)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page, digest)), ("WARC-Date", DATE),
-        ("WARC-Target-URI", "".join((url or "").split())), ("WARC-Page-ID", page), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", n_bytes),
+        ("WARC-Target-URI", _line(url)), ("WARC-Page-ID", page), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", n_bytes),
     ]
     if revisit:
         fields += [("WARC-Refers-To", _record_id(int(first), digest)), ("WARC-Refers-To-Page-ID", int(first)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
@@ -108,6 +113,11 @@ def _head(page, url: str | None, digest: str, n_bytes: int, first) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
+def _line(url: str | None) -> str:
+    """A URL on one line, its white space and controls percent-encoded."""
+    return "".join(c if c.isprintable() and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
+
+
 class _Unpacked:
     """The bytes of a file of gzip members, a bounded piece at a time."""
 

@@ -13,7 +13,7 @@ import pytest
 from conftest import same_rows
 
 from tesserine.llm import chat_format, decontamination, near_dedup, queries, url_filter, warc
-from tesserine.llm.common import new_path, written
+from tesserine.llm.common import Scratch, new_path, written
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -46,6 +46,25 @@ def test_banded_alignment_equals_brute_force():
         assert near_dedup.edits_within(x, y, most) == want
 
 
+@pytest.mark.parametrize("narrow, wide", [(32, 1024), (3, 6), (1, 0)])
+def test_alignment_side_by_side_equals_brute_force(monkeypatch, narrow, wide):
+    monkeypatch.setattr(near_dedup, "NARROW", narrow)
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
+    monkeypatch.setattr(near_dedup, "CELLS_AT_ONCE", 200)
+    rng = random.Random(6)
+    left, right = [], []
+    for _ in range(600):
+        a = [rng.randint(0, 5) for _ in range(rng.randint(0, 70))]
+        b = a[:] if rng.random() < 0.8 else [rng.randint(0, 5) for _ in range(rng.randint(0, 70))]
+        for _ in range(rng.randint(0, 16)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 1)] = [rng.randint(0, 5)] * rng.randint(0, 1)
+        left.append(np.array(a, np.int32))
+        right.append(np.array(b, np.int32))
+    want = [edit_distance(x.tolist(), y.tolist()) <= int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(left, right)]
+    assert near_dedup.similar_pairs(left, right).tolist() == want and 100 < sum(want) < 500
+
+
 def prose(rng, n):
     return ["".join(rng.choice(["er", "in", "the", "on", "st", "an", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(n)]
 
@@ -109,12 +128,35 @@ def test_two_families_that_share_a_passage_give_few_pairs(spark, monkeypatch):
             words = shared + own[f]
             words[40 + rng.randrange(80)] = f"z{i}"
             texts.append(" ".join(words))
-    pairs = []
-    verified = near_dedup._verified
-    monkeypatch.setattr(near_dedup, "_verified", lambda p, *a: pairs.append(p.count()) or verified(p, *a))
+    aligned = []
+    verified, similar_pairs = near_dedup._verified, near_dedup.similar_pairs
+    monkeypatch.setattr(near_dedup, "_verified", lambda p, *a: aligned.append(p.count()) or verified(p, *a))
     got = near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {0, 150} and all(r.class_id == r.doc_id // 150 * 150 for r in got)
-    assert sum(pairs) < 10 * len(texts)
+    assert sum(aligned) < 4 * len(texts)
+    # Within a task, one link joins two components however many texts they have.
+    numbers = near_dedup._numbered([" ".join(t.split()) for t in texts[:150]])
+    places, tried = np.triu_indices(150, 1), []
+    odd = (places[0] + places[1]) % 2 == 1
+    monkeypatch.setattr(near_dedup, "similar_pairs", lambda a, b, *o: tried.append(len(a)) or similar_pairs(a, b, *o))
+    assert len(near_dedup._spanning(numbers, np.arange(150) % 2, places[0][odd], places[1][odd], 0.8)) == 1 and sum(tried) == 1
+    assert len(near_dedup._spanning(numbers, np.arange(150), *places, 0.8)) == 149
+
+
+def test_covered_keys_are_left_out(spark):
+    rng = random.Random(2)
+    for _ in range(4):
+        members = {k: {i for i in range(12) if rng.random() < rng.choice([0.2, 0.9])} for k in range(8)}
+        rows = [(k, i, len(m)) for k, m in members.items() for i in m if len(m) > 1]
+        left = near_dedup._without_covered(spark.createDataFrame(rows, "key long, id long, n long"), Scratch(spark, "t")).collect()
+        stays = {}
+        for r in left:
+            stays.setdefault(r.key, set()).add(r.id)
+            assert r.n == len(members[r.key])
+        pairs = lambda sets: {p for m in sets for p in itertools.combinations(sorted(m), 2)}
+        assert pairs(stays.values()) == pairs(m for m in members.values() if len(m) > 1)
+    same = [(k, i, 50) for k in range(30) for i in range(50)]
+    assert {r.key for r in near_dedup._without_covered(spark.createDataFrame(same, "key long, id long, n long"), Scratch(spark, "t")).collect()} == {29}
 
 
 def test_similar_texts_share_a_first_gram():
@@ -133,8 +175,7 @@ def test_similar_texts_share_a_first_gram():
             assert set(value[text == 0]) & set(value[text == 1])
             bits, longer = near_dedup.bags(words, sizes), max(len(a), len(b))
             for x, y, n in ((0, 1, len(a)), (1, 0, len(b))):
-                lacks = sum(int(v).bit_count() for v in bits[x] & ~bits[y])
-                assert lacks <= n - longer + int((1 - least) * longer + 1e-9)
+                assert near_dedup.lacking(bits, np.array([x]), np.array([y]))[0] <= n - longer + int((1 - least) * longer + 1e-9)
 
 
 def test_rows_are_judged_by_their_texts(spark):
