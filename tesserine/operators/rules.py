@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rule, patterns (all must occur in a file), severity, confidence, category, whether evidence is masked.
+#: Rule, patterns, whether all of them must occur in a file (else one), severity, confidence, category, whether evidence is masked.
 CODE_RULES = (
-    ("ANDROID-WEBVIEW-001", (r"setJavaScriptEnabled\s*\(\s*true\s*\)",), "medium", "medium", "webview", False),
-    ("ANDROID-WEBVIEW-002", (r"addJavascriptInterface\s*\(",), "high", "medium", "webview", False),
-    ("ANDROID-TLS-001", (r"implements\s+X509TrustManager", r"checkServerTrusted"), "high", "low", "network", False),
-    ("ANDROID-TLS-002", (r"ALLOW_ALL_HOSTNAME_VERIFIER|NullHostnameVerifier|setHostnameVerifier",), "high", "low", "network", False),
-    ("ANDROID-CRYPTO-001", (r"""getInstance\s*\(\s*"(MD5|SHA-1|DES|DESede|RC4|AES/ECB[^"]*)\"""",), "medium", "medium", "crypto", False),
-    ("ANDROID-SECRET-001", (r"""(?i)(password|passwd|api[_-]?key|secret|token)\s*=\s*"[^"]{6,}"|AKIA[0-9A-Z]{16}|authorization\s*[:=]\s*"?bearer\s+[A-Za-z0-9._-]{10,}""",), "medium", "low", "secrets", True),
-)
+    ("ANDROID-WEBVIEW-001", (r"setJavaScriptEnabled\s*\(\s*true\s*\)",), False, "medium", "medium", "webview", False),
+    ("ANDROID-WEBVIEW-002", (r"addJavascriptInterface\s*\(",), False, "high", "medium", "webview", False),
+    ("ANDROID-TLS-001", (r"implements\s+X509TrustManager", r"checkServerTrusted"), True, "high", "low", "network", False),
+    ("ANDROID-TLS-002", (r"ALLOW_ALL_HOSTNAME_VERIFIER|NullHostnameVerifier|setHostnameVerifier",), False, "high", "low", "network", False),
+    ("ANDROID-CRYPTO-001", (r"""getInstance\s*\(\s*"(MD5|SHA-1|DES|DESede|RC4|AES/ECB[^"]*)\"""",), False, "medium", "medium", "crypto", False),
+    (
+        "ANDROID-SECRET-001",
+        (
+            r"""(?i)(password|passwd|api[_-]?key|secret|token)\s*=\s*"[^"]{6,}\"""",
+            r"AKIA[0-9A-Z]{16}",
+            r"""(?i)authorization\s*[:=]\s*"?bearer\s+[A-Za-z0-9._-]{10,}""",
+        ),
+        False, "medium", "low", "secrets", True,
+    ),
+)
 #: Native rules and the imported symbols that trigger them.
 NATIVE_RULES = {
     "ASF-NATIVE-STR-001": ("strcpy", "strcat", "sprintf", "vsprintf", "gets", "stpcpy"),
@@ -52,7 +63,7 @@ def lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
 
 
 def scanned(files: DataFrame, rules=CODE_RULES, evidence: int = EVIDENCE) -> DataFrame:
-    """A row per file and rule whose patterns all occur in it, with the first lines that match any, masked where the rule says so.
+    """A row per file and rule whose patterns (all, or one, as the rule says) occur in it, with the first lines that match any, masked where the rule says so.
 
     Files without any match are dropped before their lines are exploded.
     """
@@ -60,14 +71,19 @@ def scanned(files: DataFrame, rules=CODE_RULES, evidence: int = EVIDENCE) -> Dat
     for _, patterns, *_rest in rules:
         for p in patterns:
             any_rule = any_rule | F.col("text").rlike(p)
-    hits = F.array(*(F.struct(F.lit(rule).alias("rule_id"), F.lit(k).alias("pattern"), F.lit(len(patterns)).alias("wanted"), F.lit(mask).alias("mask"), F.col("body").rlike(p).alias("hit")) for rule, patterns, _, _, _, mask in rules for k, p in enumerate(patterns)))
+    hits = F.array(*(F.struct(F.lit(rule).alias("rule_id"), F.lit(k).alias("pattern"), F.lit(len(patterns) if every else 1).alias("wanted"), F.lit(mask).alias("mask"), F.col("body").rlike(p).alias("hit")) for rule, patterns, every, _, _, _, mask in rules for k, p in enumerate(patterns)))
     each = lines(files.where(any_rule)).withColumn("h", F.explode(F.filter(hits, lambda h: h["hit"])))
     per = each.groupBy("path", F.col("h.rule_id").alias("rule_id"), F.col("h.wanted").alias("wanted")).agg(
         F.count_distinct("h.pattern").alias("found"), F.count_distinct("line").alias("n_lines"),
         F.array_sort(F.collect_set(F.struct("line", F.when(F.col("h.mask"), masked(F.trim("body"))).otherwise(F.trim("body")).alias("body")))).alias("e"),
     )
     first = F.slice("e", 1, evidence)
-    return per.where("found = wanted").select("path", "rule_id", "n_lines", F.array_join(F.transform(first, lambda x: x["line"].cast("string")), ",").alias("evidence_lines"), F.get("e", F.lit(0))["body"].alias("first_evidence"))
+    return per.where("found >= wanted").select("path", "rule_id", "n_lines", F.array_join(F.transform(first, lambda x: x["line"].cast("string")), ",").alias("evidence_lines"), F.get("e", F.lit(0))["body"].alias("first_evidence"))
+
+
+def catalogue_hash(rules=CODE_RULES) -> str:
+    """16 hex digits that name a catalogue of rules, whatever their order."""
+    return hashlib.sha256(json.dumps(sorted(rules)).encode()).hexdigest()[:16]
 
 
 def native_hits(symbols: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ _EDGES = "ce AS (SELECT * FROM edge WHERE src IN (SELECT node_key FROM node) AND
 _RANK = "CASE confidence WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'EXACT' THEN 3 ELSE -1 END"
 
 
-def _graph(spark, d, edge="edge"):
+def _graph(spark, d):
     nodes = view(spark, d, "node")
-    return nodes, G.connected(view(spark, d, edge), nodes)
+    return nodes, G.connected(view(spark, d, "edge"), nodes)
 
 
 def _starts(nodes):
@@ -22,15 +22,16 @@ def _starts(nodes):
 
 
 @query("dangling_edges_removed", with_views(f"WITH {_EDGES} SELECT edge_type, confidence, count(*) AS n FROM ce GROUP BY 1, 2", "node", "edge"))
-def dangling_edges_removed(spark, d, edge="edge"):
-    return _graph(spark, d, edge)[1].groupBy("edge_type", "confidence").agg(F.count("*").alias("n"))
+def dangling_edges_removed(spark, d):
+    return _graph(spark, d)[1].groupBy("edge_type", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("graph_reachable_set", with_views(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT node_key, 0 AS steps FROM node WHERE node_key = 'r:1' UNION SELECT ce.dst, r.steps + 1 FROM r JOIN ce ON ce.src = r.node_key WHERE r.steps < 12)
+@query("graph_reachable_set", with_views(f"""WITH RECURSIVE {_EDGES}, ar AS (SELECT DISTINCT src, dst FROM ce), r AS (SELECT node_key, 0 AS steps FROM node WHERE node_type = 'ENTRY_POINT' UNION SELECT ar.dst, r.steps + 1 FROM r JOIN ar ON ar.src = r.node_key WHERE r.steps < 8)
 SELECT node_key, CAST(min(steps) AS INTEGER) AS steps FROM r GROUP BY node_key""", "node", "edge"))
 def graph_reachable_set(spark, d):
+    """From all entry points, as far as it goes; the SQL stops after eight steps, where nothing new is found any more."""
     nodes, edges = _graph(spark, d)
-    return G.reachable(edges, nodes.where("node_key = 'r:1'"), 12)
+    return G.reachable(edges, nodes.where("node_type = 'ENTRY_POINT'"))
 
 
 @query("graph_shortest_target_paths", with_views(f"""WITH RECURSIVE {_EDGES}, ar AS (SELECT src, dst, max({_RANK}) AS rank FROM ce GROUP BY src, dst),
@@ -38,35 +39,35 @@ p AS (SELECT node_key AS start, node_key AS node, node_key AS path, 1 AS length,
  UNION ALL SELECT p.start, ar.dst, p.path || ' > ' || ar.dst, p.length + 1, least(p.weakest, ar.rank) FROM p JOIN ar ON ar.src = p.node WHERE p.length < 5 AND (p.node NOT LIKE 's:%' OR p.length = 1)),
 b AS (SELECT p.*, row_number() OVER (PARTITION BY start, node ORDER BY length, path) AS n FROM p WHERE node IN (SELECT node_key FROM node WHERE node_type = 'SECURITY_SINK'))
 SELECT start, node AS target, path, length, CASE weakest WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'UNKNOWN' END AS confidence FROM b WHERE n = 1""", "node", "edge"))
-def graph_shortest_target_paths(spark, d, edge="edge"):
-    nodes, edges = _graph(spark, d, edge)
+def graph_shortest_target_paths(spark, d):
+    nodes, edges = _graph(spark, d)
     return G.target_paths(edges, _starts(nodes), nodes.where("node_type = 'SECURITY_SINK'"), 5)
 
 
 @query("graph_simple_paths", with_views(f"""WITH RECURSIVE {_EDGES}, ar AS (SELECT DISTINCT src, dst FROM ce),
 p AS (SELECT node_key AS node, [node_key] AS path FROM node WHERE node_type = 'ENTRY_POINT' UNION ALL SELECT ar.dst, list_append(p.path, ar.dst) FROM p JOIN ar ON ar.src = p.node WHERE len(p.path) < 5 AND p.node NOT LIKE 's:%' AND NOT list_contains(p.path, ar.dst))
 SELECT path[1] AS start, node AS target, array_to_string(path, ' > ') AS path, CAST(len(path) AS INTEGER) AS length FROM p WHERE node IN (SELECT node_key FROM node WHERE node_type = 'SECURITY_SINK')""", "node", "edge"))
-def graph_simple_paths(spark, d, edge="edge"):
-    nodes, edges = _graph(spark, d, edge)
+def graph_simple_paths(spark, d):
+    nodes, edges = _graph(spark, d)
     return G.simple_paths(edges, nodes.where("node_type = 'ENTRY_POINT'"), nodes.where("node_type = 'SECURITY_SINK'"), 5)
 
 
 @query("graph_neighbours", with_views(f"""WITH {_EDGES}, k AS (SELECT node_key FROM node WHERE node_type = 'SECURITY_SINK') SELECT k.node_key, 'out' AS direction, ce.dst AS other, edge_type FROM ce JOIN k ON ce.src = k.node_key
 UNION ALL SELECT k.node_key, 'in', ce.src, edge_type FROM ce JOIN k ON ce.dst = k.node_key""", "node", "edge"))
-def graph_neighbours(spark, d, edge="edge"):
-    nodes, edges = _graph(spark, d, edge)
+def graph_neighbours(spark, d):
+    nodes, edges = _graph(spark, d)
     return G.neighbours(edges, nodes.where("node_type = 'SECURITY_SINK'").select("node_key"))
 
 
 @query("graph_fan_out", with_views("SELECT src, count(*) AS degree FROM edge WHERE edge_type IN ('CALLS', 'INVOKES') GROUP BY src HAVING count(*) >= 40", "edge"))
-def graph_fan_out(spark, d, edge="edge"):
-    return G.fan_out(view(spark, d, edge), 40)
+def graph_fan_out(spark, d):
+    return G.fan_out(view(spark, d, "edge"), 40)
 
 
 _FPN = "substr(sha256(analysis_id || '|' || {t} || '|' || {l}), 1, 32)"
 _KG = f"""
 kn AS (SELECT analysis_id, 'COMPONENT' AS node_type, name AS label, 'manifest' AS provenance FROM component UNION ALL SELECT analysis_id, 'DEPENDENCY', name, 'inventory' FROM dependency
- UNION ALL SELECT analysis_id, 'RULE', rule_id, 'finding' FROM finding UNION ALL SELECT analysis_id, 'COMPONENT', component, 'finding' FROM finding WHERE component IS NOT NULL AND component <> 'c3'),
+ UNION ALL SELECT analysis_id, 'RULE', rule_id, 'finding' FROM finding UNION ALL SELECT analysis_id, 'COMPONENT', component, 'finding' FROM finding WHERE component IS NOT NULL),
 nn AS (SELECT analysis_id, {_FPN.format(t="node_type", l="label")} AS fingerprint, node_type, label, min(provenance) AS provenance FROM kn GROUP BY 1, 2, 3, 4),
 ke AS (SELECT DISTINCT analysis_id, {_FPN.format(t="'RULE'", l="rule_id")} AS src, {_FPN.format(t="'COMPONENT'", l="component")} AS dst, 'FOUND_IN' AS edge_type FROM finding WHERE component IS NOT NULL
  UNION SELECT DISTINCT analysis_id, {_FPN.format(t="'DEPENDENCY'", l="name")}, {_FPN.format(t="'COMPONENT'", l="'c' || CAST(dep_id % 997 AS VARCHAR)")}, 'USED_BY' FROM dependency),
@@ -78,7 +79,7 @@ def _kg_nodes(spark, d):
     findings = view(spark, d, "finding")
     return G.projected_nodes(
         named(view(spark, d, "component"), "COMPONENT", F.col("name"), "manifest"), named(view(spark, d, "dependency"), "DEPENDENCY", F.col("name"), "inventory"),
-        named(findings, "RULE", F.col("rule_id"), "finding"), named(findings.where("component IS NOT NULL AND component <> 'c3'"), "COMPONENT", F.col("component"), "finding"),
+        named(findings, "RULE", F.col("rule_id"), "finding"), named(findings.where("component IS NOT NULL"), "COMPONENT", F.col("component"), "finding"),
     )
 
 
@@ -108,5 +109,5 @@ def kg_digest(spark, d):
 
 
 @query("graph_dot_lines", with_views("""SELECT '"' || src || '" -> "' || dst || '" [label="' || edge_type || '"];' AS line FROM edge""", "edge"))
-def graph_dot_lines(spark, d, edge="edge"):
-    return G.as_dot(view(spark, d, edge))
+def graph_dot_lines(spark, d):
+    return G.as_dot(view(spark, d, "edge"))

@@ -15,26 +15,31 @@ def _files(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("path"), "text")
 
 
-_SECRET = R.CODE_RULES[5][1][0].replace("'", "''")
+_HIT = lambda rule: " OR ".join("regexp_matches(body, '{}')".format(p.replace("'", "''")) for p in rule[1])
+#: Of a rule that wants all its patterns, the files that have each.
+_ALL = lambda rule: "true" if not rule[2] else " AND ".join("regexp_matches(text, '{}')".format(p.replace("'", "''")) for p in rule[1])
 
 
-@query("code_rule_scan", rf"""WITH l AS (SELECT doc_id AS path, generate_subscripts(s, 1) AS line, unnest(s) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-h AS (SELECT path, line, trim(body) AS body FROM l WHERE regexp_matches(body, '{_SECRET}')), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS n FROM h)
-SELECT path, 'ANDROID-SECRET-001' AS rule_id, count(*) AS n_lines, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (WHERE n <= 5) AS evidence_lines, max({_MASK.format(b="body")}) FILTER (WHERE n = 1) AS first_evidence FROM n GROUP BY path""")
+_SCAN = " UNION ALL ".join(f"SELECT path, line, trim(body) AS body, '{r[0]}' AS rule_id, {str(r[6]).lower()} AS mask FROM l WHERE ({_HIT(r)}) AND {_ALL(r)}" for r in R.CODE_RULES)
+
+
+@query("code_rule_scan", rf"""WITH l AS (SELECT doc_id AS path, text, generate_subscripts(s, 1) AS line, unnest(s) AS body FROM (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents)),
+h AS ({_SCAN}), n AS (SELECT *, row_number() OVER (PARTITION BY path, rule_id ORDER BY line) AS n FROM h)
+SELECT path, rule_id, count(*) AS n_lines, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (WHERE n <= 5) AS evidence_lines, max(CASE WHEN mask THEN {_MASK.format(b="body")} ELSE body END) FILTER (WHERE n = 1) AS first_evidence FROM n GROUP BY path, rule_id""")
 def code_rule_scan(spark, d):
     return R.scanned(_files(spark, d))
 
 
 @query("rule_cooccurrence", """SELECT page_id AS path, 'LINK-IN-LIST' AS rule_id, CAST(len(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(x, '<script') OR regexp_matches(x, '<a href'))) AS BIGINT) AS n_lines FROM pages WHERE regexp_matches(html, '<script') AND regexp_matches(html, '<a href')""")
 def rule_cooccurrence(spark, d):
-    rules = (("LINK-IN-LIST", ("<script", "<a href"), "low", "low", "web", False),)
+    rules = (("LINK-IN-LIST", ("<script", "<a href"), True, "low", "low", "web", False),)
     files = table(spark, d, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("text"))
     return R.scanned(files, rules).select("path", "rule_id", "n_lines")
 
 
-@query("secret_masking", f"SELECT doc_id, sha256({_MASK.format(b='text')}) AS masked FROM documents WHERE contains(text, '\"')")
+@query("secret_masking", f"SELECT doc_id, sha256({_MASK.format(b='text')}) AS masked FROM documents")
 def secret_masking(spark, d):
-    return table(spark, d, "documents").where(F.col("text").contains('"')).select("doc_id", F.sha2(R.masked(F.col("text")), 256).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(R.masked(F.col("text")), 256).alias("masked"))
 
 
 @query("log_redaction", r"""WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(password|token|secret|auth|key)\s*[=:]\s*\S+', '\1=***', 'g'), '\b([A-Za-z0-9_-]{4})[A-Za-z0-9_-]{18,}([A-Za-z0-9_-]{2})\b', '\1***\2', 'g') AS t FROM documents)

@@ -1,37 +1,13 @@
-"""Queries over every row of their tables, beside those of the same names without _whole, whose SQL takes a part."""
+"""Names with _whole of queries that once took a part of their tables; they read every row now, so both names give the same."""
 
 from __future__ import annotations
 
-from ..operators import graphs as G
-from ..sources.bridge import VIEWS, view
-from . import SQL, evidence, graphs, query, reach
+from . import QUERIES, SQL, query
 
-GRAPHS = ("dangling_edges_removed", "graph_shortest_target_paths", "graph_simple_paths", "graph_neighbours", "graph_fan_out", "graph_dot_lines")
-CLAIMS = ("validation_claims", "validation_rollup", "assessment_decisions", "assessment_summary")
+NAMES = (
+    "dangling_edges_removed", "graph_shortest_target_paths", "graph_simple_paths", "graph_neighbours", "graph_fan_out", "graph_dot_lines", "graph_reachable_set", "validation_claims", "validation_rollup",
+    "assessment_decisions", "assessment_summary", "runtime_correlation", "native_reconcile", "signature_states", "observed_findings",
+)
 
-
-def _whole(name: str, f, parts: tuple[tuple[str, str], ...], **rows) -> None:
-    """Registers f without the conditions that parts replaces in its SQL."""
-    sql = SQL[name]
-    for part, by in parts:
-        if part not in sql:
-            raise ValueError(f"{name} has no {part}")
-        sql = sql.replace(part, by)
-    query(f"{name}_whole", sql)(lambda spark, d: f(spark, d, **rows))
-
-
-for _name in GRAPHS:
-    _whole(_name, getattr(graphs, _name), ((VIEWS["edge"], VIEWS["edge_whole"]),), edge="edge_whole")
-for _name in CLAIMS:
-    _whole(_name, getattr(evidence, _name), ((" WHERE value > 20", ""),), rows="true")
-_whole("runtime_correlation", evidence.runtime_correlation, ((" WHERE obs_id % 2 = 0 AND method_name <> 'read'", ""),), rows="true")
-_whole("native_reconcile", evidence.native_reconcile, ((" WHERE p_partkey % 2 = 0", ""), (" WHERE p_partkey % 3 = 0", "")), elf="true", ghidra="true")
-_whole("signature_states", reach.signature_states, ((" WHERE product_id % 4 > 0", ""),), rows="true")
-_whole("observed_findings", reach.observed_findings, ((" WHERE obs_id % 2 = 0", ""),), rows="true")
-
-
-@query("graph_reachable_set_whole")
-def graph_reachable_set_whole(spark, d):
-    """From all entry points, as far as it goes."""
-    nodes, edges = graphs._graph(spark, d, "edge_whole")
-    return G.reachable(edges, nodes.where("node_type = 'ENTRY_POINT'"))
+for _name in NAMES:
+    query(f"{_name}_whole", SQL.get(_name))(QUERIES[_name])

@@ -17,7 +17,7 @@ def test_graphs_have_every_edge(spark, sf_dir):
     want += sum(table(spark, sf_dir, t).count() for t in ("nation", "customer", "supplier"))
     assert QUERIES["graph_dot_lines_whole"](spark, sf_dir).count() == want
     arcs, known = {}, {r.node_key for r in view(spark, sf_dir, "node").collect()}
-    for r in view(spark, sf_dir, "edge_whole").collect():
+    for r in view(spark, sf_dir, "edge").collect():
         if r.src in known and r.dst in known:
             arcs.setdefault(r.src, set()).add(r.dst)
     steps = {r.node_key: 0 for r in view(spark, sf_dir, "node").where("node_type = 'ENTRY_POINT'").collect()}
