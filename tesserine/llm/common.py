@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,5 +79,35 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: What operators keep in this Python worker, with how to let go of it.
+_resident: dict[str, Callable[[], None]] = {}
+
+
+def only(name: str, clear: Callable[[], None] | None = None) -> None:
+    """Called in a worker by an operator that keeps something from batch to batch: what the others keep goes."""
+    others = [k for k in _resident if k != name]
+    for k in others:
+        _resident.pop(k)()
+    if clear:
+        _resident[name] = clear
+    if others:
+        trimmed()
+
+
+def trimmed() -> None:
+    """Gives memory that this worker no longer uses back to the system, since workers live on and share an executor's room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library can
+        pass
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

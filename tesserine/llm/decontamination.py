@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, free_name, read_table, text_or_empty
+from .common import bounded_batches, free_name, only, read_table, text_or_empty
 
 WINDOW = 10
 COVERAGE = 0.5
@@ -205,27 +205,42 @@ def _automaton(shard: str, rows, window: int) -> ItemAutomaton:
     return _built[shard, window]
 
 
+def _places(body: str | None, spans: list[tuple[int, int]]) -> list[int]:
+    """Where spans of words begin and end in the text, in turn, in code points."""
+    if not spans:
+        return []
+    raw = body.encode()
+    words = [m.span() for m in WORD.finditer(raw.lower())]
+    out, at, passed = [], 0, 0
+    for edge in (e for start, end in spans for e in (words[start][0], words[end - 1][1])):
+        passed += len(raw[at:edge].decode())
+        at = edge
+        out.append(passed)
+    return out
+
+
 def _scan(rows, window: int):
     """A column function that adds the hits of a shard (a broadcast of its rows) to those found before."""
     shard = uuid.uuid4().hex
 
-    @F.pandas_udf("n_words long, edges array<long>, found array<string>")
+    @F.pandas_udf("n_words long, edges array<long>, cuts array<long>, found array<string>")
     def scan(texts: pd.Series, edges: pd.Series, items_found: pd.Series) -> pd.DataFrame:
+        only("decontamination", _built.clear)
         automaton, out = _automaton(shard, rows, window), []
         for body, old_edges, old_found in zip(texts, edges, items_found):
             words = words_of(body)
             new_spans, new_found = automaton.scan(words)
             spans = merged([*zip(old_edges[::2], old_edges[1::2]), *new_spans])
-            out.append((len(words), [e for span in spans for e in span], sorted({*old_found, *map(str, new_found)})))
-        return pd.DataFrame(out, columns=["n_words", "edges", "found"])
+            out.append((len(words), [e for span in spans for e in span], _places(body, spans), sorted({*old_found, *map(str, new_found)})))
+        return pd.DataFrame(out, columns=["n_words", "edges", "cuts", "found"])
 
     return scan
 
 
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Column:
-    """A column of docs: n_words, edges (starts and ends of the spans of words that are hit, in turn) and found (item ids as strings)."""
+    """A column of docs: n_words, edges (starts and ends of the spans of words that are hit, in turn), cuts (the same in code points) and found (item ids as strings)."""
     bounded_batches(docs.sparkSession)
-    made = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("edges"), F.array().cast("array<string>").alias("found"))
+    made = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("edges"), F.array().cast("array<long>").alias("cuts"), F.array().cast("array<string>").alias("found"))
     for shard in _shards(items, item_id, item_text, shard_words):
         rows = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in shard.select("item", "text").toLocalIterator()])
         made = _scan(rows, window)(F.col(text).cast("string"), made["edges"], made["found"])
@@ -264,24 +279,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", covera
     own = free_name(docs, "made")
     judged = docs.withColumn(own, hits(docs, items, text=text, **options))
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, edges: pd.Series) -> pd.Series:
-        out = []
-        for body, cut in zip(texts, edges):
-            if body is not None and len(cut):
-                raw, kept, at = body.encode(), [], 0
-                places = [m.span() for m in WORD.finditer(raw.lower())]
-                for start, end in zip(cut[::2], cut[1::2]):
-                    kept.append(raw[at : places[start][0]])
-                    at = places[end - 1][1]
-                body = b"".join([*kept, raw[at:]]).decode()
-            out.append(body)
-        return pd.Series(out, dtype=object)
-
-    edges = F.col(f"{own}.edges")
+    edges, cuts = F.col(f"{own}.edges"), F.col(f"{own}.cuts")
     n_hit = F.aggregate(F.transform(edges, lambda e, k: F.when(k % 2 == 1, e).otherwise(-e)), F.lit(0).cast("long"), lambda n, e: n + e)
     kept = judged.where(n_hit <= F.lit(coverage) * F.col(f"{own}.n_words"))
-    return kept.withColumn(text, F.when(F.size(edges) == 0, F.col(text)).otherwise(without(F.col(text), edges))).drop(own)
+    # What stands between the spans: from an end (or the start) to the next start (or the end).
+    bounds = F.concat(F.array(F.lit(0).cast("long")), cuts, F.array(F.length(text).cast("long")))
+    piece = lambda k: F.substr(F.col(text), (F.element_at(bounds, k) + 1).cast("int"), (F.element_at(bounds, k + 1) - F.element_at(bounds, k)).cast("int"))
+    cut = F.array_join(F.transform(F.sequence(F.lit(1), F.size(bounds) - 1, F.lit(2)), piece), "")
+    return kept.withColumn(text, F.when(F.size(edges) == 0, F.col(text)).otherwise(cut)).drop(own)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.skew import join_spread
-from .common import Scratch, bounded_batches, free_name, read_table, written
+from .common import Scratch, bounded_batches, free_name, only, read_table, trimmed, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -58,7 +58,7 @@ STRIDES = (1, 5)  # a band joins a sketch with the one so many places on
 BLOCK = 250  # texts of a block; a cell has one or two blocks
 COUNTED = 1 << 18  # counters of grams, by hash
 MOST_BITS = 1 << 17  # of a bag of words
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 100_000
 NARROW = 32  # edits that the first band allows
 CELLS_AT_ONCE = 1 << 19  # table entries that pairs aligned together have in a row of their bands
 WIDE = 1024  # half width from which a band is worked through for a pair alone
@@ -143,6 +143,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows doc_id, sha, words (hashes) to rows doc_id, sha, n_words, sketches (null without words)."""
+    only("near_dedup")
     for batch in batches:
         for part, words, sizes in _slices(batch):
             has = np.flatnonzero(sizes)
@@ -151,6 +152,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place[has] = np.arange(len(has))
             columns = [part.column("doc_id"), part.column("sha"), pa.array(sizes.astype(np.int32)), found.take(pa.array(place, mask=place < 0))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "n_words", "sketches"])
+    trimmed()
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int, known: int = 0) -> int | None:
@@ -338,6 +340,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
             numbers = _numbered([*batch.column("left").to_pylist(), *batch.column("right").to_pylist()])
             good = similar_pairs(numbers[: len(batch)], numbers[len(batch) :], least)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        trimmed()
 
     side = lambda end, name: bodies.select(F.col("id").alias(end), F.col("body").alias(name))
     total = pairs.count()

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read_table, text_or_empty
+from .common import bounded_batches, only, read_table, text_or_empty
 
 MAX_POSITIVES = 4000
 MAX_UNLABELLED = 8000
@@ -170,6 +170,7 @@ def score(text: Column, model: dict) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
+        only("quality_classifier")
         if not len(texts):
             return pd.Series([], dtype="float64")
         return pd.Series(chance(np.clip((np.array([features(t) for t in texts]) - mean) / scale, -8, 8), weights))

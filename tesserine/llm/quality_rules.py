@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, read_table, text_or_empty
+from .common import bounded_batches, free_name, only, read_table, text_or_empty
 
 #: Bytes from which a band holds, and its least and largest ratio.
 BANDS = (
@@ -120,6 +120,7 @@ def with_quality_rules(docs: DataFrame, text: str = "text", bands=BANDS) -> Data
 
     @F.pandas_udf(COLUMNS)
     def judge(texts: pd.Series) -> pd.DataFrame:
+        only("quality_rules")
         return pd.DataFrame([judged(t, bands) for t in texts], columns=names)
 
     own = free_name(docs, "made")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read_table, text_or_empty
+from .common import bounded_batches, only, read_table, text_or_empty
 
 MARK = "▁"
 #: A worker caches at most 4 * CACHED_SEGMENTS counts of segments of CACHED_LENGTH characters, some 40 MB.
@@ -128,7 +128,7 @@ class PieceCounter:
         return total
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _counter(model_file: str) -> PieceCounter:
     return PieceCounter(model_file)
 
@@ -138,6 +138,7 @@ def token_count(text: Column, model_file: str) -> Column:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
+        only("token_counts", _counter.cache_clear)
         counter = _counter(model_file)
         return pd.Series([counter.count(t or "") for t in texts], dtype="int64")
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, free_name, read_table, text_or_empty
+from .common import bounded_batches, free_name, only, read_table, text_or_empty
 
 CACHED_WORDS = 60_000
 CACHED_LENGTH = 64
@@ -204,7 +204,7 @@ class WordEncoder:
         return " ".join(map(self.by_digits.__getitem__, ids.split()))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(vocabulary_file: str) -> WordEncoder:
     return WordEncoder(vocabulary_file)
 
@@ -232,6 +232,7 @@ def encoded(text: Column, vocabulary_file: str, decoded: bool = True) -> Column:
 
     @F.pandas_udf(kinds)
     def encode(texts: pd.Series) -> pd.DataFrame:
+        only("word_bpe", _encoder.cache_clear)
         encoder = _encoder(vocabulary_file)
         ids = [i for step in _steps([t or "" for t in texts]) for i in encoder.encode(step)]
         made = {"ids": ids, "n_tokens": [i.count(" ") + bool(i) for i in ids]}
@@ -245,6 +246,7 @@ def encoded_digests(text: Column, vocabulary_file: str) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
+        only("word_bpe", _encoder.cache_clear)
         encoder = _encoder(vocabulary_file)
         out = []
         for step in _steps([t or "" for t in texts]):
