@@ -4,17 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence as E
-from ..operators import findings as N
 from ..operators import graphs as G
-from ..operators import named
-from ..operators import vulnerabilities as V
 from ..sources import blobs, feeds
 from ..sources.bridge import table, view, with_views
 from . import query
-from .evidence import _EDGES, _SURF, _edges
-from .findings import _FP, _RC, deduplicated
-from .vulnerabilities import _STATES, _three
 
 
 def _feed(spark, d):
@@ -47,21 +40,3 @@ def bundle_checksums(spark, d):
     """One checksum for each file of a bundle, whatever the order of its lines."""
     rows = view(spark, d, "vulnerability").select("source", F.sha2(F.concat_ws("|", "source", "cve_id", "record_id"), 256).alias("member"))
     return G.digest(rows, "source", "member")
-
-
-@query("named_query_counts", with_views(f"""WITH {_FP}, {_RC}, {_SURF}, {_EDGES}, {_STATES}, x AS (SELECT DISTINCT analysis_id, component FROM sn WHERE exposure IN ('PUBLIC', 'PERMISSION_PROTECTED')), live AS (SELECT DISTINCT class_name, method_name FROM observation WHERE adapter <> 'mock'),
-risk AS (SELECT analysis_id, node_key, 15 - CASE WHEN exposure = 'PERMISSION_PROTECTED' THEN 10 ELSE 0 END + coalesce((SELECT sum(CASE cause WHEN 'UNSAFE_WEBVIEW_INPUT' THEN 10 WHEN 'DANGEROUS_DYNAMIC_LOADING' THEN 15 WHEN 'NATIVE_UNSAFE_API' THEN 8 ELSE 20 END) FROM se WHERE se.analysis_id = sn.analysis_id AND src = node_key), 0) AS score FROM sn)
-SELECT 'exported-components' AS query, count(*) AS n FROM sn WHERE exposure IN ('PUBLIC', 'PERMISSION_PROTECTED') UNION ALL SELECT 'public-attack-surface', count(*) FROM sn WHERE exposure = 'PUBLIC'
-UNION ALL SELECT 'findings-reachable-from-exported', count(*) FROM dd SEMI JOIN x USING (analysis_id, component) WHERE NOT is_duplicate UNION ALL SELECT 'cve-reachable', 0 UNION ALL SELECT 'possibly-affected', count(*) FROM cs WHERE version_state = 'POSSIBLY_AFFECTED'
-UNION ALL SELECT 'dependencies-with-cve', count(*) FROM (SELECT DISTINCT analysis_id, dep_id FROM cs WHERE version_state <> 'NOT_AFFECTED') UNION ALL SELECT 'runtime-confirmed', count(*) FROM live
-UNION ALL SELECT 'runtime-not-observed', count(*) FROM (SELECT class_name, method_name FROM observation EXCEPT SELECT * FROM live) UNION ALL SELECT 'unknown-boundaries', count(*) FROM sn WHERE exposure = 'UNKNOWN' UNION ALL SELECT 'webview-bridges', count(*) FROM cause WHERE cause = 'UNSAFE_WEBVIEW_INPUT'
-UNION ALL SELECT 'reflection-paths', count(*) FROM cause WHERE cause = 'REFLECTION_EXTERNAL_INPUT' UNION ALL SELECT 'dynamic-load-paths', count(*) FROM cause WHERE cause = 'DANGEROUS_DYNAMIC_LOADING' UNION ALL SELECT 'high-risk-entrypoints', count(*) FROM risk WHERE score >= 70
-UNION ALL SELECT 'findings-involving-native', count(*) FROM dd WHERE category = 'native' OR starts_with(rule_id, 'ASF-NATIVE-') UNION ALL SELECT 'root-causes-for-component', count(*) FROM cause WHERE list_contains(string_split(components, ','), 'c1')""", "component", "finding", "evidence", "dependency", "product", "version_range", "observation"))
-def named_query_counts(spark, d):
-    own = deduplicated(spark, d)
-    nodes, edges = _edges(spark, d)
-    tables = {
-        "component_surface": nodes, "matches": V.correlated(*_three(spark, d)), "entry_risk": E.risk(E.entry_factors(nodes, edges), "analysis_id", "node_key"),
-        "causes": N.root_causes(own), "findings": own, "observations": view(spark, d, "observation"),
-    }
-    return named.counts(tables)

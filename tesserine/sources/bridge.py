@@ -72,7 +72,8 @@ SELECT 'r:' || CAST(r_regionkey AS STRING) AS node_key, 'ENTRY_POINT' AS node_ty
 UNION ALL SELECT 'n:' || CAST(n_nationkey AS STRING), 'JAVA_METHOD', n_name FROM nation
 UNION ALL SELECT 'c:' || CAST(c_custkey AS STRING), CASE WHEN c_custkey % 10 = 0 THEN 'DATAFLOW_SOURCE' ELSE 'JAVA_METHOD' END, c_name FROM customer
 UNION ALL SELECT 'p:' || CAST(p_partkey AS STRING), 'JAVA_METHOD', p_name FROM part
-UNION ALL SELECT 's:' || CAST(s_suppkey AS STRING), 'SECURITY_SINK', s_name FROM supplier WHERE s_suppkey % 10 <> 3""",
+UNION ALL SELECT 's:' || CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 10 = 7 THEN 'NATIVE_FUNCTION' ELSE 'SECURITY_SINK' END,
+  CASE s_suppkey % 5 WHEN 0 THEN 'WebView.loadUrl' WHEN 1 THEN 'Runtime.exec' WHEN 2 THEN 'Java_x' WHEN 4 THEN 'Class.forName' ELSE 'SQLiteDatabase.rawQuery' END || ' ' || s_name FROM supplier WHERE s_suppkey % 10 <> 3""",
     "edge": """
 SELECT 'r:' || CAST(n_regionkey AS STRING) AS src, 'n:' || CAST(n_nationkey AS STRING) AS dst, 'DECLARES' AS edge_type, 'HIGH' AS confidence FROM nation
 UNION ALL SELECT 'n:' || CAST(c_nationkey AS STRING), 'c:' || CAST(c_custkey AS STRING), 'CALLS', CASE WHEN c_acctbal < 0 THEN 'LOW' ELSE 'MEDIUM' END FROM customer
@@ -102,6 +103,21 @@ SELECT event_id AS obs_id, user_id AS session_id, ts, CASE WHEN user_id % 3 = 0
   CASE event_id % 5 WHEN 0 THEN 'loadUrl' WHEN 1 THEN 'invoke' WHEN 2 THEN 'onCreate' WHEN 3 THEN 'getData' ELSE 'read' END AS method_name,
   CASE event_id % 9 WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'JNI_OnLoad' ELSE 'strcpy' END END AS symbol, event_type, value
 FROM events""",
+    "boundary": """
+SELECT 'A' || CAST(o_custkey % 5 AS STRING) AS analysis_id, CASE o_orderkey % 5 WHEN 0 THEN 'WEBVIEW_JS_BRIDGE' WHEN 1 THEN 'CONTENT_PROVIDER' WHEN 2 THEN 'JNI' WHEN 3 THEN 'NETWORK' ELSE 'EXPORTED_COMPONENT' END AS boundary_type,
+  'c' || CAST(o_custkey % 37 AS STRING) AS component, CASE o_orderkey % 7 WHEN 0 THEN 'LOW' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM orders""",
+    "transaction": """
+SELECT 'A' || CAST(s_suppkey % 5 AS STRING) AS analysis_id, 'com.x.S' || CAST(s_suppkey % 50 AS STRING) AS component, CASE s_suppkey % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'UNKNOWN' ELSE 'MEDIUM' END AS confidence FROM supplier""",
+    "semantic": """
+SELECT DISTINCT 'A' || CAST(user_id % 5 AS STRING) AS analysis_id, CASE WHEN user_id % 2 = 0 THEN 'c:' || CAST(user_id AS STRING) ELSE 'com.x.c' || CAST(user_id % 37 AS STRING) || '#run' END AS src,
+  CASE event_id % 4 WHEN 0 THEN 'REFLECTION_TARGET' WHEN 1 THEN 'DYNAMIC_LOAD' WHEN 2 THEN 'INTENT' ELSE 'CRYPTO' END AS edge_type,
+  CASE event_id % 4 WHEN 0 THEN 'reflect:' WHEN 1 THEN 'dynload:' ELSE 'x:' END || CASE WHEN event_id % 3 = 0 THEN 'UNKNOWN' ELSE 'com.y.D' || CAST(event_id % 50 AS STRING) END AS dst, CASE WHEN event_id % 3 = 0 THEN 'UNKNOWN' ELSE 'MEDIUM' END AS confidence FROM events""",
+    "library": """
+SELECT p_partkey AS library_id, 'A' || CAST(p_partkey % 5 AS STRING) AS analysis_id, 'lib' || CAST(p_partkey % 600 AS STRING) || '.so' AS name, CASE WHEN p_size % 10 = 0 THEN 'MALFORMED' ELSE 'COMPLETE' END AS status, p_size % 4 = 0 AS stripped,
+  CAST(p_size % 7 AS INT) AS n_exported, CAST(p_size AS BIGINT) * 10000 AS n_bytes FROM part""",
+    "evasion": """
+SELECT 'A' || CAST(c_custkey % 5 AS STRING) AS analysis_id, CASE c_nationkey % 3 WHEN 0 THEN 'DEBUGGER_CHECK' WHEN 1 THEN 'EMULATOR_CHECK' ELSE 'ROOT_CHECK' END AS category, lower(c_mktsegment) AS indicator,
+  CASE WHEN c_custkey % 4 = 0 THEN 'SUPPORTED' ELSE 'INDICATOR' END AS evidence_level FROM customer""",
 }
 
 
