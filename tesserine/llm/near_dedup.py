@@ -40,7 +40,7 @@ are copies. class_id is the least doc_id of the class that is not null. An empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,7 @@ SIMILARITY = 0.8
 SKETCHES = 32
 STRIDES = (1, 5)  # a band joins a sketch with the one so many places on
 BLOCK = 250  # texts of a block; a cell has one or two blocks
-COUNTED = 1 << 18  # counters of grams, by hash
+COUNTED = 1 << 20  # counters of grams, by hash
 MOST_BITS = 1 << 17  # of a bag of words
 WORDS_AT_ONCE = 100_000
 NARROW = 32  # edits that the first band allows
@@ -417,31 +417,78 @@ def _relabelled(labels: DataFrame, new: DataFrame, scratch: Scratch) -> DataFram
     return whole if joins.isEmpty() else scratch.written(_renamed(whole, components(joins, scratch).withColumnRenamed("component", "to")), "labels")
 
 
-def _by_first_grams(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """id and keys (first grams) of texts (id, words)."""
+def _per_place(texts: DataFrame, of_slice: Callable, start: Callable[[], list[np.ndarray]], *how: Column) -> list[np.ndarray]:
+    """Arrays of COUNTED numbers that of_slice(arrays, component of each text, words, sizes) fills in each task, put together by how (columns c0, c1, ...)."""
+    names = [f"c{k}" for k in range(len(how))]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTED, np.int64)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, untouched = start(), start()
         for batch in batches:
-            for _, found, sizes in _slices(batch):
-                counts += np.bincount(labelled_shingles(found, sizes, 2)[0] & np.uint64(COUNTED - 1), minlength=COUNTED)
-        place = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(counts[place])], ["place", "n"])
+            for part, words, sizes in _slices(batch):
+                of_slice(arrays, part.column("component").to_numpy(), words, sizes)
+        place = np.flatnonzero(arrays[0] != untouched[0])
+        yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(v[place]) for v in arrays)], ["place", *names])
+
+    schema = ", ".join(["place long", *(f"{n} long" for n in names)])
+    found = texts.mapInArrow(fill, schema).groupBy("place").agg(*how).toPandas()  # at most COUNTED rows
+    out = start()
+    for array, column in zip(out, found.columns[1:]):
+        array[found["place"].to_numpy(np.int64)] = found[column].to_numpy(np.int64)
+    return out
+
 
-    found = texts.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTED rows
-    counts = np.zeros(COUNTED, np.int64)
-    counts[found["place"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    sent = texts.sparkSession.sparkContext.broadcast(counts)
+def _by_first_grams(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Rows (key, id) of the first grams of texts (id, component, words).
+
+    Left out, as far as the grams' places in the counters show it, are grams that texts of one
+    component alone have, and those all of whose texts have one other such gram in common: that one
+    brings them together.
+    """
+    place, edges = np.uint64(COUNTED - 1), np.iinfo(np.int64)
+    context = texts.sparkSession.sparkContext
+    numbers, lows, highs = (lambda v: lambda: np.full(COUNTED, v))(0), lambda: np.full(COUNTED, edges.max), lambda: np.full(COUNTED, edges.min)
+
+    def add(arrays: list[np.ndarray], _: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> None:
+        arrays[0] += np.bincount(labelled_shingles(words, sizes, 2)[0] & place, minlength=COUNTED)
+
+    (counts,) = _per_place(texts, add, lambda: [numbers()], F.sum("c0").alias("c0"))
+    sent = context.broadcast(counts)
+
+    def meet(arrays: list[np.ndarray], component: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> None:
+        key, text = first_grams(words, sizes, sent.value, least)
+        arrays[0] += np.bincount(key & place, minlength=COUNTED)
+        np.minimum.at(arrays[1], key & place, component[text])
+        np.maximum.at(arrays[2], key & place, component[text])
+
+    shown, low, high = _per_place(texts, meet, lambda: [numbers(), lows(), highs()], F.sum("c0").alias("c0"), F.min("c1").alias("c1"), F.max("c2").alias("c2"))
+    met = context.broadcast(np.where(low < high, shown, 0))  # how many texts show a gram, if they are of several components
+
+    def tops(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first grams that several components show, the text of each, and for each that of its text which most texts show."""
+        key, text = first_grams(words, sizes, sent.value, least)
+        n = met.value[key & place]
+        key, text, n = key[n > 0], text[n > 0], n[n > 0]
+        order = np.lexsort((key, n, text))
+        key, text = key[order], text[order]
+        last = np.searchsorted(text, np.arange(len(sizes)), "right") - 1
+        return key, text, key[last[text]].view(np.int64)
+
+    def bounds(arrays: list[np.ndarray], _: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> None:
+        key, _, top = tops(words, sizes)
+        np.minimum.at(arrays[0], key & place, top)
+        np.maximum.at(arrays[1], key & place, top)
+
+    spread = context.broadcast(_per_place(texts, bounds, lambda: [lows(), highs()], F.min("c0").alias("c0"), F.max("c1").alias("c1")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, flat, sizes in _slices(batch):
-                key, text = first_grams(flat, sizes, sent.value, least)
-                ends = np.searchsorted(text, np.arange(len(sizes) + 1))
-                keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), keys], ["id", "keys"])
+            for part, words, sizes in _slices(batch):
+                key, text, top = tops(words, sizes)
+                low, high = spread.value
+                stays = (low[key & place] != high[key & place]) | (key.view(np.int64) == top)
+                yield pa.RecordBatch.from_arrays([pa.array(key[stays].view(np.int64)), part.column("id").take(pa.array(text[stays]))], ["key", "id"])
 
-    return scratch.written(texts.mapInArrow(cut, "id long, keys array<long>"), "grams")
+    return scratch.written(texts.mapInArrow(cut, "key long, id long"), "grams")
 
 
 def _without_covered(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -581,8 +628,9 @@ def near_labels(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
         return rows, texts, labels
     ids = scratch.written(join_spread(named, open_keys, "key", "id", named.count()).select("id").distinct(), "ids")
     few = scratch.written(_named(bodies.join(ids, "id", "left_semi"), labels), "bodies")
-    grams = _by_first_grams(few.select("id", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("words")), least, scratch)
-    each = scratch.written(_named(grams.select("id", F.explode("keys").alias("key")), labels), "grams")
+    hashed = few.select("id", "component", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("words"))
+    grams = _by_first_grams(hashed, least, scratch)
+    each = scratch.written(_named(grams, labels), "grams")
     met = scratch.written(join_spread(each, _open_keys(each).withColumn("size", F.col("n")), "key", "id", each.count()).select("key", "id", F.col("size").alias("n")), "met")
     return rows, texts, _relabelled(labels, scratch.written(_cell_links(_without_covered(met, scratch), few, least), "links"), scratch)
 
