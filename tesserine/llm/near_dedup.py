@@ -430,10 +430,10 @@ def _per_place(texts: DataFrame, of_slice: Callable, start: Callable[[], list[np
         yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(v[place]) for v in arrays)], ["place", *names])
 
     schema = ", ".join(["place long", *(f"{n} long" for n in names)])
-    found = texts.mapInArrow(fill, schema).groupBy("place").agg(*how).toPandas()  # at most COUNTED rows
-    out = start()
-    for array, column in zip(out, found.columns[1:]):
-        array[found["place"].to_numpy(np.int64)] = found[column].to_numpy(np.int64)
+    found = texts.mapInArrow(fill, schema).groupBy("place").agg(*how).toArrow()  # at most COUNTED rows of a few numbers
+    out, place = start(), found.column("place").to_numpy()
+    for array, name in zip(out, names):
+        array[place] = found.column(name).to_numpy()
     return out
 
 
@@ -488,7 +488,10 @@ def _by_first_grams(texts: DataFrame, least: float, scratch: Scratch) -> DataFra
                 stays = (low[key & place] != high[key & place]) | (key.view(np.int64) == top)
                 yield pa.RecordBatch.from_arrays([pa.array(key[stays].view(np.int64)), part.column("id").take(pa.array(text[stays]))], ["key", "id"])
 
-    return scratch.written(texts.mapInArrow(cut, "key long, id long"), "grams")
+    grams = scratch.written(texts.mapInArrow(cut, "key long, id long"), "grams")
+    for shared in (sent, met, spread):
+        shared.destroy()
+    return grams
 
 
 def _without_covered(rows: DataFrame, scratch: Scratch) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from tesserine.llm import chat_format, decontamination, near_dedup, queries, url_filter, warc
 from tesserine.llm.common import Scratch, new_path, written
@@ -306,3 +307,97 @@ def test_pipeline_stages(spark, sf_dir):
     assert kept["encoding"] == kept["personal_data"] == docs.where("n_tokens >= 0").count() > 0
     whole = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, whole.select("doc_id", "ids").collect())) == sorted(map(tuple, docs.select("doc_id", "ids").collect()))
+
+
+CLASHES = ("score", "predicted", "held_out", "n_words", "found", "hit_spans", "made", "base", "extra", "voted", "decoded", "key", "own", "sha", "row", "class_id", "first", "label")
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf_dir):
+    """Nulls in every column, an empty table, very long texts, ties and repeated rows, and columns whose names the stages use themselves."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(1)
+    long_text = " ".join(prose(rng, 30000))
+    rows = [(1, None, None, None, None), (None, "no identifier, mail a@b.cd now", "en", "s", 3), (2, "", "en", "s", 0), (3, long_text, "en", "s", len(long_text)), (4, " ".join(prose(rng, 60)), "en", "s", 9), (4, " ".join(prose(rng, 60)), "en", "s", 9), (5, "9" * 40000, None, None, None)]
+    odd = spark.createDataFrame(rows + [rows[4]] * 3, own.schema).withColumns({c: F.lit(f"u-{c}") for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd, sf_dir)
+        kept = made.collect()
+        assert stage(spark, odd.where("1 = 0"), sf_dir).count() == 0
+        assert all(r[c] == f"u-{c}" for r in kept for c in CLASHES)
+        if name != "encoding":
+            assert made.columns == odd.columns and made.dtypes == odd.dtypes
+        texts = Counter(r.text for r in kept)
+        if name == "near_duplicates":
+            assert texts[rows[4][1]] == 1 and texts[None] == texts[""] == 1 and len(kept) == 7
+        elif name != "quality":
+            assert len(kept) == 10 and texts[None] == 1 and texts[""] == 1
+        if name == "personal_data":
+            assert "no identifier, mail [EMAIL] now" in texts and next(r.n_chars for r in kept if r.text and "[EMAIL]" in r.text) == 31
+        if name == "encoding":
+            assert {r.n_tokens for r in kept if not r.text} == {0}
+
+
+def test_pipeline_equals_plain_stages(spark, sf_dir):
+    """run() against stages in plain Python: all pairs of texts, all windows, the patterns as written, and the library's encoder."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import re
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tesserine.llm import quality_classifier
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels.select("doc_id", "quality"))
+    logit = lambda t: float(np.clip((np.array(quality_classifier.features(t)) - model["mean"]) / model["scale"], -8, 8) @ model["weights"][:-1] + model["weights"][-1])
+    left = {r.doc_id: r.text for r in docs.collect() if logit(r.text) >= 0}
+    cut = {i: (t or "").lower().split() for i, t in left.items()}
+    parent = {i: i for i in left}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for i, j in itertools.combinations(sorted(left), 2):
+        a, b, n = cut[i], cut[j], max(len(cut[i]), len(cut[j]))
+        most = int(0.2 * n + 1e-9)
+        if a and b and abs(len(a) - len(b)) <= most and sum((Counter(a) & Counter(b)).values()) >= n - most and (a == b or edit_distance(a, b) <= most):
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+    left = {i: t for i, t in left.items() if find(i) == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    windows: dict = {}
+    for _, body in items:
+        w = decontamination.words_of(body)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1) if n else []:
+            windows.setdefault(n, set()).add(tuple(w[k : k + n]))
+    for i, t in list(left.items()):
+        places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+        words = decontamination.words_of(t)
+        hit = {k + j for n, known in windows.items() for k in range(len(words) - n + 1) if tuple(words[k : k + n]) in known for j in range(n)}
+        if 2 * len(hit) > len(words):
+            del left[i]
+        elif hit:
+            out, at = "", 0
+            for first in sorted(k for k in hit if k - 1 not in hit):
+                last = first
+                while last + 1 in hit:
+                    last += 1
+                out, at = out + t[at : places[first][0]], places[last][1]
+            left[i] = out + t[at:]
+    luhn = lambda d: sum((v := int(c) * (1 + k % 2)) - (9 if v > 9 else 0) for k, c in enumerate(reversed(d))) % 10 == 0
+    kinds = (
+        ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("IP", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("CARD", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)), ("PHONE", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+        ("SECRET", r"(?<=token = \")[0-9a-f]{40}(?=\")", lambda m: True),
+    )
+    for i, t in left.items():
+        spans = sorted((m.start(), m.end(), k) for k, p, ok in kinds for m in re.finditer(p, t or "") if ok(m.group()))
+        out, at = "", 0
+        for start, end, kind in spans:
+            if start >= at:
+                out += t[at:start] + f"[{kind}]"
+            at = max(at, end)
+        left[i] = out + t[at:] if t else t
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: (t, " ".join(map(str, lib.encode(t or "", add_special_tokens=False).ids))) for i, t in left.items()}
+    got = {r.doc_id: (r.text, r.ids) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == want
