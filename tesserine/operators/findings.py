@@ -1,4 +1,4 @@
-"""Findings: fingerprints, duplicates, correlation, root causes, summaries."""
+"""Findings: fingerprints, duplicates, correlation, root causes, summaries."""
 
 from __future__ import annotations
 
@@ -25,11 +25,13 @@ def fingerprinted(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 def deduplicated(prints: DataFrame) -> DataFrame:
     """is_duplicate on all but the first finding of a fingerprint.
 
-    The first one is found by a partial aggregate and joined back, so a fingerprint that a third
-    of all rows share is never sorted in one task.
+    The first one is found by a partial aggregate; only fingerprints that repeat are joined back,
+    so most rows meet nothing. Where that list is too long to be sent to all tasks, adaptive
+    execution splits a frequent fingerprint's rows, which are the left side.
     """
-    first = prints.groupBy("analysis_id", "fingerprint").agg(F.min("finding_id").alias("first"))
-    return prints.join(first, ["analysis_id", "fingerprint"]).withColumn("is_duplicate", F.col("finding_id") != F.col("first")).drop("first")
+    first = prints.groupBy("analysis_id", "fingerprint").agg(F.min("finding_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    duplicate = F.coalesce(F.col("finding_id") != F.col("first"), F.lit(False))
+    return prints.join(first, ["analysis_id", "fingerprint"], "left").withColumn("is_duplicate", duplicate).drop("first")
 
 
 def dimensions(findings: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Code graphs and the knowledge graph as node and edge tables.
+"""Code graphs and the knowledge graph as node and edge tables.
 
 Searches are loops over a frontier: one join per step, each step's result written out, ended
 when a step finds nothing new. Path searches keep one best path per start and node, so they

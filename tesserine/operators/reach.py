@@ -1,4 +1,4 @@
-"""What of the vulnerable or reported code is present and reached."""
+"""What of the vulnerable or reported code is present and reached."""
 
 from __future__ import annotations
 

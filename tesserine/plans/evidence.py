@@ -186,6 +186,19 @@ def remediation_plan(spark, d):
     return _items(spark, d).drop("fixed_versions")
 
 
+@query("remediation_merged", with_views(f"""WITH {_STATES}, {_FIXES}, {_ITEMS}, m AS (SELECT *, CASE status WHEN 'RECOMMENDED' THEN 4 WHEN 'CONDITIONALLY_RECOMMENDED' THEN 3 WHEN 'REVIEW_REQUIRED' THEN 2 ELSE 1 END AS k FROM it)
+SELECT analysis_id, cve_id, arg_min(fixability, dep_id) AS action, arg_max(status, k) AS status, max(score) AS score, count(*) AS n_merged, string_agg(DISTINCT CAST(dep_id AS VARCHAR), ',' ORDER BY CAST(dep_id AS VARCHAR)) AS evidence FROM m GROUP BY 1, 2""", "dependency", "product", "version_range", "vulnerability"))
+def remediation_merged(spark, d):
+    """Of each analysis and CVE one item, with the dependencies as evidence."""
+    rows = _items(spark, d).withColumns({"action": F.col("fixability"), "ord": F.col("dep_id"), "evidence": F.col("dep_id").cast("string")})
+    return E.merged_items(rows, ["analysis_id", "cve_id"])
+
+
+@query("cvss_bands", with_views("SELECT source, CASE WHEN cvss >= 9 THEN 'CRITICAL' WHEN cvss >= 7 THEN 'HIGH' WHEN cvss >= 4 THEN 'MEDIUM' WHEN cvss > 0 THEN 'LOW' WHEN cvss = 0 THEN 'NONE' END AS band, count(*) AS n FROM vulnerability GROUP BY 1, 2", "vulnerability"))
+def cvss_bands(spark, d):
+    return view(spark, d, "vulnerability").groupBy("source", ranks.cvss_band(F.col("cvss")).alias("band")).agg(F.count("*").alias("n"))
+
+
 _CLAIMS = f"""
 ev AS (SELECT 'U' || CAST(user_id AS VARCHAR) || ':' || CAST(event_id % 4 AS VARCHAR) AS claim, CASE event_id % 5 WHEN 0 THEN 'RUNTIME' WHEN 1 THEN 'STATIC_CODE' WHEN 2 THEN 'STATIC_MANIFEST' WHEN 3 THEN 'STATIC_REACHABILITY' ELSE 'STATIC_NATIVE' END AS family, user_id % 3 > 0 AS live,
  value > 60 AS direct, CASE WHEN event_id % 401 = 0 THEN 'MISSING_VERSION' WHEN event_id % 307 = 0 THEN 'AMBIGUOUS_IDENTITY' WHEN event_id % 211 = 0 THEN 'UNKNOWN_NATIVE_TARGET' END AS blocker, user_id % 4 = 0 AS sure, user_id % 5 > 0 AS version_known, user_id % 7 = 0 AS possibly, user_id % 11 = 0 AS unreached FROM events),
