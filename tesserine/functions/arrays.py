@@ -29,10 +29,12 @@ def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column
         return F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
 
     total = lambda block: F.aggregate(block, F.lit(0), lambda a, x: join(a, x).cast("int"))
-    cut = F.when(F.size(values) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array().cast("array<array<int>>"))
+    numbers = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+    cut = lambda v: F.when(F.size(v) > BLOCK, F.transform(numbers(v), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array(v))
     before = lambda blocks: F.aggregate(F.transform(blocks, total), zero(F.lit(0)), append)["all"]
     start = lambda ends, k: F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))
-    return let(cut, lambda blocks: let(before(blocks), lambda ends: F.flatten(F.transform(blocks, lambda b, k: F.aggregate(b, zero(start(ends, k)), append)["all"]))))
+    each = lambda blocks, ends: F.flatten(F.transform(blocks, lambda b, k: F.aggregate(b, zero(start(ends, k)), append)["all"]))
+    return let(let(values, cut), lambda blocks: let(before(blocks), lambda ends: each(blocks, ends)))
 
 
 def running_ends(sizes: Column) -> Column:
