@@ -136,8 +136,9 @@ def test_states_are_kept(spark):
 
 
 def test_mocked_runtime_confirms_nothing(spark):
-    df = spark.createDataFrame([("a", "RUNTIME", False, False), ("b", "CODE", False, False), ("c", "CODE", False, False), ("c", "RUNTIME", True, False)], "claim string, family string, live boolean, blocked boolean")
-    assert {r.claim: r.state for r in E.claims(df).collect()} == {"a": "UNVERIFIED", "b": "STATIC_SUPPORTED", "c": "RUNTIME_CONFIRMED"}
+    rows = [(c, f, live, False, None, None, None, None, None) for c, f, live in (("a", "RUNTIME", False), ("b", "CODE", False), ("c", "CODE", False), ("c", "RUNTIME", True), ("d", "CODE", False), ("d", "RUNTIME", False))]
+    df = spark.createDataFrame(rows, "claim string, family string, live boolean, direct boolean, blocker string, identity string, version_known boolean, version_state string, reach string")
+    assert {r.claim: r.state for r in E.claims(df).collect()} == {"a": "UNVERIFIED", "b": "STATIC_SUPPORTED", "c": "MULTI_SOURCE_CORROBORATED", "d": "STATIC_SUPPORTED"}
 
 
 def test_longest_prefix_and_upsert(spark):
