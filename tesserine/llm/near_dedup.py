@@ -631,7 +631,7 @@ def near_labels(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text:
         return rows, texts, labels
     ids = scratch.written(join_spread(named, open_keys, "key", "id", named.count()).select("id").distinct(), "ids")
     few = scratch.written(_named(bodies.join(ids, "id", "left_semi"), labels), "bodies")
-    hashed = few.select("id", "component", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("words"))
+    hashed = few.repartition("id").select("id", "component", F.transform(F.split("body", " "), lambda w: F.xxhash64(w)).alias("words"))
     grams = _by_first_grams(hashed, least, scratch)
     each = scratch.written(_named(grams, labels), "grams")
     met = scratch.written(join_spread(each, _open_keys(each).withColumn("size", F.col("n")), "key", "id", each.count()).select("key", "id", F.col("size").alias("n")), "met")
