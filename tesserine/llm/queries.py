@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, near_dedup, pii, quality_classifier, quality_rules, token_counts, url_filter, warc, word_bpe
+from . import chat_format, decontamination, near_dedup, pii, quality_classifier, quality_rules, stream_dedup, token_counts, url_filter, warc, word_bpe
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_word_bpe": word_bpe.op10_word_bpe,
+    "op11_stream_dedup": stream_dedup.op11_stream_dedup,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op6_decontamination": decontamination.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
+    "op11_stream_dedup": stream_dedup.OP11_SQL,
 }
