@@ -36,11 +36,14 @@ from .common import Scratch, new_path, text_or_empty
 SPACE = r"[\x20\x09-\x0D]+"
 #: Most files of one batch of the stream.
 FILES = 4096
-#: Fixed names: the state store, and MB of memory that all stores of an executor share.
+#: Fixed names: the state store, MB of memory that all stores of an executor share, and no room on disk laid aside
+#: for logs nor rows counted, since there are many stores, one a partition.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
 }
 
 
