@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, near_dedup, pii, quality_classifier, quality_rules, stream_dedup, token_counts, url_filter, warc, word_bpe
+from . import chat_format, decontamination, near_dedup, pii, prefix_trie, quality_classifier, quality_rules, stream_dedup, structure_repair, token_counts, url_filter, warc, word_bpe
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_word_bpe": word_bpe.op10_word_bpe,
     "op11_stream_dedup": stream_dedup.op11_stream_dedup,
+    "op12_structure_repair": structure_repair.op12_structure_repair,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op7_url_filter": url_filter.OP7_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op11_stream_dedup": stream_dedup.OP11_SQL,
+    "op12_structure_repair": structure_repair.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
