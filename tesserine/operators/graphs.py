@@ -1,8 +1,7 @@
-"""Code graphs and the knowledge graph as node and edge tables.
+"""Code graphs and the knowledge graph as node and edge tables.
 
 Searches are loops over a frontier: one join per step, each step's result written out, ended
-when a step finds nothing new. Path searches keep one best path per start and node, so they
-don't enumerate; simple paths do, and take a depth.
+when a step finds nothing new. Path searches are in paths.py.
 """
 
 from __future__ import annotations
@@ -10,11 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ranks
 from ..functions.lineage import kept
 
-SEPARATOR = " > "
-
 
 def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges both of whose ends exist."""
@@ -37,51 +33,6 @@ def reachable(edges: DataFrame, starts: DataFrame, max_steps: int | None = None)
     return found
 
 
-def target_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_nodes: int) -> DataFrame:
-    """Per start and target the shortest path, the first in text order among equals. Targets end a path.
-
-    Per start and node only the best path goes on, which gives the same shortest paths as trying all.
-    """
-    best = F.min_by(F.struct("path", "weakest"), "path").alias("p")
-    arcs = kept(edges.groupBy("src", "dst").agg(F.max(_rank()).alias("rank")), "arcs")
-    aims = kept(targets.select(F.col("node_key").alias("node")).distinct(), "aims")
-    first = starts.select(F.col("node_key").alias("start"), F.col("node_key").alias("node"), F.col("node_key").alias("path"), F.lit(9).alias("weakest")).distinct()
-    seen = frontier = kept(first, "paths")
-    hits = None
-    for length in range(2, max_nodes + 1):
-        stepped = frontier.join(arcs, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.concat("path", F.lit(SEPARATOR), "dst").alias("path"), F.least("weakest", "rank").alias("weakest"))
-        fresh = stepped.groupBy("start", "node").agg(best).select("start", "node", "p.path", "p.weakest").join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        fresh = kept(fresh, "paths")
-        if fresh.isEmpty():
-            break
-        seen = seen.unionByName(fresh)
-        hit = fresh.join(aims, "node", "left_semi").withColumn("length", F.lit(length))
-        hits = hit if hits is None else hits.unionByName(hit)
-        frontier = fresh.join(aims, "node", "left_anti")
-    if hits is None:
-        hits = seen.where("1 = 0").withColumn("length", F.lit(0))
-    names = F.array(*map(F.lit, ("UNKNOWN", "LOW", "MEDIUM", "HIGH", "EXACT")))
-    return hits.select("start", F.col("node").alias("target"), "path", "length", F.element_at(names, F.col("weakest") + 2).alias("confidence"))
-
-
-def _rank() -> Column:
-    return ranks.ranked(F.col("confidence"), ranks.CONFIDENCE_RANK, -1)
-
-
-def simple_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_nodes: int) -> DataFrame:
-    """Every path without a repeated node from a start to a target; a target ends its path."""
-    arcs = kept(edges.select("src", "dst").distinct(), "arcs")
-    aims = targets.select(F.col("node_key").alias("node")).distinct()
-    frontier = starts.select(F.col("node_key").alias("node"), F.array("node_key").alias("path")).distinct()
-    hits = None
-    for _ in range(2, max_nodes + 1):
-        frontier = kept(frontier.join(arcs, (F.col("node") == F.col("src")) & ~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")), "paths")
-        hit = frontier.join(aims, "node", "left_semi")
-        hits = hit if hits is None else hits.unionByName(hit)
-        frontier = frontier.join(aims, "node", "left_anti")
-    return hits.select(F.get("path", F.lit(0)).alias("start"), F.col("node").alias("target"), F.array_join("path", SEPARATOR).alias("path"), F.size("path").alias("length"))
-
-
 def neighbours(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """What the given nodes point to, then what points to them."""
     out = edges.join(keys, edges["src"] == keys["node_key"]).select("node_key", F.lit("out").alias("direction"), F.col("dst").alias("other"), "edge_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
+from ..operators import paths as P
 from ..sources.bridge import view, with_views
 from . import query
 
@@ -34,22 +35,63 @@ def graph_reachable_set(spark, d):
     return G.reachable(edges, nodes.where("node_type = 'ENTRY_POINT'"))
 
 
-@query("graph_shortest_target_paths", with_views(f"""WITH RECURSIVE {_EDGES}, ar AS (SELECT src, dst, max({_RANK}) AS rank FROM ce GROUP BY src, dst),
-p AS (SELECT node_key AS start, node_key AS node, node_key AS path, 1 AS length, 9 AS weakest FROM node WHERE node_type IN ('ENTRY_POINT', 'DATAFLOW_SOURCE')
- UNION ALL SELECT p.start, ar.dst, p.path || ' > ' || ar.dst, p.length + 1, least(p.weakest, ar.rank) FROM p JOIN ar ON ar.src = p.node WHERE p.length < 5 AND (p.node NOT LIKE 's:%' OR p.length = 1)),
-b AS (SELECT p.*, row_number() OVER (PARTITION BY start, node ORDER BY length, path) AS n FROM p WHERE node IN (SELECT node_key FROM node WHERE node_type = 'SECURITY_SINK'))
-SELECT start, node AS target, path, length, CASE weakest WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'UNKNOWN' END AS confidence FROM b WHERE n = 1""", "node", "edge"))
+def shortest_sql(starts: str, aims: str, edges: str = "ce") -> str:
+    """CTEs ar and p: per start and node the shortest path, the first in text order; aims end a path. To be put after WITH RECURSIVE."""
+    return f"""ar AS (SELECT src, dst, max({_RANK}) AS rank FROM {edges} WHERE src <> dst GROUP BY src, dst), aim AS ({aims}),
+p(start, node, path, length, weakest) USING KEY (start, node) AS (SELECT node_key, node_key, node_key, 1, 9 FROM ({starts})
+ UNION ALL (SELECT p.start, ar.dst, p.path || ' > ' || ar.dst, p.length + 1, least(p.weakest, ar.rank) FROM p JOIN ar ON ar.src = p.node WHERE p.length < {P.DEPTH} AND (p.length = 1 OR p.node NOT IN (SELECT node_key FROM aim))
+ AND NOT EXISTS (SELECT 1 FROM recurring.p AS r WHERE r.start = p.start AND r.node = ar.dst) QUALIFY row_number() OVER (PARTITION BY p.start, ar.dst ORDER BY p.path) = 1))"""
+
+
+NAMED_RANK = "CASE weakest WHEN -1 THEN 'UNKNOWN' WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'EXACT' END"
+_STARTS = "SELECT node_key FROM node WHERE node_type IN ('ENTRY_POINT', 'DATAFLOW_SOURCE')"
+_SINKS = "SELECT node_key FROM node WHERE node_type = 'SECURITY_SINK'"
+
+
+@query("graph_shortest_target_paths", with_views(f"""WITH RECURSIVE {_EDGES}, {shortest_sql(_STARTS, _SINKS)}
+SELECT start, node AS target, path, length, {NAMED_RANK} AS confidence FROM p WHERE length > 1 AND node IN (SELECT node_key FROM aim)""", "node", "edge"))
 def graph_shortest_target_paths(spark, d):
     nodes, edges = _graph(spark, d)
-    return G.target_paths(edges, _starts(nodes), nodes.where("node_type = 'SECURITY_SINK'"), 5)
+    return P.shortest_paths(edges, _starts(nodes), nodes.where("node_type = 'SECURITY_SINK'"))
 
 
-@query("graph_simple_paths", with_views(f"""WITH RECURSIVE {_EDGES}, ar AS (SELECT DISTINCT src, dst FROM ce),
-p AS (SELECT node_key AS node, [node_key] AS path FROM node WHERE node_type = 'ENTRY_POINT' UNION ALL SELECT ar.dst, list_append(p.path, ar.dst) FROM p JOIN ar ON ar.src = p.node WHERE len(p.path) < 5 AND p.node NOT LIKE 's:%' AND NOT list_contains(p.path, ar.dst))
-SELECT path[1] AS start, node AS target, array_to_string(path, ' > ') AS path, CAST(len(path) AS INTEGER) AS length FROM p WHERE node IN (SELECT node_key FROM node WHERE node_type = 'SECURITY_SINK')""", "node", "edge"))
+@query("graph_simple_paths", with_views(f"""WITH RECURSIVE {_EDGES}, ar AS (SELECT src, dst, max({_RANK}) AS rank FROM ce GROUP BY src, dst),
+p AS (SELECT node_key AS node, [node_key] AS path, 9 AS weakest FROM node WHERE node_type = 'ENTRY_POINT' UNION ALL SELECT ar.dst, list_append(p.path, ar.dst), least(p.weakest, ar.rank) FROM p JOIN ar ON ar.src = p.node WHERE len(p.path) < 5 AND p.node NOT IN ({_SINKS}) AND NOT list_contains(p.path, ar.dst))
+SELECT path[1] AS start, node AS target, array_to_string(path, ' > ') AS path, CAST(len(path) AS INTEGER) AS length, {NAMED_RANK} AS confidence FROM p WHERE node IN ({_SINKS})
+QUALIFY row_number() OVER (PARTITION BY path[1], node ORDER BY len(path), array_to_string(path, ' > ')) <= 20""", "node", "edge"))
 def graph_simple_paths(spark, d):
+    """Twenty a pair, as one question for paths gives. The SQL stops at five nodes, as every pair has twenty paths by then; the query goes on where one hasn't."""
+    nodes, edges = _graph(spark, d)
+    return P.k_paths(edges, nodes.where("node_type = 'ENTRY_POINT'"), nodes.where("node_type = 'SECURITY_SINK'"), 20)
+
+
+@query("graph_k_paths", with_views(f"""WITH RECURSIVE {_EDGES}, ar AS (SELECT src, dst, max({_RANK}) AS rank FROM ce GROUP BY src, dst), st AS ({_STARTS} ORDER BY node_key LIMIT 50), aim AS ({_SINKS} ORDER BY node_key LIMIT 50),
+p AS (SELECT node_key AS node, [node_key] AS path, 9 AS weakest FROM st UNION ALL SELECT ar.dst, list_append(p.path, ar.dst), least(p.weakest, ar.rank) FROM p JOIN ar ON ar.src = p.node WHERE len(p.path) < 3 AND p.node NOT IN (SELECT node_key FROM aim) AND NOT list_contains(p.path, ar.dst)),
+k AS (SELECT path[1] AS start, node AS target, array_to_string(path, ' > ') AS path, CAST(len(path) AS INTEGER) AS length, {NAMED_RANK} AS confidence FROM p WHERE node IN (SELECT node_key FROM aim)
+ QUALIFY row_number() OVER (PARTITION BY path[1], node ORDER BY len(path), array_to_string(path, ' > ')) <= 5) SELECT * FROM k ORDER BY length, path LIMIT 50""", "node", "edge"))
+def graph_k_paths(spark, d):
+    """The question of all pairs: the first 50 starts and targets, five paths a pair, the 50 shortest of all. There are fifty of three nodes, where the SQL stops."""
+    nodes, edges = _graph(spark, d)
+    return P.k_paths(edges, _starts(nodes).orderBy("node_key").limit(50), nodes.where("node_type = 'SECURITY_SINK'").orderBy("node_key").limit(50), 5, most=50)
+
+
+@query("graph_paths_to_unresolved", with_views(f"""WITH RECURSIVE {_EDGES}, oc AS (SELECT DISTINCT src, 'unresolved:' || dst AS dst, 'CALLS' AS edge_type, 'UNKNOWN' AS confidence FROM edge WHERE edge_type IN ('CALLS', 'INVOKES') AND dst NOT IN (SELECT node_key FROM node)),
+ae AS (SELECT src, dst, edge_type, confidence FROM ce UNION ALL SELECT * FROM oc), {shortest_sql("SELECT node_key FROM node WHERE node_type = 'NATIVE_FUNCTION'", "SELECT DISTINCT dst AS node_key FROM oc", "ae")}
+SELECT start, node AS target, path, length, {NAMED_RANK} AS confidence FROM p WHERE length > 1 AND node IN (SELECT node_key FROM aim)""", "node", "edge"))
+def graph_paths_to_unresolved(spark, d):
+    """Native functions to callees that are nowhere: these end a path, as unresolved."""
+    nodes, edges = _graph(spark, d)
+    calls = view(spark, d, "edge").where(F.col("edge_type").isin("CALLS", "INVOKES"))
+    more, ends = P.with_open_ends(edges, nodes, calls)
+    return P.shortest_paths(more, nodes.where("node_type = 'NATIVE_FUNCTION'"), ends)
+
+
+@query("graph_filtered_paths", with_views(f"""WITH RECURSIVE {_EDGES}, fe AS (SELECT * FROM ce WHERE edge_type IN ('CALLS', 'INVOKES') AND {_RANK} >= 1), {shortest_sql("SELECT node_key FROM node WHERE node_type = 'DATAFLOW_SOURCE'", _SINKS, "fe")}
+SELECT start, node AS target, path, length, {NAMED_RANK} AS confidence FROM p WHERE length > 1 AND node IN (SELECT node_key FROM aim)""", "node", "edge"))
+def graph_filtered_paths(spark, d):
+    """Over calls of medium confidence or better."""
     nodes, edges = _graph(spark, d)
-    return G.simple_paths(edges, nodes.where("node_type = 'ENTRY_POINT'"), nodes.where("node_type = 'SECURITY_SINK'"), 5)
+    return P.shortest_paths(P.selected(edges, ("CALLS", "INVOKES"), "MEDIUM"), nodes.where("node_type = 'DATAFLOW_SOURCE'"), nodes.where("node_type = 'SECURITY_SINK'"))
 
 
 @query("graph_neighbours", with_views(f"""WITH {_EDGES}, k AS (SELECT node_key FROM node WHERE node_type = 'SECURITY_SINK') SELECT k.node_key, 'out' AS direction, ce.dst AS other, edge_type FROM ce JOIN k ON ce.src = k.node_key

@@ -12,6 +12,7 @@ from tesserine.functions import ranks, versions
 from tesserine.operators import evidence as E
 from tesserine.operators import findings as N
 from tesserine.operators import graphs as G
+from tesserine.operators import paths as P
 from tesserine.operators import rules as R
 from tesserine.operators import snapshots as S
 from tesserine.operators import vulnerabilities as V
@@ -108,9 +109,9 @@ def test_graph_on_a_cycle(spark):
     assert own.count() == 6
     start, target = nodes.where("node_key = 'a'"), nodes.where("node_key = 't'")
     assert {tuple(r) for r in G.reachable(own, start).collect()} == {("a", 0), ("b", 1), ("c", 2), ("t", 2), ("u", 3)}
-    assert [tuple(r) for r in G.target_paths(own, start, target, 9).collect()] == [("a", "t", "a > b > t", 3, "MEDIUM")]
-    assert sorted(r.path for r in G.simple_paths(own, start, target, 9).collect()) == ["a > b > c > t", "a > b > t"]
-    assert G.target_paths(own, start, target, 1).count() == 0
+    assert [tuple(r) for r in P.shortest_paths(own, start, target, 9).collect()] == [("a", "t", "a > b > t", 3, "MEDIUM")]
+    assert sorted(r.path for r in P.k_paths(own, start, target, 9).collect()) == ["a > b > c > t", "a > b > t"]
+    assert P.shortest_paths(own, start, target, 1).count() == 0
 
 
 def test_digest_ignores_order(spark):

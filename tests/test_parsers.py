@@ -7,6 +7,7 @@ import glob
 import pytest
 
 from tesserine.operators import graphs as G
+from tesserine.operators import paths as P
 from tesserine.sources import elf, java
 
 WEB = 'package com.x; class Web extends Activity { void onCreate(Bundle b) { String u = getIntent().getStringExtra("u"); show(u); } void show(String u) { w.loadUrl(u); } }'
@@ -26,7 +27,7 @@ def graph(spark, *texts):
     components = spark.createDataFrame([("com.x.Web", True), ("com.x.A", False)], "name string, effective_exported boolean")
     nodes, edges = java.code_graph(java.methods(files), components)
     starts = nodes.where("node_type IN ('ENTRY_POINT', 'DATAFLOW_SOURCE')")
-    return G.target_paths(G.connected(edges, nodes), starts, nodes.where("node_type = 'SECURITY_SINK'"), 10).collect()
+    return P.shortest_paths(G.connected(edges, nodes), starts, nodes.where("node_type = 'SECURITY_SINK'"), 10).collect()
 
 
 def test_intent_extra_reaches_webview(spark):

@@ -15,7 +15,7 @@ def test_graphs_have_every_edge(spark, sf_dir):
     want = orders.join(line, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct().count()
     want += line.select("l_partkey", "l_suppkey").distinct().count()
     want += sum(table(spark, sf_dir, t).count() for t in ("nation", "customer", "supplier"))
-    assert QUERIES["graph_dot_lines_whole"](spark, sf_dir).count() == want
+    assert QUERIES["graph_dot_lines"](spark, sf_dir).count() == want
     arcs, known = {}, {r.node_key for r in view(spark, sf_dir, "node").collect()}
     for r in view(spark, sf_dir, "edge").collect():
         if r.src in known and r.dst in known:
@@ -26,11 +26,11 @@ def test_graphs_have_every_edge(spark, sf_dir):
         for m in sorted(arcs.get(n, set()) - steps.keys()):
             steps[m] = steps[n] + 1
             todo.append(m)
-    assert {r.node_key: r.steps for r in QUERIES["graph_reachable_set_whole"](spark, sf_dir).collect()} == steps
+    assert {r.node_key: r.steps for r in QUERIES["graph_reachable_set"](spark, sf_dir).collect()} == steps
 
 
 def test_evidence_has_every_row(spark, sf_dir):
     events, parts = table(spark, sf_dir, "events").count(), table(spark, sf_dir, "part").count()
-    assert QUERIES["validation_claims_whole"](spark, sf_dir).agg(F.sum("n_evidence")).first()[0] == events
-    assert QUERIES["native_reconcile_whole"](spark, sf_dir).agg(F.count("*")).first()[0] >= min(parts, 700)
-    assert QUERIES["runtime_correlation_whole"](spark, sf_dir).where("NOT linked").count() == 0
+    assert QUERIES["validation_claims"](spark, sf_dir).agg(F.sum("n_evidence")).first()[0] == events
+    assert QUERIES["native_reconcile"](spark, sf_dir).agg(F.count("*")).first()[0] >= min(parts, 700)
+    assert QUERIES["runtime_correlation"](spark, sf_dir).where("NOT linked").count() == 0
