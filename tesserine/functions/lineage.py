@@ -5,7 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
+
+
+def kept_counted(df: DataFrame, tag: str, which: Column | None = None) -> tuple[DataFrame, int]:
+    """kept(), and how many of its rows there are (for which something holds), counted while they are written."""
+    seen = Observation()
+    made = kept(df.observe(seen, (F.count("*") if which is None else F.count_if(which)).alias("n")), tag)
+    return made, seen.get["n"]
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:

@@ -18,13 +18,14 @@ takes keys without characters below the space.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks
-from ..functions.lineage import kept
+from ..functions.lineage import kept, kept_counted
 
 SEPARATOR = " > "
 NAMES = ("UNKNOWN", "LOW", "MEDIUM", "HIGH", "EXACT")
@@ -70,14 +71,16 @@ def _graph(edges: DataFrame, starts: DataFrame, targets: DataFrame) -> tuple[Dat
 
 
 def _set_bits() -> Column:
-    """The targets of a word's bits, as numbers."""
-    places = F.sequence(F.lit(0), F.lit(63))
-    return F.explode(F.transform(F.filter(places, lambda i: F.getbit("bits", i) == 1), lambda i: F.col("word") * 64 + i)).alias("target_n")
+    """The targets of a word's bits, as numbers; a table gives the bits of a byte."""
+    of_byte = F.from_json(F.lit(json.dumps([[i for i in range(8) if byte >> i & 1] for byte in range(256)])), "array<array<int>>")
+    byte = lambda k: (F.call_function("shiftright", F.col("bits"), k * 8).bitwiseAND(F.lit(255).cast("long")) + 1).cast("int")
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.element_at(of_byte, byte(k)), lambda i: k * 8 + i)))
+    return F.explode(F.transform(places, lambda i: F.col("word") * 64 + i)).alias("target_n")
 
 
 def _bits_of(rows: DataFrame, *by: str) -> DataFrame:
     """(by, target_n) as (by, word, bits). A table gives the bit of a number, as shifts take constants only."""
-    powers = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
+    powers = F.from_json(F.lit(json.dumps([1 << i if i < 63 else -(1 << 63) for i in range(64)])), "array<long>")
     return rows.groupBy(*by, F.floor(F.col("target_n") / 64).alias("word")).agg(F.bit_or(F.element_at(powers, (F.col("target_n") % 64 + 1).cast("int"))).alias("bits"))
 
 
@@ -93,8 +96,8 @@ def levels_to(arcs: DataFrame, aims: DataFrame, most: int) -> DataFrame:
         came = arcs.join(frontier, arcs["dst"] == frontier["node"]).groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
         old = _union(levels).groupBy("node", "word").agg(F.bit_or("bits").alias("old"))
         fresh = came.join(old, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0))))).where("bits <> 0").drop("old")
-        frontier = kept(fresh, "level")
-        if frontier.isEmpty():
+        frontier, n = kept_counted(fresh, "level")
+        if not n:
             break
         levels.append(frontier.withColumn("left", F.lit(d)))
     return _union(levels)
@@ -105,18 +108,19 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_
     arcs, begin, aims = _graph(edges, starts, targets)
     at = levels_to(arcs, aims, max_nodes - 1)
     hits = at.where("left > 0").join(begin, "node").select("start", "node", "left", _set_bits())
-    paths = kept(hits.select("start", "node", "target_n", "left", F.col("start").alias("path"), (F.col("left") + 1).alias("length"), F.lit(9).alias("weakest")), "paths")
+    paths, n = kept_counted(hits.select("start", "node", "target_n", "left", F.col("start").alias("path"), (F.col("left") + 1).alias("length"), F.lit(9).alias("weakest")), "paths")
     near = at.select(F.col("node").alias("u"), (F.col("left") + 1).alias("left"), "word", "bits")
     ways = arcs.select(F.col("src").alias("v"), F.col("dst").alias("u"), "rank")
     found = [paths.where("left = 0")]
-    while not paths.isEmpty():
+    while n:
         # The next hop of each (node, target) that some path stands at: the least node that is one step nearer.
         asked = _bits_of(paths.select("node", "left", "target_n").distinct(), "node", "left").withColumnsRenamed({"node": "v", "bits": "asked"})
         both = asked.join(ways, "v").join(near, ["u", "left", "word"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("asked"))).where("bits <> 0")
         hop = both.select(F.col("v").alias("node"), "left", "u", "rank", _set_bits()).groupBy("node", "left", "target_n").agg(F.min(F.struct("u", "rank")).alias("hop"))
         onward = paths.join(hop, ["node", "left", "target_n"])
         path = F.concat("path", F.lit(SEPARATOR), "hop.u").alias("path")
-        made = kept(onward.select("start", F.col("hop.u").alias("node"), "target_n", (F.col("left") - 1).alias("left"), path, "length", F.least("weakest", "hop.rank").alias("weakest")), "paths")
+        step = onward.select("start", F.col("hop.u").alias("node"), "target_n", (F.col("left") - 1).alias("left"), path, "length", F.least("weakest", "hop.rank").alias("weakest"))
+        made, n = kept_counted(step, "paths", F.col("left") > 0)
         found.append(made.where("left = 0"))
         paths = made.where("left > 0")
     return _union(found).where(F.col("start") != F.col("node")).select("start", F.col("node").alias("target"), "path", "length", named_rank(F.col("weakest")).alias("confidence"))
@@ -127,8 +131,8 @@ def _on_cycles(arcs: DataFrame, rounds: int = 4) -> DataFrame:
     core = arcs.select("src", "dst")
     for _ in range(rounds):
         ends = core.select(F.col("src").alias("node")).intersect(core.select(F.col("dst").alias("node")))
-        left = kept(core.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi"), "core")
-        if left.isEmpty():
+        left, n = kept_counted(core.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi"), "core")
+        if not n:
             return left.select(F.col("src").alias("node"))
         core = left
     return core.select(F.col("src").alias("node")).union(core.select("dst")).distinct()
@@ -140,6 +144,10 @@ def _others() -> Column:
     return F.sum(F.bit_count("bits") - F.coalesce(holds_own, F.lit(False)).cast("int"))
 
 
+def _hits(least: DataFrame, length: int) -> DataFrame:
+    return least.where("aim AND start <> node").select("start", F.col("node").alias("target"), "path", F.lit(length).alias("length"), "weakest")
+
+
 def k_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, k: int, max_nodes: int = DEPTH, most: int | None = None) -> DataFrame:
     """Per pair the k least paths without a repeated node, by length and then text; with most, the least of all pairs' paths."""
     arcs, begin, aims = _graph(edges, starts, targets)
@@ -165,15 +173,21 @@ def k_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, k: int, max
             F.concat("path", F.lit(SEPARATOR), "dst").alias("path"), F.least("weakest", "rank").alias("weakest"),
         )
         marked = stepped.join(aims.select("node", F.lit(True).alias("aim")), "node", "left")
-        least = kept(marked.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= k).drop("nth"), "partial")
-        found.append(least.where("aim AND start <> node").select("start", F.col("node").alias("target"), "path", F.lit(length).alias("length"), "weakest"))
+        least, n = kept_counted(marked.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= k).drop("nth"), "partial", F.col("aim").isNull())
+        if not n:
+            found.append(_hits(least, length))
+            break
+        found.append(_hits(least, length))
         counts = _union(found).groupBy("start", "target").agg(F.least(F.count("*"), F.lit(k)).alias("n"))
         if most is not None and (counts.agg(F.sum("n")).first()[0] or 0) >= most:
             break
         full = counts.where(F.col("n") == k).groupBy("start").agg(F.count("*").alias("n")).join(reached, ["start", "n"])
-        partial = least.where("aim IS NULL").drop("aim").join(kept(full, "full"), "start", "left_anti")
-        if partial.isEmpty():
-            break
+        full, n = kept_counted(full, "full")
+        partial = least.where("aim IS NULL").drop("aim")
+        if n:
+            partial = partial.join(full, "start", "left_anti")
+            if partial.isEmpty():
+                break
     nth = F.row_number().over(Window.partitionBy("start", "target").orderBy("length", "path"))
     every = _union(found).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
     if most is not None:
