@@ -7,10 +7,13 @@ whole of a shorter item), the words of that match are hit and the items behind t
 state are recorded. Documents lose their hit spans, or go altogether when hits cover more than
 a share of them.
 
-A worker builds the automaton of a shard once. Its size is held: items are dealt into shards of at
-most SHARD_WORDS words by running totals (some 60 bytes a word in a worker), and a document passes
-all shards one after the other within its task. One item longer than that makes a shard of its own, since an item is one value
-of its table. Items are read shard by shard through the driver, never all at once.
+A worker holds one automaton at a time. Its size is held: items are dealt into shards of at most
+SHARD_WORDS words by running totals (some 60 bytes a word in a worker). With one shard its
+automaton is built once and stays. With several, a worker takes CHUNK bytes of documents, leads
+them through one shard after the other and builds each shard's automaton anew for each chunk, so
+neither memory nor the query's plan grows with the number of shards. One item longer than a shard
+makes one of its own, since an item is one value of its table. Items are read shard by shard
+through the driver, never all at once.
 
 Defined results: null and wordless texts have no words and no hits; wordless items match
 nothing; items with equal words are each reported. Repeated rows are judged one by one.
@@ -29,11 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, free_name, only, read_table, text_or_empty
+from .common import bounded_batches, free_name, only, read_table, text_or_empty, written
 
 WINDOW = 10
 COVERAGE = 0.5
 SHARD_WORDS = 2_000_000
+#: Bytes of documents that a worker leads through all shards, where there are several.
+CHUNK = 32 << 20
 #: Fixed value: a word, in UTF-8 after A-Z became lower case.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -188,20 +193,21 @@ def _shards(items: DataFrame, item_id: str, text: str, shard_words: int) -> list
     parts = by_hash.groupBy("part").agg(F.sum("size").alias("whole"))
     starts = parts.withColumn("start", F.sum("whole").over(Window.orderBy("part")) - F.col("whole"))  # 256 rows
     dealt = by_hash.join(starts, "part").withColumn("shard", F.floor((F.col("start") + F.sum("size").over(before)) / shard_words))
+    dealt = written(dealt.select("item", "text", "shard"), "item-shards")
     numbers = sorted(r[0] for r in dealt.select("shard").distinct().collect())
     return [dealt.where(F.col("shard") == n) for n in numbers]
 
 
-#: Automata of the shards that this worker met last.
+#: The automaton that this worker used last, by its shard and window.
 _built: dict[tuple[str, int], ItemAutomaton] = {}
 
 
 def _automaton(shard: str, rows, window: int) -> ItemAutomaton:
-    """The automaton of a shard's rows, built once in each Python worker."""
+    """The automaton of a shard's rows (a broadcast), which takes the place of another's. Its rows go again."""
     if (shard, window) not in _built:
-        while len(_built) >= 2:
-            _built.pop(next(iter(_built)))
+        _built.clear()
         _built[shard, window] = ItemAutomaton(rows.value, window)
+        rows.__dict__.pop("_value", None)
     return _built[shard, window]
 
 
@@ -219,20 +225,37 @@ def _places(body: str | None, spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _scan(rows, window: int):
-    """A column function that adds the hits of a shard (a broadcast of its rows) to those found before."""
-    shard = uuid.uuid4().hex
+def _scan(shards: dict, window: int, chunk: int):
+    """A column function that gives the hits of all shards (broadcasts of their rows, by name)."""
+
+    def judged(texts: list[str | None]) -> pd.DataFrame:
+        spans: list[list] = [[] for _ in texts]
+        found: list[set] = [set() for _ in texts]
+        sizes = [0] * len(texts)
+        for shard, rows in shards.items():
+            automaton = _automaton(shard, rows, window)
+            for k, body in enumerate(texts):
+                words = words_of(body)
+                new_spans, new_found = automaton.scan(words)
+                sizes[k] = len(words)
+                spans[k] = merged([*spans[k], *new_spans]) if spans[k] else new_spans
+                found[k].update(map(str, new_found))
+        rows = [(n, [e for span in own for e in span], _places(body, own), sorted(items)) for n, own, body, items in zip(sizes, spans, texts, found, strict=True)]
+        return pd.DataFrame(rows, columns=["n_words", "edges", "cuts", "found"])
 
     @F.pandas_udf("n_words long, edges array<long>, cuts array<long>, found array<string>")
-    def scan(texts: pd.Series, edges: pd.Series, items_found: pd.Series) -> pd.DataFrame:
-        only("decontamination", _built.clear)
-        automaton, out = _automaton(shard, rows, window), []
-        for body, old_edges, old_found in zip(texts, edges, items_found):
-            words = words_of(body)
-            new_spans, new_found = automaton.scan(words)
-            spans = merged([*zip(old_edges[::2], old_edges[1::2]), *new_spans])
-            out.append((len(words), [e for span in spans for e in span], _places(body, spans), sorted({*old_found, *map(str, new_found)})))
-        return pd.DataFrame(out, columns=["n_words", "edges", "cuts", "found"])
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held: list[list] = []
+        size = 0
+        for texts in batches:
+            only("decontamination", _built.clear)
+            held.append(texts.tolist())
+            size += sum(len(t) for t in held[-1] if t)
+            if len(shards) == 1 or size >= chunk:
+                yield judged([t for part in held for t in part])
+                held, size = [], 0
+        if held:
+            yield judged([t for part in held for t in part])
 
     return scan
 
@@ -240,11 +263,8 @@ def _scan(rows, window: int):
 def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Column:
     """A column of docs: n_words, edges (starts and ends of the spans of words that are hit, in turn), cuts (the same in code points) and found (item ids as strings)."""
     bounded_batches(docs.sparkSession)
-    made = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("edges"), F.array().cast("array<long>").alias("cuts"), F.array().cast("array<string>").alias("found"))
-    for shard in _shards(items, item_id, item_text, shard_words):
-        rows = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in shard.select("item", "text").toLocalIterator()])
-        made = _scan(rows, window)(F.col(text).cast("string"), made["edges"], made["found"])
-    return made
+    shards = {uuid.uuid4().hex: docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in shard.select("item", "text").toLocalIterator()]) for shard in _shards(items, item_id, item_text, shard_words)}
+    return _scan(shards, window, CHUNK)(F.col(text).cast("string"))
 
 
 def spans_of(edges: Column) -> Column:

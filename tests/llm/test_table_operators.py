@@ -232,11 +232,13 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("shard_words", [2_000_000, 12])
-def test_decontamination_equals_brute_force(spark, shard_words):
+@pytest.mark.parametrize("shard_words, chunk", [(2_000_000, 1), (12, 1), (3, 1 << 20)])
+def test_decontamination_equals_brute_force(spark, monkeypatch, shard_words, chunk):
+    monkeypatch.setattr(decontamination, "CHUNK", chunk)
     rng = random.Random(6)
     draw = lambda n: " ".join(rng.choice("ab") for _ in range(n))
     items = [(i, draw(rng.randint(8, 16))) for i in range(8)] + [(8, "É x-y z"), (9, None), (10, "..."), (11, "q"), (12, "É X y, Z")]
+    items += [(13 + i, draw(30)) for i in range(30)]  # so there are some forty shards of the smallest size
     texts = [draw(rng.randint(0, 60)) for _ in range(60)] + [None, "", "é x y z q", "É! X Y Z " * 3, "q"] + [items[0][1]]
     docs = spark.createDataFrame([(i, t, 5, "f") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, found string")
     bench = spark.createDataFrame(items, "item_id long, text string")
