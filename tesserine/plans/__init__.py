@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from . import evidence, findings, graphs, investigation, packages, reach, rules, snapshots, sources, vulnerabilities  # noqa: F401
+    from . import evidence, findings, graphs, investigation, packages, reach, rules, semantics, snapshots, sources, vulnerabilities  # noqa: F401
 
     return QUERIES, SQL

@@ -2,7 +2,9 @@
 
 The engine's operators work on tables of package evidence (dependencies, vulnerabilities,
 findings, graph nodes and edges, snapshots, observations). No such packages are at hand, so
-these views present the given tables in those schemas. Every row of the tables takes part.
+these views present the given tables in those schemas. Rows that a view leaves out are there to
+make cases: a tenth of the suppliers are no nodes, so edges to them dangle; a seventh have no version
+range; orders that are in one snapshot only are ADDED or REMOVED (and a few are in neither).
 """
 
 from __future__ import annotations
@@ -112,6 +114,15 @@ SELECT 'A' || CAST(s_suppkey % 5 AS STRING) AS analysis_id, 'com.x.S' || CAST(s_
 SELECT DISTINCT 'A' || CAST(user_id % 5 AS STRING) AS analysis_id, CASE WHEN user_id % 2 = 0 THEN 'c:' || CAST(user_id AS STRING) ELSE 'com.x.c' || CAST(user_id % 37 AS STRING) || '#run' END AS src,
   CASE event_id % 4 WHEN 0 THEN 'REFLECTION_TARGET' WHEN 1 THEN 'DYNAMIC_LOAD' WHEN 2 THEN 'INTENT' ELSE 'CRYPTO' END AS edge_type,
   CASE event_id % 4 WHEN 0 THEN 'reflect:' WHEN 1 THEN 'dynload:' ELSE 'x:' END || CASE WHEN event_id % 3 = 0 THEN 'UNKNOWN' ELSE 'com.y.D' || CAST(event_id % 50 AS STRING) END AS dst, CASE WHEN event_id % 3 = 0 THEN 'UNKNOWN' ELSE 'MEDIUM' END AS confidence FROM events""",
+    "method": """
+SELECT 'd' || CAST(doc_id AS STRING) AS path, 'com.x.c' || CAST(doc_id % 37 AS STRING) AS class_name,
+  CASE doc_id % 9 WHEN 0 THEN 'onCreate' WHEN 1 THEN 'onReceive' WHEN 2 THEN 'query' WHEN 3 THEN 'onTransact' WHEN 4 THEN 'onBind' WHEN 5 THEN 'openFile' ELSE 'run' || CAST(doc_id AS STRING) END AS method_name,
+  CAST(1 + doc_id % 50 AS INT) AS line, CAST(2 + doc_id % 50 AS INT) AS code_line,
+  text || chr(10) || CASE doc_id % 14 WHEN 0 THEN 'new Intent("do.' || lang || '"); x.startActivity(i);' WHEN 1 THEN 'i.setAction("act.' || source || '"); x.sendBroadcast(i); i.setData(Uri.parse("u://' || lang || '"));'
+    WHEN 2 THEN 'x.startService(i);' WHEN 3 THEN 'w.addJavascriptInterface(new B(), "b' || lang || '");' WHEN 4 THEN 'Class.forName("t.' || source || '");' WHEN 5 THEN 'Class.forName(s);'
+    WHEN 6 THEN 'new DexClassLoader("/x", a);' WHEN 7 THEN 'new PathClassLoader(i.getStringExtra("p"), a);' WHEN 8 THEN 'new DexClassLoader(p);' WHEN 9 THEN 'Cipher.getInstance("AES/' || lang || '"); Mac.getInstance("HmacSHA1");'
+    WHEN 10 THEN 'new URL("http://' || source || '/"); HostnameVerifier v;' WHEN 11 THEN 'OkHttpClient c; getCacheDir();' WHEN 12 THEN 'b.transact(1); case B: case A: SQLiteDatabase d;' ELSE 'i.setClassName("p.' || lang || '", "c"); x.bindService(i);' END AS code
+FROM documents""",
     "library": """
 SELECT p_partkey AS library_id, 'A' || CAST(p_partkey % 5 AS STRING) AS analysis_id, 'lib' || CAST(p_partkey % 600 AS STRING) || '.so' AS name, CASE WHEN p_size % 10 = 0 THEN 'MALFORMED' ELSE 'COMPLETE' END AS status, p_size % 4 = 0 AS stripped,
   CAST(p_size % 7 AS INT) AS n_exported, CAST(p_size AS BIGINT) * 10000 AS n_bytes FROM part""",

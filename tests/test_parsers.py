@@ -16,7 +16,7 @@ TRICKY = 'package p;\n// class No { void no() { } }\nclass Out { String s = "} {
 
 
 def test_methods_and_nesting():
-    got = [(c, m, line) for _, c, m, line, _, _ in java.methods_of("T", TRICKY)]
+    got = [(c, m, line) for _, c, m, line, *_ in java.methods_of("T", TRICKY)]
     assert got == [("p.Out$In", "f", 4), ("p.Out", "g", 5)]
     assert java.methods_of("E", None) == java.methods_of("E", "") == []
     assert len(java.blanked(TRICKY)) == len(TRICKY)
