@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calls as C
 from ..operators import semantics as S
 from ..sources import java
 from ..sources.bridge import view, with_views
@@ -102,3 +103,21 @@ def semantic_boundaries(spark, d):
     sure = F.col("method_name").startswith("run")
     bindings = methods.select(F.when(sure, "ELF_EXPORT").otherwise("GUESS").alias("source"), F.lit("LOW").alias("confidence"), F.col("class_name").alias("java_class"), F.col("method_name").alias("java_method"))
     return S.boundaries(methods, _components(spark, d), bindings)
+
+
+_SIMPLE = "regexp_extract({}, '([^.$]*)$', 1)".format("class_name")
+
+
+@query("code_calls", with_views(f"""WITH b AS (SELECT *, class_name || '#' || method_name AS node_key, {_SIMPLE} AS own FROM body), fm AS (SELECT own AS simple, method_name, arg_min(node_key, struct_pack(path := path, ord := ord)) AS dst FROM b GROUP BY 1, 2),
+t0 AS (SELECT node_key, path, own, regexp_extract_all(regexp_replace(code, '{C.STRING}', '""', 'g'), '{C.TOKEN}', 0) AS ts FROM b), t AS (SELECT node_key, path, own, generate_subscripts(ts, 1) AS pos, unnest(ts) AS token FROM t0),
+k AS (SELECT *, sum(CASE token WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos) AS depth FROM t),
+d AS (SELECT path, regexp_extract(token, '{C.DECLARED}', 2) AS on_name, split_part(regexp_extract(token, '{C.DECLARED}', 1), '.', -1) AS type, k.pos AS begun, depth,
+ (SELECT min(e.pos) FROM k e WHERE e.path = k.path AND e.token = '}}' AND e.depth + 1 = k.depth AND e.pos > k.pos) AS until FROM k WHERE regexp_matches(token, '{C.DECLARED}')),
+c AS (SELECT path, node_key, own, pos, nullif(regexp_extract(token, '{C.CALLED}', 1), '') AS on_name, regexp_extract(token, '{C.CALLED}', 2) AS method_name FROM k WHERE regexp_matches(token, '{C.CALLED}')),
+y AS (SELECT c.path, c.pos, arg_max(d.type, d.begun) AS type FROM c JOIN d ON d.path = c.path AND d.on_name = c.on_name AND d.begun < c.pos AND (d.until IS NULL OR d.until > c.pos) GROUP BY 1, 2),
+n AS (SELECT node_key, CASE WHEN type IS NOT NULL THEN type WHEN on_name IS NULL OR on_name = 'this' THEN own WHEN regexp_matches(on_name, '^[A-Z]') THEN on_name END AS simple, method_name, type IS NULL AS sure FROM c LEFT JOIN y USING (path, pos) WHERE method_name NOT IN {tuple(sorted(java.KEYWORDS))}
+ UNION ALL SELECT node_key, regexp_extract(token, '{C.BUILT}', 1), regexp_extract(token, '{C.BUILT}', 1), true FROM k WHERE regexp_matches(token, '{C.BUILT}'))
+SELECT node_key AS src, dst, CASE WHEN bool_or(sure) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM n JOIN fm USING (simple, method_name) WHERE node_key <> dst GROUP BY 1, 2""", "body"))
+def code_calls(spark, d):
+    """Bodies of one class and method are one method here as far as calls go, but each is read in its own file."""
+    return C.resolved(view(spark, d, "body"))

@@ -122,6 +122,11 @@ SELECT 'd' || CAST(doc_id AS STRING) AS path, 'com.x.c' || CAST(doc_id % 37 AS S
     WHEN 2 THEN 'x.startService(i);' WHEN 3 THEN 'w.addJavascriptInterface(new B(), "b' || lang || '");' WHEN 4 THEN 'Class.forName("t.' || source || '");' WHEN 5 THEN 'Class.forName(s);'
     WHEN 6 THEN 'new DexClassLoader("/x", a);' WHEN 7 THEN 'new PathClassLoader(i.getStringExtra("p"), a);' WHEN 8 THEN 'new DexClassLoader(p);' WHEN 9 THEN 'Cipher.getInstance("AES/' || lang || '"); Mac.getInstance("HmacSHA1");'
     WHEN 10 THEN 'new URL("http://' || source || '/"); HostnameVerifier v;' WHEN 11 THEN 'OkHttpClient c; getCacheDir();' WHEN 12 THEN 'b.transact(1); case B: case A: SQLiteDatabase d;' ELSE 'i.setClassName("p.' || lang || '", "c"); x.bindService(i);' END AS code
+FROM documents""",
+    "body": """
+SELECT 'd' || CAST(doc_id AS STRING) AS path, CAST(doc_id AS INT) AS ord, 'com.' || lang || '.K' || CAST(doc_id % 23 AS STRING) AS class_name, CASE WHEN doc_id % 23 = doc_id % 41 THEN 'K' || CAST(doc_id % 23 AS STRING) ELSE 'm' || CAST(doc_id % 41 AS STRING) END AS method_name,
+  text || chr(10) || 'K' || CAST(doc_id % 22 AS STRING) || ' a = x; a.m' || CAST(doc_id % 41 AS STRING) || '(); { K' || CAST(doc_id % 19 AS STRING) || ' a = new K' || CAST(doc_id % 17 AS STRING) || '(1); a.m' || CAST(doc_id % 37 AS STRING) || '(); s = "K1 a = y; {"; } a.m'
+    || CAST(doc_id % 31 AS STRING) || '(); b.m1(); m' || CAST(doc_id % 29 AS STRING) || '(); K' || CAST(doc_id % 13 AS STRING) || '.m' || CAST(doc_id % 11 AS STRING) || '(); f().m2();' AS code
 FROM documents""",
     "library": """
 SELECT p_partkey AS library_id, 'A' || CAST(p_partkey % 5 AS STRING) AS analysis_id, 'lib' || CAST(p_partkey % 600 AS STRING) || '.so' AS name, CASE WHEN p_size % 10 = 0 THEN 'MALFORMED' ELSE 'COMPLETE' END AS status, p_size % 4 = 0 AS stripped,
@@ -144,7 +149,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table as a DataFrame."""
     used = _named(VIEWS[name])
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
     for t in used:
         sql = re.sub(rf"((?:FROM|JOIN)\s+){t}\b", rf"\1{{{t}}}", sql)
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
