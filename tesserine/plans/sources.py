@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
-from ..sources import blobs, feeds
+from ..sources import blobs, bundles, feeds
 from ..sources.bridge import table, view, with_views
 from . import query
 
@@ -40,3 +40,15 @@ def bundle_checksums(spark, d):
     """One checksum for each file of a bundle, whatever the order of its lines."""
     rows = view(spark, d, "vulnerability").select("source", F.sha2(F.concat_ws("|", "source", "cve_id", "record_id"), 256).alias("member"))
     return G.digest(rows, "source", "member")
+
+
+@query("bundle_validation", with_views("""WITH f AS (SELECT source, substr(sha256(cve_id), 1, 2) AS name, sha256(string_agg(cve_id || '|' || CAST(record_id AS VARCHAR), chr(10) ORDER BY cve_id, record_id)) AS sha256 FROM vulnerability GROUP BY 1, 2),
+g AS (SELECT source, substr(sha256(cve_id), 1, 2) AS name, sha256(string_agg(cve_id || '|' || CAST(record_id + CASE WHEN source = 'ghsa' AND record_id % 50 = 1 THEN 1 ELSE 0 END AS VARCHAR), chr(10) ORDER BY cve_id, record_id)) AS sha256 FROM vulnerability WHERE source <> 'osv' OR record_id % 40 <> 2 GROUP BY 1, 2)
+SELECT source, count(*) AS n_files, count(*) FILTER (WHERE f.sha256 IS DISTINCT FROM g.sha256) AS n_errors, CASE WHEN count(*) FILTER (WHERE f.sha256 IS DISTINCT FROM g.sha256) > 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status FROM f FULL JOIN g USING (source, name) GROUP BY 1""", "vulnerability"))
+def bundle_validation(spark, d):
+    """Bundles by source, cut into files by identifier; what arrived has records changed in one and lost in another."""
+    rows = view(spark, d, "vulnerability").select("source", "cve_id", "record_id", F.substring(F.sha2("cve_id", 256), 1, 2).alias("name"))
+    lines = lambda df: df.groupBy("source", "name").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cve_id", "record_id"))), lambda r: F.concat(r["cve_id"], F.lit("|"), r["record_id"].cast("string"))), "\n"), 256).alias("sha256"))
+    k = F.col("record_id")
+    came = rows.where((F.col("source") != "osv") | (k % 40 != 2)).withColumn("record_id", k + F.when((F.col("source") == "ghsa") & (k % 50 == 1), 1).otherwise(0))
+    return bundles.statuses(lines(rows), lines(came), "source")
