@@ -76,7 +76,7 @@ def diff_dependency_transitions(spark, d):
     return S.dependency_transitions(*_sides(spark, d), ["ps_key"])
 
 
-_RISKS = lambda t, m: f"{t} AS (SELECT s_nationkey, CAST(max(s_suppkey) % {m} AS INTEGER) AS score, CASE WHEN max(s_suppkey) % {m} >= 40 THEN 'medium' ELSE 'info' END AS band, string_agg(DISTINCT 'f' || CAST(s_suppkey % {m} % 9 AS VARCHAR), ',') AS factors FROM supplier WHERE s_suppkey % {m} < 30 GROUP BY 1)"
+_RISKS = lambda t, m: f"{t} AS (SELECT s_nationkey, CAST(max(s_suppkey) % {m} AS INTEGER) AS score, CASE WHEN max(s_suppkey) % {m} >= 40 THEN 'medium' ELSE 'info' END AS band, string_agg(DISTINCT 'f' || CAST(s_suppkey % {m} % 9 AS VARCHAR), ',') AS factors FROM supplier GROUP BY 1)"
 _GONE = lambda x, y: f"coalesce(array_to_string(list_sort(list_filter(string_split({x}.factors, ','), lambda f: NOT list_contains(coalesce(string_split({y}.factors, ','), []), f))), ','), '')"
 
 
@@ -87,7 +87,7 @@ def diff_risk_delta(spark, d):
 
     def side(m):
         top = F.max("s_suppkey") % m
-        return own.where(F.col("s_suppkey") % m < 30).groupBy("s_nationkey").agg(top.cast("int").alias("score"), F.when(top >= 40, "medium").otherwise("info").alias("band"), F.array_join(F.collect_set(F.concat(F.lit("f"), (F.col("s_suppkey") % m % 9).cast("string"))), ",").alias("factors"))
+        return own.groupBy("s_nationkey").agg(top.cast("int").alias("score"), F.when(top >= 40, "medium").otherwise("info").alias("band"), F.array_join(F.collect_set(F.concat(F.lit("f"), (F.col("s_suppkey") % m % 9).cast("string"))), ",").alias("factors"))
 
     return S.risk_delta(side(83), side(97), ["s_nationkey"])
 

@@ -75,13 +75,15 @@ def cve_correlation_state(spark, d):
     return V.correlated(*_three(spark, d))
 
 
-@query("cve_finding_severity", with_views(f"""WITH {_STATES}, sev AS (SELECT record_id AS product_id, severity FROM vulnerability WHERE record_id < 1000000),
+@query("cve_finding_severity", with_views(f"""WITH {_STATES}, sev AS (SELECT record_id % 1000000 AS product_id, arg_max(severity, {ranks.ranked_sql("severity", ranks.SEVERITY_RANK, -1)}) AS severity FROM vulnerability GROUP BY 1),
 x AS (SELECT c.*, {_CORR} AS present, upper(severity) AS severity, CASE WHEN dep_id % 3 = 0 THEN 'REACHABLE' WHEN dep_id % 3 = 1 THEN 'NOT_REACHABLE' ELSE 'UNKNOWN' END AS reach FROM cs c LEFT JOIN sev USING (product_id)),
 y AS (SELECT *, CASE WHEN present <> 'PRESENT_AFFECTED' THEN present WHEN reach = 'REACHABLE' THEN 'AFFECTED_REACHABLE' WHEN reach = 'NOT_REACHABLE' THEN 'AFFECTED_NOT_REACHABLE' ELSE present END AS correlation_state FROM x)
 SELECT analysis_id, dep_id, cve_id, correlation_state, CASE correlation_state WHEN 'AFFECTED_REACHABLE' THEN CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'high' ELSE 'medium' END WHEN 'PRESENT_AFFECTED' THEN 'medium'
   WHEN 'AFFECTED_NOT_REACHABLE' THEN 'low' WHEN 'PRESENT_UNKNOWN_VERSION' THEN 'low' ELSE 'info' END AS finding_severity FROM y""", "dependency", "product", "version_range", "vulnerability"))
 def cve_finding_severity(spark, d):
-    severities = view(spark, d, "vulnerability").where("record_id < 1000000").select(F.col("record_id").alias("product_id"), "severity")
+    """Of a product's records the most severe counts."""
+    rank = ranks.ranked(F.col("severity"), ranks.SEVERITY_RANK, -1)
+    severities = view(spark, d, "vulnerability").groupBy((F.col("record_id") % 1000000).alias("product_id")).agg(F.max_by("severity", rank).alias("severity"))
     reach = F.when(F.col("dep_id") % 3 == 0, "REACHABLE").when(F.col("dep_id") % 3 == 1, "NOT_REACHABLE").otherwise("UNKNOWN")
     return V.with_reachability(V.correlated(*_three(spark, d)).join(severities, "product_id", "left"), reach, F.col("severity")).select("analysis_id", "dep_id", "cve_id", "correlation_state", "finding_severity")
 
