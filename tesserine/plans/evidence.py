@@ -310,7 +310,8 @@ def assessment_overall(spark, d):
     return E.overall_decisions(whole).select("analysis_id", "rule", "decision")
 
 
-@query("analysis_report")
+@query("analysis_report", with_views(f"""WITH {_FP}, {_RC}, c AS (SELECT analysis_id, count(*) AS findings, count(*) FILTER (WHERE is_duplicate) AS duplicates FROM dd GROUP BY 1), r AS (SELECT analysis_id, list({{'identifier': identifier, 'severity': severity, 'n_findings': n_findings}} ORDER BY identifier, severity, n_findings) AS causes FROM cause GROUP BY 1)
+SELECT analysis_id, CAST(to_json({{'findings': findings, 'duplicates': duplicates, 'root_causes': coalesce(causes, [])}}) AS VARCHAR) AS document FROM c LEFT JOIN r USING (analysis_id)""", "finding", "evidence"))
 def analysis_report(spark, d):
     own = deduplicated(spark, d)
     return E.report(own, N.root_causes(own))
