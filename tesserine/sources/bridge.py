@@ -134,6 +134,14 @@ SELECT p_partkey AS library_id, 'A' || CAST(p_partkey % 5 AS STRING) AS analysis
     "evasion": """
 SELECT 'A' || CAST(c_custkey % 5 AS STRING) AS analysis_id, CASE c_nationkey % 3 WHEN 0 THEN 'DEBUGGER_CHECK' WHEN 1 THEN 'EMULATOR_CHECK' ELSE 'ROOT_CHECK' END AS category, lower(c_mktsegment) AS indicator,
   CASE WHEN c_custkey % 4 = 0 THEN 'SUPPORTED' ELSE 'INDICATOR' END AS evidence_level FROM customer""",
+    "workspace_event": """
+SELECT 'W' || CAST(user_id % 20 AS STRING) AS workspace, event_id AS seq, ts, CASE WHEN event_id % 11 = 0 THEN 'REMOVE' WHEN event_id % 97 = 5 THEN 'MOVE' WHEN event_id % 7 IN (1, 2) THEN 'STATUS' ELSE 'ADD' END AS op,
+  CASE WHEN event_id % 101 = 0 THEN 'WORKSPACE' WHEN event_id % 7 IN (1, 2, 3) THEN 'HYPOTHESIS' WHEN event_id % 7 = 4 THEN 'NOTE' WHEN event_id % 7 = 5 THEN 'EDGE' WHEN event_id % 7 = 6 THEN 'FINDING' ELSE 'NODE' END AS kind,
+  event_type || ':' || CAST(user_id % 9 AS STRING) AS ref, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE event_type || ' ' || CAST(event_id AS STRING) END AS text,
+  CASE WHEN event_id % 7 <> 3 THEN CASE event_id % 5 WHEN 0 THEN 'supported' WHEN 1 THEN 'REFUTED' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'sure' ELSE 'OPEN' END END AS status FROM events""",
+    "stage": """
+SELECT 'W' || CAST(n_nationkey % 20 AS STRING) AS workspace, CAST(n_nationkey AS INT) AS ord, CASE n_nationkey % 6 WHEN 0 THEN 'ingest' WHEN 1 THEN 'manifest' WHEN 2 THEN 'native' WHEN 3 THEN 'correlation' WHEN 4 THEN 'other' ELSE 'jni' END AS name,
+  CASE n_regionkey WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'DEGRADED' WHEN 2 THEN 'FAILED' ELSE 'COMPLETE' END AS status, CASE WHEN n_regionkey < 3 THEN lower(n_name) END AS detail FROM nation""",
 }
 
 
