@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import ranks
+from ..functions.running import running
 
 #: What each kind of component is on the attack surface.
 SURFACE = {"activity": "EXPORTED_ACTIVITY", "service": "EXPORTED_SERVICE", "receiver": "EXPORTED_RECEIVER", "provider": "EXPORTED_PROVIDER"}
@@ -140,8 +140,9 @@ def runtime_links(observations: DataFrame, methods: DataFrame) -> DataFrame:
 
 
 def timeline(observations: DataFrame) -> DataFrame:
-    """Sequence of each session's observations."""
-    return observations.withColumn("sequence", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "obs_id")))
+    """Sequence of each session's observations; a session is counted by days, so that a busy one is many tasks."""
+    day = F.coalesce(F.unix_date(F.to_date("ts")), F.lit(-(1 << 30)))
+    return running(observations, ["session_id"], ["ts", "obs_id"], day, {"sequence": F.lit(1)}).withColumn("sequence", F.col("sequence").cast("int"))
 
 
 def merged_items(items: DataFrame, keys: list[str]) -> DataFrame:

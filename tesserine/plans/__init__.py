@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from . import contained, evidence, explain, findings, graphs, investigation, knowledge, obfuscation, packages, reach, rules, semantics, snapshots, sources, vulnerabilities, workspace  # noqa: F401
+    from . import contained, evidence, explain, findings, graphs, investigation, knowledge, obfuscation, packages, reach, recorrelation, rules, semantics, snapshots, sources, vulnerabilities, workspace  # noqa: F401
 
     return QUERIES, SQL
