@@ -121,6 +121,44 @@ def searched(records: DataFrame, text: str, least_cvss: float, limit: int) -> Da
     return records.where(hit & (F.col("cvss") >= least_cvss)).select("cve_id", "source", "record_id", "cvss").distinct().orderBy(F.desc("cvss"), "cve_id", "record_id").limit(limit)
 
 
+def found(
+    records: DataFrame, products: DataFrame, query: str | None = None, provider: str | None = None, severity: str | None = None, ecosystem: str | None = None, package: str | None = None,
+    cpe: str | None = None, purl: str | None = None, known_exploited: bool | None = None, min_cvss: float | None = None, limit: int | None = 100,
+) -> DataFrame:
+    """Records for which every predicate that is given holds, each once, sorted and then cut (limit None: all).
+
+    query is sought in identifier, summary and product; package in the package's name, or in the product where there is none.
+    What is asked of a product must hold for one of the record's products. products: record_id, product,
+    package_name, ecosystem, cpe, purl; they are read only where a predicate asks for them. Letters' case
+    doesn't count; % and _ stand for themselves.
+    """
+    has = lambda c, word: F.coalesce(F.lower(c).contains(word.lower()), F.lit(False))
+    rows = records
+    if provider is not None:
+        rows = rows.where(F.lower("source") == provider.lower())
+    if severity is not None:
+        rows = rows.where(F.upper(F.coalesce("severity", F.lit(""))) == severity.upper())
+    if known_exploited is not None:
+        rows = rows.where(F.col("known_exploited") == known_exploited)
+    if min_cvss is not None:
+        rows = rows.where(F.col("cvss") >= min_cvss)
+    of_product = []
+    if ecosystem is not None:
+        of_product.append(F.lower("_p.ecosystem") == ecosystem.lower())
+    if package is not None:
+        of_product.append(has(F.coalesce("_p.package_name", "_p.product"), package))
+    of_product += [has(F.col(f"_p.{c}"), word) for c, word in (("cpe", cpe), ("purl", purl)) if word is not None]
+    if query or of_product:
+        offered = products.select(F.col("record_id").alias("_of"), F.struct("product", "package_name", "ecosystem", "cpe", "purl").alias("_p"))
+        rows = rows.join(offered, F.col("record_id") == F.col("_of"), "left")
+        if query:
+            rows = rows.where(has(F.col("cve_id"), query) | has(F.col("summary"), query) | has(F.col("_p.product"), query))
+        for holds in of_product:
+            rows = rows.where(holds)
+    out = rows.select("cve_id", "source", "record_id", "severity", "cvss", "known_exploited", "epss", "summary").distinct()
+    return out if limit is None else out.orderBy("cve_id", F.coalesce("source", F.lit("")), "record_id").limit(limit)
+
+
 def latest(rows: DataFrame, parent: str, *order: Column) -> DataFrame:
     """The last row of each parent."""
     w = Window.partitionBy(parent).orderBy(*order)

@@ -134,3 +134,16 @@ def timeline(stages: DataFrame, sessions: DataFrame, observations: DataFrame, li
     day = F.coalesce(F.unix_date(F.to_date("ts")), F.lit(-(1 << 30)))
     order = ["ts", "rank", "major", "minor", "number"]
     return running(merged, ["workspace"], order, day, {"position": F.lit(1)}).drop("rank", "major", "minor", "number")
+
+
+#: Stages that don't count for the status of an analysis.
+EXEMPT_STAGES = ("ghidra", "graph_snapshot", "validation", "obfuscation", "native_deep")
+
+
+def overall_status(stages: DataFrame, *group: str) -> DataFrame:
+    """Stages (name, status) to the status of each group: FAILED only where the manifest failed, COMPLETE where all that counts is, else PARTIAL."""
+    counts = ~F.coalesce(F.col("name"), F.lit("")).isin(*EXEMPT_STAGES)
+    failed = F.coalesce(F.col("status") == "FAILED", F.lit(False))
+    other = counts & F.coalesce(F.col("status") != "COMPLETE", F.lit(True))
+    per = stages.groupBy(*group).agg(F.count_if(counts).alias("n_stages"), F.count_if(counts & failed).alias("n_failed"), F.bool_or(failed & F.coalesce(F.col("name") == "manifest", F.lit(False))).alias("_manifest"), F.bool_or(other).alias("_other"))
+    return per.withColumn("overall", F.when(F.col("_manifest"), "FAILED").when(F.col("_other"), "PARTIAL").otherwise("COMPLETE")).drop("_manifest", "_other")

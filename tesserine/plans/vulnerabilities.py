@@ -124,6 +124,38 @@ def intel_search(spark, d):
     return V.searched(view(spark, d, "vulnerability"), "SECOND", 4.0, 50)
 
 
+_OFFERED = """SELECT product_id AS record_id, product, package_name, ecosystem, 'cpe:2.3:a:Vend' || CAST(product_id % 9 AS STRING) || ':' || product || ':*' AS cpe, 'pkg:' || ecosystem || '/' || coalesce(package_name, product) AS purl FROM product"""
+#: Searches of intel_found: every predicate of a search takes part in some.
+_SEARCHES = (
+    {"query": "LIB1", "provider": "NVD", "min_cvss": 3.0}, {"severity": "high", "known_exploited": False, "ecosystem": "PyPI"}, {"package": "prod1", "cpe": "vend3", "limit": None}, {"purl": "pkg:NPM/", "query": "summary of", "min_cvss": 9.0}, {"query": "cve-2024-1000", "limit": 40},
+)
+
+
+def _search_sql(limit=100, **asked) -> str:
+    like = lambda c, w: f"contains(lower(coalesce({c}, '')), '{w.lower()}')"
+    said = {
+        "query": lambda w: f"({like('v.cve_id', w)} OR {like('summary', w)} OR {like('p.product', w)})", "provider": lambda w: f"lower(source) = '{w.lower()}'", "severity": lambda w: f"upper(coalesce(severity, '')) = '{w.upper()}'",
+        "ecosystem": lambda w: f"lower(p.ecosystem) = '{w.lower()}'", "package": lambda w: like("coalesce(p.package_name, p.product)", w), "cpe": lambda w: like("p.cpe", w), "purl": lambda w: like("p.purl", w),
+        "known_exploited": lambda w: f"known_exploited = {w}", "min_cvss": lambda w: f"cvss >= {w}",
+    }
+    cut = f" ORDER BY v.cve_id, coalesce(source, ''), v.record_id LIMIT {limit}" if limit else ""
+    return f"SELECT DISTINCT v.cve_id, source, v.record_id, severity, cvss, known_exploited, epss, summary FROM vulnerability v LEFT JOIN pr p ON p.record_id = v.record_id WHERE {' AND '.join(said[k](w) for k, w in asked.items())}{cut}"
+
+
+_FOUND = " UNION ALL ".join(f"SELECT {k} AS search, * FROM ({_search_sql(**s)})" for k, s in enumerate(_SEARCHES))
+
+
+@query("intel_found", with_views(f"WITH pr AS ({_OFFERED}) {_FOUND}", "product", "vulnerability"))
+def intel_found(spark, d):
+    """Searches are top-k reports where they have a limit."""
+    records, products = view(spark, d, "vulnerability"), spark.sql(_OFFERED.replace("FROM product", "FROM {product}"), product=view(spark, d, "product"))
+    out = None
+    for k, s in enumerate(_SEARCHES):
+        one = V.found(records, products, **s).select(F.lit(k).alias("search"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("longest_prefix_fingerprint", with_views("""WITH pk AS (SELECT DISTINCT package_prefix || CASE WHEN dep_id % 2 = 0 THEN '.impl.X' ELSE '' END AS package FROM dependency),
 fp AS (SELECT DISTINCT 'org.lib' || CAST(product_id % 89 AS VARCHAR) AS prefix, 'L' || CAST(product_id % 89 AS VARCHAR) AS label FROM product UNION SELECT 'org.lib' || CAST(product_id % 45 AS VARCHAR) || '.core', 'C' || CAST(product_id % 45 AS VARCHAR) FROM product UNION SELECT 'org', 'O')
 SELECT package, prefix, label FROM (SELECT pk.package, fp.prefix, fp.label, row_number() OVER (PARTITION BY pk.package ORDER BY length(fp.prefix) DESC NULLS LAST, fp.prefix DESC, fp.label DESC) AS n FROM pk LEFT JOIN fp ON pk.package = fp.prefix OR starts_with(pk.package, fp.prefix || '.')) WHERE n = 1""", "dependency", "product"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import workspace as W
-from ..sources.bridge import view, with_views
+from ..sources.bridge import table, view, with_views
 from . import query
 
 _IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
@@ -59,3 +59,12 @@ def workspace_timeline(spark, d):
     links = seen.where("method_name = 'loadUrl'").select("workspace", "ts", F.col("obs_id").alias("link_id"), F.lit("RUNTIME").alias("source"), F.sha2(F.concat_ws("#", "class_name", "method_name"), 256).alias("fingerprint"), F.lit("MEDIUM").alias("confidence"), F.lit("METHOD").alias("link_type"), F.upper("adapter").alias("mode"), F.lit("JAVA_METHOD").alias("subject"), F.col("class_name").alias("detail"))
     stages = view(spark, d, "stage").withColumn("ts", F.lit(None).cast(log.schema["ts"].dataType))
     return W.timeline(stages, sessions, seen, links, log).drop("ts")
+
+
+_STAGE = "SELECT o_custkey AS analysis_id, CASE o_orderkey % 7 WHEN 0 THEN 'ingest' WHEN 1 THEN 'manifest' WHEN 2 THEN 'ghidra' WHEN 3 THEN 'native' WHEN 4 THEN 'validation' WHEN 5 THEN 'correlation' END AS name, CASE WHEN o_orderkey % 11 = 0 THEN 'FAILED' WHEN o_orderkey % 13 = 0 THEN 'DEGRADED' WHEN o_orderkey % 29 <> 0 THEN 'COMPLETE' END AS status FROM orders"
+
+
+@query("stage_status", f"""WITH s AS ({_STAGE}), k AS (SELECT *, coalesce(name, '') NOT IN {_IN(W.EXEMPT_STAGES)} AS counts FROM s)
+SELECT analysis_id, count(*) FILTER (WHERE counts) AS n_stages, count(*) FILTER (WHERE counts AND status = 'FAILED') AS n_failed, CASE WHEN count(*) FILTER (WHERE name = 'manifest' AND status = 'FAILED') > 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE counts AND status IS DISTINCT FROM 'COMPLETE') > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS overall FROM k GROUP BY 1""")
+def stage_status(spark, d):
+    return W.overall_status(spark.sql(_STAGE.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders")), "analysis_id")

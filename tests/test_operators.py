@@ -149,3 +149,23 @@ def test_longest_prefix_and_upsert(spark):
     old = spark.createDataFrame([("c1", "nvd", 1), ("c1", "osv", 2)], "cve_id string, source string, n int")
     new = spark.createDataFrame([("c1", "nvd", 9)], "cve_id string, source string, n int")
     assert {tuple(r) for r in V.upserted(old, new, ["cve_id", "source"]).collect()} == {("c1", "nvd", 9), ("c1", "osv", 2)}
+
+
+def test_records_are_found_by_every_predicate(spark):
+    from tesserine.operators import vulnerabilities as V
+
+    records = spark.createDataFrame(
+        [("CVE-1", "nvd", 1, "HIGH", 9.1, True, None, "100% of x"), ("CVE-2", "osv", 2, None, None, False, 0.5, None), ("CVE-3", "nvd", 3, "low", 2.0, None, None, "y")],
+        "cve_id string, source string, record_id long, severity string, cvss double, known_exploited boolean, epss double, summary string",
+    )
+    products = spark.createDataFrame(
+        [(1, "Foo", None, "npm", None, "pkg:npm/foo"), (1, "Foo2", "bar", "pypi", "cpe:2.3:a:v:foo", None), (2, None, None, None, None, None)],
+        "record_id long, product string, package_name string, ecosystem string, cpe string, purl string",
+    )
+    ids = lambda **asked: [r.record_id for r in V.found(records, products, **asked).collect()]
+    assert ids() == [1, 2, 3] and ids(limit=2) == [1, 2]
+    assert ids(query="fOO") == [1] and ids(query="0%") == [1] and ids(query="%") == [1] and ids(query="cve-") == [1, 2, 3]
+    assert ids(provider="NVD") == [1, 3] and ids(severity="LOW") == [3] and ids(known_exploited=False) == [2] and ids(min_cvss=2.0) == [1, 3]
+    assert ids(ecosystem="NPM", package="foo") == [1] and ids(ecosystem="npm", package="bar") == [] and ids(package="bar") == [1]
+    assert ids(cpe="V:FOO") == [1] and ids(purl="pkg:") == [1] and ids(cpe="v:foo", purl="pkg:") == []
+    assert V.found(records.where("1 = 0"), products, query="x").count() == 0

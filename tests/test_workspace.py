@@ -99,3 +99,9 @@ def test_running_totals_with_null_keys_and_shards(spark):
     for g, k, v in rows:
         sums[g] = want[k] = sums.get(g, 0) + v
     assert {r.k: r.total for r in df.collect()} == want
+
+
+def test_overall_status(spark):
+    cases = {"a": [("manifest", "FAILED"), ("native", "COMPLETE")], "b": [("native", "FAILED"), ("manifest", "COMPLETE")], "c": [("manifest", "COMPLETE"), ("ghidra", "FAILED")], "d": [("validation", "FAILED")], "e": [("native", None)], "f": [("native", "DEGRADED"), (None, "COMPLETE")]}
+    df = spark.createDataFrame([(a, *s) for a, stages in cases.items() for s in stages], "analysis string, name string, status string")
+    assert {r.analysis: r.overall for r in W.overall_status(df, "analysis").collect()} == {"a": "FAILED", "b": "PARTIAL", "c": "COMPLETE", "d": "COMPLETE", "e": "PARTIAL", "f": "PARTIAL"}
