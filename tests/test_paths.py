@@ -6,7 +6,9 @@ import random
 
 import pytest
 
+from tesserine import plans
 from tesserine.operators import paths as P
+from tesserine.sources.bridge import view
 
 RANK = {"UNKNOWN": -1, "LOW": 0, "MEDIUM": 1, "HIGH": 2, "EXACT": 3}
 
@@ -86,3 +88,30 @@ def test_edges_by_type_and_confidence_and_open_ends(spark):
     assert {r.node_key for r in ends.collect()} == {"unresolved:dlsym", "unresolved:UNKNOWN"}
     start = spark.createDataFrame([("a",)], "node_key string")
     assert {(r.path, r.confidence) for r in P.shortest_paths(more, start, ends).collect()} == {("a > b > unresolved:UNKNOWN", "UNKNOWN"), ("a > b > d > unresolved:dlsym", "UNKNOWN")}
+
+
+@pytest.mark.parametrize("seed, n, m, whole", [(8, 9, 20, 4), (8, 9, 22, 4)])
+def test_no_path_of_up_to_whole_nodes_is_left_out(spark, seed, n, m, whole):
+    rows, arcs, names = a_graph(seed, n, m)
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_type string, confidence string")
+    keys = lambda ks: spark.createDataFrame([(k,) for k in ks], "node_key string")
+    want, of, more, later = [], {}, 0, 0
+    for p in sorted((p for s in names[:3] for p in every_path(arcs, s, set(names[2:5]), 25)), key=lambda p: (len(p), " > ".join(p))):
+        nth = of[p[0], p[-1]] = of.get((p[0], p[-1]), 0) + 1
+        if len(p) <= whole or nth <= 2:
+            want.append(p)
+        more += len(p) <= whole and nth > 2
+        later += len(p) > whole and nth <= 2
+    assert more and later  # both kinds are there
+    assert rows_of(P.k_paths(edges, keys(names[:3]), keys(names[2:5]), 2, whole=whole)) == sorted(with_confidence(arcs, p) for p in want)
+
+
+def test_simple_paths_has_every_path_of_five_nodes(spark, sf_dir):
+    arcs, kinds = {}, {r.node_key: r.node_type for r in view(spark, sf_dir, "node").collect()}
+    for r in view(spark, sf_dir, "edge").collect():
+        if r.src in kinds and r.dst in kinds:
+            arcs.setdefault(r.src, {})[r.dst] = True
+    sinks = {k for k, t in kinds.items() if t == "SECURITY_SINK"}
+    want = sorted(" > ".join(p) for s, t in kinds.items() if t == "ENTRY_POINT" for p in every_path(arcs, s, sinks, 5))
+    got = sorted(r.path for r in plans.load()[0]["graph_simple_paths"](spark, sf_dir).collect() if r.length <= 5)
+    assert got == want and len(want) > 20 * 5 * len(sinks)  # more than twenty a pair
