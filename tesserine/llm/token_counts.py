@@ -8,7 +8,8 @@ The count is symbols minus merges, plus the further bytes of characters that hav
 A merge never crosses a point whose two characters stand next to each other in no piece of the
 vocabulary. So a text is cut into short segments, whose counts a bounded cache holds: before a
 run of marks and around a line feed (if the vocabulary, when loaded, turns out to allow that),
-and then within a segment at any other such point, as between a word and its full stop.
+and then within a segment at any other such point, as between a word and its full stop (segments of
+letters alone are left whole).
 
 Defined results: null is counted as the empty text, which has 0 tokens. Repeated rows are
 counted one by one, and columns other than the text play no part.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import concat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, only, read_table, text_or_empty
 
 MARK = "▁"
-#: A worker caches at most 4 * CACHED_SEGMENTS counts of segments of CACHED_LENGTH characters, some 40 MB.
-CACHED_SEGMENTS = 60_000
+#: A worker caches at most 4 * CACHED_SEGMENTS counts of segments of CACHED_LENGTH characters, some 70 MB.
+CACHED_SEGMENTS = 160_000
 CACHED_LENGTH = 48
 TOKEN_LIMIT = 4096
 
@@ -61,11 +63,14 @@ class PieceCounter:
         self.rank = {piece: order[s] for piece, s in scores.items()}
         self.cut_marks = not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.cut_lines = not any("\n" in p for p in self.rank if len(p) > 1)
+        self.single = {p for p in self.rank if len(p) == 1}
         self.neighbours = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.after_mark, self.plain = _Counts(self, MARK), _Counts(self, "")
 
     def count_parts(self, prefix: str, rest: str) -> int:
         """The count of prefix + rest, cut where no piece has the two neighbours."""
+        if rest.isalpha():  # words seldom have such points, and need no cut to be counted
+            return self.count_segment(prefix + rest)
         near = self.neighbours
         cuts = [i for i in range(1, len(rest)) if rest[i - 1 : i + 1] not in near]
         if not cuts:
@@ -75,32 +80,38 @@ class PieceCounter:
         return head + sum(map(self.plain.__getitem__, parts))
 
     def count_segment(self, seg: str) -> int:
-        n, rank = len(seg), self.rank
+        n, rank_of = len(seg), self.rank.get
         if n == 0:
             return 0
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        end = list(range(1, n + 1))  # end of the symbol that starts here; 0 when it was joined to its left
+        # end[i]: where the symbol that starts at i ends and the next one starts; n when it was joined to its left.
+        end, prv = [*range(1, n + 1), 0], list(range(-1, n))
         bits = n.bit_length()
         mask = (1 << bits) - 1
         # An entry is rank, start and end in one number: lowest rank first, then leftmost.
-        heap = [((r << bits | i) << bits) | i + 2 for i in range(n - 1) if (r := rank.get(seg[i : i + 2])) is not None]
+        heap = [(r << bits | i) << bits | i + 2 for i, r in enumerate(map(rank_of, map(concat, seg, seg[1:]))) if r is not None]
         heapify(heap)
         merges = 0
         while heap:
             top = heappop(heap)
             i, e = top >> bits & mask, top & mask
-            j = nxt[i]
-            if not end[i] or j >= n or end[j] != e:
-                continue  # one of the two has changed since
-            end[i], end[j], nxt[i] = e, 0, nxt[j]
+            j = end[i]
+            if end[j] != e:
+                continue  # one of the two has changed since; end[n] is no end
+            end[i], end[j] = e, n
             merges += 1
             if e < n:
                 prv[e] = i
-                if (r := rank.get(seg[i : end[e]])) is not None:
+                if (r := rank_of(seg[i : end[e]])) is not None:
                     heappush(heap, (r << bits | i) << bits | end[e])
-            if (k := prv[i]) >= 0 and (r := rank.get(seg[k:e])) is not None:
-                heappush(heap, (r << bits | k) << bits | e)
-        further = sum(len(c.encode()) - 1 for i, c in enumerate(seg) if end[i] == i + 1 and c not in rank)
+            if i and (r := rank_of(seg[prv[i] : e])) is not None:
+                heappush(heap, (r << bits | prv[i]) << bits | e)
+        if self.single.issuperset(seg):
+            return n - merges
+        i = further = 0
+        while i < n:
+            if end[i] == i + 1 and seg[i] not in self.single:
+                further += len(seg[i].encode()) - 1
+            i = end[i]
         return n - merges + further
 
     def count(self, text: str) -> int:

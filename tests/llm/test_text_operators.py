@@ -49,6 +49,21 @@ def test_count_without_cuts_is_the_same():
     assert [counter.count(t) for t in texts] == with_cuts
 
 
+def test_token_counter_keeps_the_words_of_a_large_vocabulary(monkeypatch):
+    """150,000 words that come again are not merged again; counts are the library's."""
+    import sentencepiece
+
+    counter = token_counts.PieceCounter(PIECES)
+    words = [f"{'aeiou'[i % 5]}{i:x}" for i in range(150_000)]
+    first = [counter.count(w) for w in words]
+    merged = []
+    whole = counter.count_segment
+    monkeypatch.setattr(counter, "count_segment", lambda seg: merged.append(seg) or whole(seg))
+    assert [counter.count(w) for w in words] == first and not merged
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert first[::50] == [len(ids) for ids in lib.encode(words[::50])]
+
+
 def test_word_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
