@@ -61,13 +61,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids (joined by a space) and n_tokens, which replace columns of these names.
+    """Adds ids (joined by a space), n_tokens and decoded_text, the ids decoded, which replace columns of these names.
 
-    Null and empty texts have no ids; repeated rows are encoded each; no documents give none.
+    Null and empty texts have no ids and decode to the empty text; repeated rows are encoded each; no documents give none.
     """
     import public_tokenizers
 
-    return word_bpe.with_encoding(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=False)
+    return word_bpe.with_encoding(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded_text")
 
 
 STAGES = [

@@ -10,7 +10,7 @@ that many words share is so worked out once, and a word's encoding is read off b
 Encodings of words are kept in a cache of bounded size in each Python worker (CACHED_WORDS words of
 CACHED_LENGTH characters at most; longer ones live as long as their step); a batch of any size and
 a text of any length go through it whole. Ids and decoded texts are made in steps of STEP_CHARS
-characters, and decoded texts only where they are asked for.
+characters.
 
 Defined results: null is taken as the empty text, which has no ids and decodes to the empty
 text. Special strings inside a text become their special ids, as the library does by default.
@@ -226,17 +226,15 @@ def _steps(texts: list[str]) -> Iterator[list[str]]:
         yield step
 
 
-def encoded(text: Column, vocabulary_file: str, decoded: bool = True) -> Column:
-    """ids (joined by a space), n_tokens and, if asked for, the decoded text of a string column."""
-    kinds = "ids string, n_tokens long" + ", decoded string" * decoded
+def encoded(text: Column, vocabulary_file: str) -> Column:
+    """ids (joined by a space), n_tokens and the decoded text of a string column."""
 
-    @F.pandas_udf(kinds)
+    @F.pandas_udf("ids string, n_tokens long, decoded string")
     def encode(texts: pd.Series) -> pd.DataFrame:
         only("word_bpe", _encoder.cache_clear)
         encoder = _encoder(vocabulary_file)
         ids = [i for step in _steps([t or "" for t in texts]) for i in encoder.encode(step)]
-        made = {"ids": ids, "n_tokens": [i.count(" ") + bool(i) for i in ids]}
-        return pd.DataFrame({**made, "decoded": [encoder.decode(i) for i in ids]} if decoded else made)
+        return pd.DataFrame({"ids": ids, "n_tokens": [i.count(" ") + bool(i) for i in ids], "decoded": [encoder.decode(i) for i in ids]})
 
     return encode(text)
 
@@ -257,13 +255,13 @@ def encoded_digests(text: Column, vocabulary_file: str) -> Column:
     return digest(text)
 
 
-def with_encoding(docs: DataFrame, vocabulary_file: str, text: str = "text", digests: bool = False, decoded: bool = True) -> DataFrame:
-    """docs with ids, n_tokens and (unless decoded is False) decoded, or with n_tokens and the two digests; such columns are replaced."""
+def with_encoding(docs: DataFrame, vocabulary_file: str, text: str = "text", digests: bool = False, decoded: str = "decoded") -> DataFrame:
+    """docs with ids, n_tokens and the decoded text (in a column named by decoded), or with n_tokens and the two digests; such columns are replaced."""
     bounded_batches(docs.sparkSession)
-    made = encoded_digests(text_or_empty(text), vocabulary_file) if digests else encoded(text_or_empty(text), vocabulary_file, decoded)
-    names = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "n_tokens", "decoded")[: 2 + decoded]
+    made = encoded_digests(text_or_empty(text), vocabulary_file) if digests else encoded(text_or_empty(text), vocabulary_file)
+    names = dict.fromkeys(("n_tokens", "ids_sha256", "decoded_sha256")) if digests else {"ids": None, "n_tokens": None, decoded: "decoded"}
     own = free_name(docs, "made")
-    return docs.withColumn(own, made).withColumns({n: F.col(f"{own}.{n}") for n in names}).drop(own)
+    return docs.withColumn(own, made).withColumns({n: F.col(f"{own}.{of or n}") for n, of in names.items()}).drop(own)
 
 
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,6 +340,20 @@ def test_pipeline_stages_on_odd_tables(spark, sf_dir):
             assert {r.n_tokens for r in kept if not r.text} == {0}
 
 
+def test_pipeline_encoding_decodes_too(spark, sf_dir):
+    """decoded_text is what the library makes of the ids; a column decoded stays."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [None, "", "Some words, 12 of é中 them's\n\n<|endoftext|>", " ".join(prose(random.Random(2), 3000))]
+    docs = spark.createDataFrame([(i, t, "own", "gone") for i, t in enumerate(texts)], "doc_id long, text string, decoded string, decoded_text string")
+    for r in corpus_pipeline.encoding(spark, docs, sf_dir).collect():
+        ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.ids, r.n_tokens, r.decoded, r.decoded_text) == (" ".join(map(str, ids)), len(ids), "own", lib.decode(ids, skip_special_tokens=False))
+
+
 def test_pipeline_equals_plain_stages(spark, sf_dir):
     """run() against stages in plain Python: all pairs of texts, all windows, the patterns as written, and the library's encoder."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
