@@ -4,7 +4,8 @@ Texts are cut into words as the vocabulary file says (added tokens first, then N
 and the split pattern, then bytes as characters). The distinct new words of a batch go into a
 trie of symbols, the last of a word with the end-of-word suffix. A depth-first walk gives each
 trie node the last token of the encoding of its prefix: the one vocabulary entry that ends
-there and whose pair with the last token before it is left as it is by the merges. A prefix
+there and whose pair with the last token before it is left as it is by the merges. Entries that end
+at a node come from a second trie, of the vocabulary, in which the walk goes along. A prefix
 that many words share is so worked out once, and a word's encoding is read off backwards.
 
 Encodings of words are kept in a cache of bounded size in each Python worker (CACHED_WORDS words of
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, free_name, only, read_table, text_or_empty
 
-CACHED_WORDS = 60_000
+CACHED_WORDS = 150_000
 CACHED_LENGTH = 64
 CACHED_PAIRS = 200_000
+#: Steps from place to place in the vocabulary that a worker keeps, some 25 MB.
+CACHED_WAYS = 200_000
 INNER, END = 0, 1
 #: The split pattern of the vocabulary file, and what it takes as white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -70,18 +73,23 @@ class WordEncoder:
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {pair: r for r, pair in enumerate(pairs)}
+        self.pairs, self.made = pairs, {a + b: r for r, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.by_digits = {str(i): t for i, t in self.names.items()}
         self.start = len(self.names)
-        self.tokens: dict = {}  # the vocabulary as a trie: INNER and END hold the ids of tokens without and with the suffix
+        # Is every token made by one merge, after its parts?
+        made_before = lambda x, r: self.made[x] < r if x in self.made else len(self._symbols(x)) == 1
+        self.in_order = len(self.made) == len(pairs) and all(made_before(a, r) and made_before(b, r) for r, (a, b) in enumerate(pairs))
+        # Tokens without and with the suffix, by their symbols, and all their beginnings: the vocabulary as a trie.
+        self.tokens: tuple[dict[str, int], dict[str, int]] = ({}, {})
         for t, i in self.vocab.items():
             ends = bool(self.suffix) and t.endswith(self.suffix) and len(t) > len(self.suffix)
-            node = self.tokens
-            for c in t[: -len(self.suffix)] if ends else t:
-                node = node.setdefault(c, {})
-            node[END if ends or not self.suffix else INNER] = i
+            self.tokens[END if ends or not self.suffix else INNER][t[: -len(self.suffix)] if ends else t] = i
+        self.begins = {t[:k] for tokens in self.tokens for t in tokens for k in range(len(t) + 1)}
+        self.places: dict[str, tuple] = {}
+        self.n_ways = 0
         self.split = regex.compile(SPLIT.replace(r"\s", SPACE)).findall
         self.split_ascii = re.compile(narrow_split(0x80)).findall
         self.split_latin = re.compile(narrow_split(0x100)).findall
@@ -112,20 +120,51 @@ class WordEncoder:
         """Do the merges leave left and token, side by side, as they are? left is START at a word's start."""
         if (known := self.valid.get(left << 20 | token)) is None:
             both = [self.names[i] for i in (left, token) if i != self.start]
+            if self.in_order and left != self.start:
+                known = self._stays(self.start, left) and self._stays(self.start, token) and self._apart(*both)
+            else:
+                known = self._merged([x for t in both for x in self._symbols(t)]) == both
             if len(self.valid) >= CACHED_PAIRS:
                 self.valid.clear()
-            known = self.valid[left << 20 | token] = self._merged([x for t in both for x in self._symbols(t)]) == both
+            self.valid[left << 20 | token] = known
+        return known
+
+    def _apart(self, a: str, b: str) -> bool:
+        """Does no merge ever join two neighbours, each of which is made by merges in order? Goes back through what touched."""
+        rank, made, pairs = self.rank.get, self.made.get, self.pairs
+        a_goes = b_goes = len(pairs)  # the merges by which a and b go up in something larger
+        while True:
+            if (r := rank((a, b))) is not None and r < a_goes and r <= b_goes:  # of equal merges the left one comes first
+                return False
+            a_came, b_came = made(a, -1), made(b, -1)
+            if a_came > b_came:
+                a_goes, a = a_came, pairs[a_came][1]
+            elif b_came >= 0:
+                b_goes, b = b_came, pairs[b_came][0]
+            else:
+                return True
+
+    def _place(self, text: str) -> tuple:
+        """What the vocabulary has for words whose prefix ends in text, the longest end that begins a token.
+
+        That is: the places one symbol on (filled as they are met), the tokens that end here without and
+        with the suffix as (token, length), longest first, and text.
+        """
+        if (known := self.places.get(text)) is None:
+            ends = [(text[k:], len(text) - k) for k in range(len(text))]
+            known = self.places[text] = ({}, *([(t, n) for end, n in ends if (t := tokens.get(end)) is not None] for tokens in self.tokens), text)
         return known
 
-    def _last(self, starts: list, kind: int, depth: int, lasts: list[int]) -> tuple[int, int]:
-        """The token that ends at depth, and where it starts; starts holds (start, vocabulary node), longest first."""
-        known, stays = self.valid.get, self._stays
-        for at, node in starts:
-            if (token := node.get(kind)) is not None:
-                left = lasts[at]
-                if (ok := known(left << 20 | token)) or ok is None and stays(left, token):
-                    return token, at
-        raise KeyError(f"no token ends at {depth}")
+    def _onward(self, place: tuple, c: str) -> tuple:
+        """The place after one more symbol."""
+        if self.n_ways >= CACHED_WAYS:  # the walk goes on with places of its own
+            self.places, self.n_ways = {}, 0
+        text = place[3] + c
+        while text not in self.begins:
+            text = text[1:]
+        self.n_ways += 1
+        place[0][c] = after = self._place(text)
+        return after
 
     def learn(self, words: Iterable[str]) -> None:
         """Works out the ids of words, all through one trie."""
@@ -138,32 +177,46 @@ class WordEncoder:
                     below = node[c] = {}
                 node = below
             node[""] = word  # no symbol is empty
-        root, last, out = self.tokens, self._last, self.words
+        known, stays, out = self.valid.get, self._stays, self.words
         lasts, froms = [self.start], [0]  # by depth, for the path from the root to the current node
-        stack = [(0, "", trie, [])]
+        stack = [(0, trie, self._place(""))]
         while stack:
-            depth, c, node, starts = stack.pop()
-            if depth:
-                starts = [(at, below) for at, above in starts if (below := above.get(c)) is not None]
-                del lasts[depth:], froms[depth:]
-            word = node.get("")
-            if word is not None:
-                token, at = last(starts, END, depth, lasts)
-                found = [token]
-                while at:
-                    found.append(lasts[at])
-                    at = froms[at]
-                found.reverse()
-                out[word] = " ".join(map(str, found))
-            if word is None or len(node) > 1:
+            depth, node, place = stack.pop()
+            del lasts[depth or 1 :], froms[depth or 1 :]
+            while True:  # down to where the trie ends; branches wait on the stack
+                onward, inner, end, _ = place
+                word = node.get("")
+                if word is not None:
+                    for token, n in end:
+                        left = lasts[depth - n]
+                        if (ok := known(left << 20 | token)) or ok is None and stays(left, token):
+                            break
+                    else:
+                        raise KeyError(f"no token ends {word}")
+                    found, at = [token], depth - n
+                    while at:
+                        found.append(lasts[at])
+                        at = froms[at]
+                    found.reverse()
+                    out[word] = " ".join(map(str, found))
+                    if len(node) == 1:
+                        break
                 if depth:
-                    token, at = last(starts, INNER, depth, lasts)
+                    for token, n in inner:
+                        left = lasts[depth - n]
+                        if (ok := known(left << 20 | token)) or ok is None and stays(left, token):
+                            break
+                    else:
+                        raise KeyError(f"no token ends at {depth}")
                     lasts.append(token)
-                    froms.append(at)
-                starts = [*starts, (depth, root)]
-                for c, below in node.items():
-                    if c:
-                        stack.append((depth + 1, c, below, starts))
+                    froms.append(depth - n)
+                depth += 1
+                ways = [(depth, below, onward.get(c) or self._onward(place, c)) for c, below in node.items() if c]
+                if not ways:
+                    break
+                _, node, place = ways.pop()
+                if ways:
+                    stack += ways
 
     def cut(self, text: str) -> list[str]:
         """The words of a text; special strings stand for themselves."""

@@ -79,6 +79,38 @@ def test_word_bpe_equals_the_library(spark):
     assert word_bpe.with_encoding(documents(spark, texts).where("doc_id < 0"), WORDS).count() == 0
 
 
+def test_word_encoder_keeps_the_words_of_a_large_vocabulary(monkeypatch):
+    """140,000 words that come again are not worked out again; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    texts = [" ".join({"".join(rng.choices("etaoinshrdlucm", k=8)) for _ in range(20_000)}) for _ in range(7)]
+    encoder = word_bpe.WordEncoder(WORDS)
+    first = [i for t in texts for i in encoder.encode([t])]
+    learnt = []
+    whole = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: (learnt.extend(words := list(words)), whole(words)))
+    assert [i for t in texts for i in encoder.encode([t])] == first and not learnt
+    assert first[0] == " ".join(map(str, Tokenizer.from_file(WORDS).encode(texts[0], add_special_tokens=False).ids))
+
+
+def test_neighbours_stay_apart_as_the_merges_say():
+    encoder = word_bpe.WordEncoder(WORDS)
+    rng = random.Random(6)
+    assert encoder.in_order
+    stable = [t for t in rng.sample(sorted(encoder.vocab), 3000) if encoder._merged(encoder._symbols(t)) == [t]]
+    lefts = [t for t in stable if not t.endswith(encoder.suffix)]
+    split = [(t[:k], t[k:]) for t in stable for k in range(1, len(t) - len(encoder.suffix)) if t[:k] in encoder.vocab and t[k:] in encoder.vocab]
+    pairs = [*((rng.choice(lefts), rng.choice(stable)) for _ in range(3000)), *split[:3000], *((t, t) for t in lefts[:500])]
+    kinds = set()
+    for a, b in pairs:
+        if all(encoder._merged(encoder._symbols(t)) == [t] for t in (a, b)):
+            want = encoder._merged(encoder._symbols(a) + encoder._symbols(b)) == [a, b]
+            assert encoder._apart(a, b) == want, (a, b)
+            kinds.add(want)
+    assert kinds == {True, False}
+
+
 def test_small_caches_change_nothing(monkeypatch):
     texts = random_texts(400, 5)
     want = word_bpe.WordEncoder(WORDS).encode(texts)
@@ -88,6 +120,13 @@ def test_small_caches_change_nothing(monkeypatch):
     assert [i for k in range(0, 400, 7) for i in encoder.encode(texts[k : k + 7])] == want
 
 
+def test_few_places_of_the_vocabulary_change_nothing(monkeypatch):
+    texts = random_texts(400, 5)
+    want = word_bpe.WordEncoder(WORDS).encode(texts)
+    monkeypatch.setattr(word_bpe, "CACHED_WAYS", 9)
+    assert word_bpe.WordEncoder(WORDS).encode(texts) == want
+
+
 def brute_repeats(words, window=8):
     at = {}
     for i in range(len(words) - window + 1):
