@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserine import plans
+from tesserine.functions.lineage import CLEANUP, kept
 from tesserine.operators import paths as P
 from tesserine.sources.bridge import view
 
@@ -115,3 +118,35 @@ def test_simple_paths_has_every_path_of_five_nodes(spark, sf_dir):
     want = sorted(" > ".join(p) for s, t in kinds.items() if t == "ENTRY_POINT" for p in every_path(arcs, s, sinks, 5))
     got = sorted(r.path for r in plans.load()[0]["graph_simple_paths"](spark, sf_dir).collect() if r.length <= 5)
     assert got == want and len(want) > 20 * 5 * len(sinks)  # more than twenty a pair
+
+
+@pytest.mark.parametrize("seed, n, m, depth, busy", [(1, 8, 16, 25, 1000), (3, 9, 22, 4, 2), (4, 70, 80, 25, 3), (7, 9, 30, 25, 1)])
+def test_forward_paths_equal_brute_force(spark, monkeypatch, seed, n, m, depth, busy):
+    monkeypatch.setattr(P, "BUSY", busy)
+    monkeypatch.setattr(P, "LIST", 2)
+    rows, arcs, names = a_graph(seed, n, m)
+    edges = spark.createDataFrame([*rows, ("none", names[2], "CALLS", "HIGH"), (names[0], "none", "CALLS", "HIGH")], "src string, dst string, edge_type string, confidence string")
+    starts, targets = names[:3], names[2:] if n > 60 else names[2:5]  # one start is a target itself
+    shortest = {}
+    for p in sorted((p for s in starts for p in every_path(arcs, s, set(targets), depth)), key=lambda p: (len(p), p)):
+        shortest.setdefault((p[0], p[-1]), p)
+    nodes = spark.createDataFrame([(k,) for k in names], "node_key string")
+    begin = spark.createDataFrame([(k, "ab"[k == names[0]]) for k in starts], "node_key string, family string")
+    ends = spark.createDataFrame([(k, k != targets[-1]) for k in targets], "node_key string, wanted boolean")
+    want = [p for p in shortest.values() if p[-1] != targets[-1]]
+    assert rows_of(P.forward_paths(edges, begin.drop("family"), ends, depth, nodes)) == sorted(with_confidence(arcs, p) for p in want)
+    for some in (begin, begin.where(f"node_key <> '{names[2]}'")):  # with and without the start that is a target
+        has, least = {r.node_key: r.family for r in some.collect()}, {}
+        for p in sorted((p for p in want if p[0] in has), key=lambda p: (len(p), p)):
+            least.setdefault((has[p[0]], p[-1]), p)
+        got = P.forward_paths(edges, some, ends, depth, nodes)
+        assert sorted((r.family, r.start, r.target, r.path, r.length, r.confidence) for r in got.collect()) == sorted((k[0], *with_confidence(arcs, p)) for k, p in least.items())
+
+
+def test_what_a_table_was_shuffled_for_is_deleted_with_its_job(spark, tmp_path):
+    kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "some")
+    assert spark.conf.get(CLEANUP) == "false"  # as it was before
+    blocks = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = len(list(blocks.rglob("shuffle_*")))
+    kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "some")
+    assert len(list(blocks.rglob("shuffle_*"))) <= before
