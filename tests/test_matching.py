@@ -59,3 +59,14 @@ def test_a_version_is_judged_once_against_equal_ranges(tables, monkeypatch):
     monkeypatch.setattr(versions, "with_range_state", lambda df: judged.append(df.count()) or judge(df))
     V.correlated(*tables).count()
     assert judged == [3 * 3]  # versions that are known; two profiles, one of which has two ranges
+
+
+def test_identities_of_equal_keys_are_matched_once(spark, monkeypatch):
+    deps = spark.createDataFrame([(k, f"Lib{k % 2}", None, None, "org.lib") for k in range(40)] + [(0, "Other", None, None, None), (99, None, None, None, None)], "dep_id long, name string, product string, cpe string, package_prefix string")
+    ids = spark.createDataFrame([("C1", 0, "PACKAGE", "org"), ("C2", 1, "MAVEN", "org.lib:Lib1"), ("C3", 2, "PACKAGE", "other")], "cve_id string, ord int, identity_type string, value string")
+    matched, spread = [], V._spread
+    monkeypatch.setattr(V, "_spread", lambda rows, offers: matched.append(offers.count()) or spread(rows, offers))
+    got = {(r.dep_id, r.cve_id): (r.identity_type, r.confidence) for r in V.identity_match(deps, ids).collect()}
+    want = {(k, "C1"): ("PACKAGE", "MEDIUM") for k in range(40)} | {(k, "C2"): ("MAVEN", "EXACT") for k in range(40) if k % 2} | {(0, "C3"): ("PACKAGE", "MEDIUM")}
+    assert got == want
+    assert matched == [1 + 2 + 2]  # kinds Lib0, Lib1, and Lib0 with Other

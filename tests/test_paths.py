@@ -150,3 +150,21 @@ def test_what_a_table_was_shuffled_for_is_deleted_with_its_job(spark, tmp_path):
     before = len(list(blocks.rglob("shuffle_*")))
     kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "some")
     assert len(list(blocks.rglob("shuffle_*"))) <= before
+
+
+@pytest.mark.parametrize("most", [3, 40])
+def test_least_paths_look_at_near_edges_first(spark, monkeypatch, most):
+    rows, arcs, names = a_graph(8, 9, 20)
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_type string, confidence string")
+    keys = lambda ks: spark.createDataFrame([(k,) for k in ks], "node_key string")
+    every = sorted((p for s in names[:3] for p in every_path(arcs, s, set(names[2:5]), 25)), key=lambda p: (len(p), " > ".join(p)))
+    of, want = {}, []
+    for p in every:
+        of[p[0], p[-1]] = of.get((p[0], p[-1]), 0) + 1
+        if of[p[0], p[-1]] <= 2:
+            want.append(p)
+    depths, search = [], P.k_paths
+    monkeypatch.setattr(P, "k_paths", lambda *a: depths.append(a[4]) or search(*a))
+    got = P.least_paths(edges, keys(names[:3]), keys(names[2:5]), 2, most, keys(names))
+    assert rows_of(got) == sorted(with_confidence(arcs, p) for p in want[:most])
+    assert depths == ([3] if most == 3 else [3, 6, 12, 25])
